@@ -42,11 +42,11 @@ FROM (SELECT event_id, value,
 """
 
 # Raw boxes of an image in fractions of 1920x1080 and in pixels. The id of a box
-# is made of its own row, so that numbering needs no window.
+# is made of its own row, so that numbering needs no window; the few boxes that
+# share one are told apart by their coordinates.
 V_BOXES = """
 SELECT CAST(l_orderkey AS STRING) AS image_id,
-       concat(CAST(l_linenumber AS STRING), '-', lpad(CAST(l_partkey AS STRING), 12, '0'),
-              '-', lpad(CAST(l_suppkey AS STRING), 12, '0')) AS box_id,
+       l_linenumber * CAST(1000000000000 AS BIGINT) + l_partkey AS box_id,
        CAST(l_partkey % 40 AS INT) AS class_id,
        CAST(l_suppkey % 3 + 1 AS STRING) AS category,
        l_discount * CAST(10 AS DOUBLE) AS conf,
@@ -63,8 +63,7 @@ FROM {lineitem}
 # Raw masks; the third line of an order has no confidence.
 V_MASKS = """
 SELECT CAST(l_orderkey AS STRING) AS image_id,
-       concat(CAST(l_linenumber AS STRING), '-', lpad(CAST(l_partkey AS STRING), 12, '0'),
-              '-', lpad(CAST(l_suppkey AS STRING), 12, '0')) AS mask_id,
+       l_linenumber * CAST(1000000000000 AS BIGINT) + l_partkey AS mask_id,
        CASE WHEN l_linenumber = 3 THEN NULL ELSE l_discount * CAST(10 AS DOUBLE) END AS conf
 FROM {lineitem}
 """
@@ -136,7 +135,6 @@ SELECT concat('upload/', CAST(event_id AS STRING),
 FROM {events}
 """
 
-# Columns of v_detections as p.pid and p.pipeline differ only in how they arise.
 VIEWS = {
     "v_images": V_IMAGES,
     "v_labels": V_LABELS,

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spoorline.fixed_values import PROMPT_TEMPLATE
 
@@ -40,6 +41,12 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
     return matrix / length
 
 
+def _vector_rows(vectors: pa.Array, width: int) -> np.ndarray:
+    """The present vectors of an Arrow column as unit rows."""
+    flat = vectors.drop_null().flatten().to_numpy(zero_copy_only=False)
+    return unit_rows(flat.reshape(-1, width))
+
+
 def cosine_to_prompts(prompt_vectors: np.ndarray):
     """Arrow UDF: vector column to the array of cosines with each prompt row.
 
@@ -48,25 +55,41 @@ def cosine_to_prompts(prompt_vectors: np.ndarray):
     prompts = unit_rows(prompt_vectors)
     count, width = prompts.shape
 
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def score(vectors: pa.Array) -> pa.Array:
-        present = vectors.drop_null()
-        flat = present.flatten().to_numpy(zero_copy_only=False)
-        products = np.round(unit_rows(flat.reshape(-1, width)) @ prompts.T, DECIMALS)
-        present_index = np.flatnonzero(vectors.is_valid().to_numpy(zero_copy_only=False))
-        sizes = np.zeros(len(vectors), dtype=np.int32)
-        sizes[present_index] = count
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        values = products.ravel()
+        products = np.round(_vector_rows(vectors, width) @ prompts.T, DECIMALS).ravel()
+        present = vectors.is_valid().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(np.where(present, count, 0))
         return pa.ListArray.from_arrays(
-            pa.array(offsets),
-            pa.array(values, mask=np.isnan(values)),
+            pa.array(np.concatenate([[0], ends]).astype(np.int32)),
+            pa.array(products, mask=np.isnan(products)),
             mask=vectors.is_null(),
         )
 
     return score
 
 
+def cosine_to_own_prompt(prompt_vectors: np.ndarray):
+    """Arrow UDF: vector and prompt row number to the cosine of the two.
+
+    Rows without a vector or a prompt give null.
+    """
+    prompts = unit_rows(prompt_vectors)
+    width = prompts.shape[1]
+
+    @F.arrow_udf(T.DoubleType())
+    def score(vectors: pa.Array, at: pa.Array) -> pa.Array:
+        present = vectors.is_valid().to_numpy(zero_copy_only=False)
+        row = at.fill_null(-1).to_numpy(zero_copy_only=False)
+        own = np.full(len(vectors), np.nan)
+        known = row[present] >= 0
+        pairs = _vector_rows(vectors, width)[known] * prompts[row[present][known]]
+        own[np.flatnonzero(present)[known]] = np.round(pairs.sum(axis=1), DECIMALS)
+        return pa.array(own, mask=np.isnan(own))
+
+    return score
+
+
 def species_prompt(species: str | Column) -> Column:
     """The text prompt of a label column."""
     before, after = PROMPT_TEMPLATE.split("{species}")

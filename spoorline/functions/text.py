@@ -47,14 +47,30 @@ def file_stem(path: str | Column) -> Column:
     return F.regexp_replace(file_name(path), r"(?<=.)\.[^.]+$", "")
 
 
-def fixed_point(c: str | Column, decimals: int) -> Column:
-    """Number text with fixed decimals, rounded by the exact binary value.
+def round_exact(c: str | Column, decimals: int) -> Column:
+    """A double rounded by its exact binary value, ties to even, up to 6 decimals.
 
-    Ties go to the even digit. Printf-style formatting in Java rounds the shortest
-    decimal text half up instead, which differs for values such as 0.045 in percent.
+    Spark's ``round`` works on the shortest decimal text and rounds half up, which
+    differs for values such as 0.00015. The value is split into two parts that
+    multiply without error, so the distance to the tie has the right sign.
     """
-    pattern = "0." + "0" * decimals if decimals else "0"
-    return F.call_function("format_number", _as_column(c).cast("double"), F.lit(pattern))
+    x = _as_column(c).cast("double")
+    scale = F.lit(float(10**decimals))
+    head = x.cast("float").cast("double")
+    tail = x - head
+    below = F.floor(x * scale).cast("double")
+    past_tie = ((head * scale - below) - F.lit(0.5)) + tail * scale
+    is_odd = F.pmod(below, F.lit(2.0)) == 1.0
+    up = (past_tie > 0) | ((past_tie == 0) & is_odd)
+    rounded = (below + F.when(up, 1.0).otherwise(0.0)) / scale
+    return F.when(F.isnan(x) | (F.abs(x) >= 1e9), x).otherwise(rounded)
+
+
+def fixed_point(c: str | Column, decimals: int) -> Column:
+    """Number text with fixed decimals, rounded as ``round_exact`` does."""
+    c = _as_column(c)
+    shown = F.format_string(f"%.{decimals}f", round_exact(c, decimals))
+    return F.when(c.isNotNull(), shown)
 
 
 def pct(fraction: str | Column, decimals: int = 1) -> Column:
@@ -62,11 +78,6 @@ def pct(fraction: str | Column, decimals: int = 1) -> Column:
     return F.concat(fixed_point(_as_column(fraction) * F.lit(100.0), decimals), F.lit("%"))
 
 
-def round_exact(c: str | Column, decimals: int) -> Column:
-    """A double rounded by its exact binary value, ties to even."""
-    return fixed_point(c, decimals).cast("double")
-
-
 def round4(c: str | Column) -> Column:
     return round_exact(c, 4)
 

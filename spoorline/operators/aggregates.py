@@ -318,78 +318,84 @@ def confidence_histogram(detections: DataFrame, bins: int = fixed.HISTOGRAM_BINS
 
 QUARTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 QUARTILE_NAMES = ("lowest", "lower_quartile", "median", "upper_quartile", "highest")
+# The value range is cut into this many slices, and each slice into as many again.
 _SLICES = 4096
 
 
 def quality_box_stats(
     detections: DataFrame, column: str = "detection_quality", by: str = "pipeline"
 ) -> DataFrame:
-    """Exact quartiles of a score per group, linear between neighbours.
+    """Exact quartiles of a score in [0, 1] per group, linear between neighbours.
 
     An exact percentile aggregate would hold one group's values in one task.
-    Instead equal values collapse to a count, narrow slices of the value range
-    are counted, and only the slices that contain a wanted rank are ordered,
-    each on its own.
+    Instead equal values collapse to a count, slices of the range are counted,
+    those that contain a wanted rank are cut once more, and only the narrow
+    slices left over are ordered, each on its own.
     """
+    value = F.col("_v")
+    wide = F.greatest(F.least(F.floor(value * _SLICES), F.lit(_SLICES - 1)), F.lit(0))
+    narrow = F.floor(value * _SLICES * _SLICES) - F.col("_wide") * _SLICES
     values = (
         detections.filter(F.col(column).isNotNull())
         .groupBy(by, F.col(column).alias("_v"))
         .agg(F.count("*").alias("_n"))
+        .withColumn("_wide", wide)
         .withColumn(
-            "_slice",
-            F.greatest(
-                F.least(F.floor(F.col("_v") * _SLICES), F.lit(_SLICES - 1)), F.lit(0)
-            ).cast("int"),
+            "_narrow", F.greatest(F.least(narrow, F.lit(_SLICES - 1)), F.lit(0))
         )
     )
-    # At most _SLICES rows per group from here to the wanted ranks.
-    per_slice = values.groupBy(by, "_slice").agg(F.sum("_n").alias("_n"))
-    in_order = Window.partitionBy(by).orderBy("_slice")
-    places = (
-        per_slice.withColumn("_before", F.sum("_n").over(in_order) - F.col("_n"))
-        .withColumn("_total", F.sum("_n").over(Window.partitionBy(by)))
-        .withColumn(
-            "_want",
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(i).alias("q"),
-                            (F.lit(p) * (F.col("_total") - 1)).alias("at"),
-                        )
-                        for i, p in enumerate(QUARTILES)
-                    ]
-                )
-            ),
-        )
-        .withColumn("_rank", F.explode(F.array(F.floor("_want.at"), F.ceil("_want.at"))))
-        .filter(
-            (F.col("_rank") >= F.col("_before"))
-            & (F.col("_rank") < F.col("_before") + F.col("_n"))
-        )
-        .groupBy(by, "_slice", "_before")
-        .agg(F.collect_set("_rank").alias("_ranks"))
+    per_wide = values.groupBy(by, "_wide").agg(F.sum("_n").alias("_n"))
+    totals = per_wide.groupBy(by).agg(F.sum("_n").alias("n"))
+    places = [F.lit(p) * (F.col("n") - 1) for p in QUARTILES]
+    ranks = F.array_distinct(
+        F.concat(*[F.array(F.floor(at), F.ceil(at)) for at in places])
     )
-    in_slice = Window.partitionBy(by, "_slice").orderBy("_v")
+    wanted = totals.select(by, F.lit(0).cast("bigint").alias("_start"), ranks.alias("_ranks"))
+
+    in_wide = _slices_with_ranks(per_wide, wanted, [by], "_wide")
+    per_narrow = (
+        values.join(in_wide.select(by, "_wide"), [by, "_wide"], "left_semi")
+        .groupBy(by, "_wide", "_narrow")
+        .agg(F.sum("_n").alias("_n"))
+    )
+    in_narrow = _slices_with_ranks(per_narrow, in_wide, [by, "_wide"], "_narrow")
+    in_order = Window.partitionBy(by, "_wide", "_narrow").orderBy("_v")
     at_rank = (
-        values.join(places, [by, "_slice"])
-        .withColumn("_to", F.col("_before") + F.sum("_n").over(in_slice))
+        values.join(in_narrow, [by, "_wide", "_narrow"])
+        .withColumn("_to", F.col("_start") + F.sum("_n").over(in_order))
         .withColumn("_rank", F.explode("_ranks"))
         .filter((F.col("_rank") < F.col("_to")) & (F.col("_rank") >= F.col("_to") - F.col("_n")))
-        .select(by, "_rank", "_v")
     )
-    totals = per_slice.groupBy(by).agg(F.sum("_n").alias("n"))
     # At most ten ranks per group.
-    ranked = at_rank.groupBy(by).agg(F.map_from_entries(
-        F.collect_set(F.struct("_rank", "_v"))).alias("_at"))
+    entries = F.collect_list(F.struct("_rank", "_v"))
+    ranked = at_rank.groupBy(by).agg(F.map_from_entries(entries).alias("_at"))
     columns = []
-    for name, p in zip(QUARTILE_NAMES, QUARTILES):
-        at = F.lit(p) * (F.col("n") - 1)
+    for name, at in zip(QUARTILE_NAMES, places):
         low, high = F.col("_at")[F.floor(at)], F.col("_at")[F.ceil(at)]
         columns.append((low + (high - low) * (at - F.floor(at))).alias(name))
     return totals.join(ranked, by).select(by, "n", *columns)
 
 
+def _slices_with_ranks(
+    counts: DataFrame, wanted: DataFrame, keys: list[str], slice_column: str
+) -> DataFrame:
+    """The slices that hold a wanted rank, with their first rank and those ranks.
+
+    ``counts`` has ``_n`` rows per key and slice, at most ``_SLICES`` slices a key;
+    ``wanted`` has the rank each key starts at and the ranks looked for.
+    """
+    so_far = F.sum("_n").over(Window.partitionBy(*keys).orderBy(slice_column))
+    first = F.col("_start") + F.col("_before")
+    inside = F.filter("_ranks", lambda r: (r >= first) & (r < first + F.col("_n")))
+    return (
+        counts.withColumn("_before", so_far - F.col("_n"))
+        .join(wanted, keys)
+        .withColumn("_found", inside)
+        .filter(F.size("_found") > 0)
+        .select(*keys, slice_column, first.alias("_start"), F.col("_found").alias("_ranks"))
+    )
+
+
 def validation_summary(checked: DataFrame) -> DataFrame:
     """Files received, accepted, rejected, and accepted without a time."""
     return checked.agg(

@@ -118,15 +118,18 @@ def count_errors(
 
 
 def combine_identification_localisation(
-    identification: DataFrame, localisation: DataFrame
+    identification: DataFrame, localisation: DataFrame, seq: str | None = None
 ) -> DataFrame:
-    """Identified images with the localisation result, and whether both hold."""
-    found = localisation.select(
-        "image_id",
-        "megadetector_localised",
-        "megadetector_quality",
-        "megadetector_backend",
-    )
+    """Identified images with the localisation result, and whether both hold.
+
+    When ``localisation`` repeats images, ``seq`` names the column by which the
+    last one wins.
+    """
+    columns = ["megadetector_localised", "megadetector_quality", "megadetector_backend"]
+    if seq is None:
+        found = localisation.select("image_id", *columns)
+    else:
+        found = latest(localisation, "image_id", columns, seq)
     return identification.join(found, "image_id", "left").withColumns(
         {
             "megadetector_localised": F.coalesce("megadetector_localised", F.lit(False)),

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spoorline.functions.similarity import cosine, cosine_to_prompts
+from spoorline.functions.similarity import cosine, cosine_to_own_prompt, cosine_to_prompts
 from spoorline.functions.text import round4
 from spoorline.operators.ranking import top_n_per_group
 
@@ -30,28 +30,24 @@ class PromptBlock:
         return F.array(*[F.lit(s) for s in self.species])
 
 
-def prompt_blocks(prompts: DataFrame, block_prompts: int = BLOCK_PROMPTS) -> list[PromptBlock]:
-    """Read the prompt dimension in blocks of bounded size, in target order."""
-    first, last = prompts.agg(F.min("ord"), F.max("ord")).first()
-    blocks = []
-    if first is None:
-        return blocks
-    for start in range(first, last + 1, block_prompts):
-        rows = (
-            prompts.filter(F.col("ord").between(start, start + block_prompts - 1))
-            .select("species", "ord", "embedding")
-            .orderBy("ord")
-            .collect()
-        )
+Prompts = DataFrame | list[PromptBlock]
+
+
+def prompt_blocks(prompts: Prompts, block_prompts: int = BLOCK_PROMPTS) -> list[PromptBlock]:
+    """Read the prompt dimension in target order, in blocks of bounded size."""
+    if isinstance(prompts, list):
+        return prompts
+    ordered = prompts.select("species", "ord", "embedding").orderBy("ord")
+    blocks, after = [], None
+    while True:
+        rest = ordered if after is None else ordered.filter(F.col("ord") > after)
+        rows = rest.limit(block_prompts).collect()
         if rows:
-            blocks.append(
-                PromptBlock(
-                    [r.species for r in rows],
-                    [r.ord for r in rows],
-                    np.array([r.embedding for r in rows], dtype=np.float64),
-                )
-            )
-    return blocks
+            vectors = np.array([r.embedding for r in rows], dtype=np.float64)
+            blocks.append(PromptBlock([r.species for r in rows], [r.ord for r in rows], vectors))
+        if len(rows) < block_prompts:
+            return blocks
+        after = rows[-1].ord
 
 
 def _scores(block: PromptBlock, engine: str) -> Column:
@@ -69,7 +65,7 @@ def _score_of(block: PromptBlock, species: Column) -> Column:
 
 def score_all(
     images: DataFrame,
-    prompts: DataFrame,
+    prompts: Prompts,
     keep: list[str] | None = None,
     engine: str = "arrow",
     block_prompts: int = BLOCK_PROMPTS,
@@ -101,7 +97,7 @@ def score_all(
 
 def top1_species(
     images: DataFrame,
-    prompts: DataFrame,
+    prompts: Prompts,
     engine: str = "arrow",
     wide: bool = False,
     block_prompts: int = BLOCK_PROMPTS,
@@ -184,24 +180,21 @@ def score_wide(scores: DataFrame, targets: list[str]) -> DataFrame:
     return wide.select("image_id", *[round4(wide[t]).alias(f"score_{t}") for t in targets])
 
 
-def with_own_score(images: DataFrame, prompts: DataFrame, engine: str = "arrow") -> DataFrame:
-    """Adds ``bioclip_score``: each image against the prompt of its own label.
+def with_own_score(
+    images: DataFrame, prompts: Prompts, species: str | Column = "species_label"
+) -> DataFrame:
+    """Adds ``bioclip_score``: each image against the prompt of one label.
 
-    Unreadable images and labels without a prompt score 0.
+    ``species`` names the label of each row. Unreadable images and labels without
+    a prompt score 0.
     """
+    label = F.col(species) if isinstance(species, str) else species
+    own = []
+    for block in prompt_blocks(prompts):
+        at = F.array_position(block.labels(), label).cast("int") - 1
+        own.append(cosine_to_own_prompt(block.vectors)("embedding", at))
     rest = [c for c in images.columns if c != "embedding"]
-    score: Column = F.lit(None).cast("double")
-    scored = images
-    names = []
-    for i, block in enumerate(prompt_blocks(prompts)):
-        name = f"_own{i}"
-        scored = scored.withColumn("_scores", _scores(block, engine)).withColumn(
-            name, _score_of(block, F.col("species_label"))
-        )
-        names.append(name)
-    if names:
-        score = F.coalesce(*names, F.lit(0.0))
-    return scored.select(*rest, score.alias("bioclip_score"))
+    return images.select(*rest, F.coalesce(*own, F.lit(0.0)).alias("bioclip_score"))
 
 
 def _relative(score: Column, low: Column, high: Column) -> Column:
@@ -239,38 +232,16 @@ def minmax_confidence(
     )
 
 
-def rank_by_species(
-    images: DataFrame,
-    prompts: DataFrame,
-    species: str,
-    top_n: int,
-    seq: str = "seq",
-    engine: str = "arrow",
-) -> DataFrame:
-    """Top ``top_n`` images for one species prompt, with score and confidence.
-
-    The candidates are the given rows. The confidence range covers all of them,
-    and equal scores keep table order.
-    """
-    prompt = prompts.filter(F.col("species") == species)
-    scored = with_own_score(images.withColumn("_label", F.col("species_label")).withColumn(
-        "species_label", F.lit(species)), prompt, engine)
-    scored = scored.withColumn("species_label", F.col("_label")).drop("_label")
+def rank_scored(scored: DataFrame, top_n: int, seq: str = "seq") -> DataFrame:
+    """Top rows by score, each with its place in the range of all rows."""
     return minmax_confidence(scored).orderBy(F.desc("bioclip_score"), seq).limit(top_n)
 
 
-def rank_each_species(
-    images: DataFrame,
-    prompts: DataFrame,
-    top_n: int,
-    seq: str = "seq",
-    engine: str = "arrow",
-) -> DataFrame:
-    """``rank_by_species`` for all labels at once, each among its own images.
+def rank_each_scored(scored: DataFrame, top_n: int, seq: str = "seq") -> DataFrame:
+    """Top rows of each label, each with its place in the range of its label.
 
     Only the winners meet the ranges, so the join is as small as the result.
     """
-    scored = with_own_score(images, prompts, engine)
     best = top_n_per_group(scored, ["species_label"], [F.desc("bioclip_score"), F.col(seq)], top_n)
     ranges = scored.groupBy("species_label").agg(
         F.min("bioclip_score").alias("low"), F.max("bioclip_score").alias("high")
@@ -280,3 +251,23 @@ def rank_each_species(
         .withColumn("confidence", _relative(F.col("bioclip_score"), F.col("low"), F.col("high")))
         .drop("low", "high")
     )
+
+
+def rank_by_species(
+    images: DataFrame, prompts: DataFrame, species: str, top_n: int, seq: str = "seq"
+) -> DataFrame:
+    """Top ``top_n`` images for one species prompt, with score and confidence.
+
+    The candidates are the given rows. The confidence range covers all of them,
+    and equal scores keep table order. The scores are read twice, for the range
+    and for the top; store them first when the images are many (``plans.jobs``).
+    """
+    prompt = prompts.filter(F.col("species") == species)
+    return rank_scored(with_own_score(images, prompt, F.lit(species)), top_n, seq)
+
+
+def rank_each_species(
+    images: DataFrame, prompts: DataFrame, top_n: int, seq: str = "seq"
+) -> DataFrame:
+    """``rank_by_species`` for all labels at once, each among its own images."""
+    return rank_each_scored(with_own_score(images, prompts), top_n, seq)

@@ -1,63 +1,81 @@
 """Whole jobs: detection, comparison, evaluation, counting and enrichment.
 
-Jobs return lazy DataFrames and take their inputs as DataFrames; the sinks in
-``spoorline.sources.sinks`` store what they return. Images carry ``seq`` (table
-order) and ``embedding``.
+Jobs take and return DataFrames; the sinks in ``spoorline.sources.sinks`` store
+what they return. Images carry ``seq`` (table order) and ``embedding``.
 """
 
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoorline import fixed_values as fixed
 from spoorline.functions import measures, text
 from spoorline.operators import aggregates, filters, joins, reports, sets
 from spoorline.operators.models import pipeline as registered
-from spoorline.operators.similarity import rank_by_species, rank_each_species, top1_species
+from spoorline.operators.similarity import (
+    prompt_blocks,
+    rank_each_scored,
+    rank_scored,
+    top1_species,
+    with_own_score,
+)
+from spoorline.session import stored
 
-# A selection of at most this many images is broadcast to prune other tables.
-BROADCAST_SELECTION = 100_000
 
+def select_images(
+    images: DataFrame, prompts: DataFrame, species: str, top_n: int, seq: str = "seq"
+) -> DataFrame:
+    """Top images of a label, without the unreadable ones that only filled a place.
 
-def _only_selected(df: DataFrame, selected: DataFrame, rows: int) -> DataFrame:
-    """Rows of the selected images; ``rows`` bounds the selection."""
-    ids = selected.select("image_id")
-    if rows <= BROADCAST_SELECTION:
-        ids = F.broadcast(ids)
-    return df.join(ids, "image_id", "left_semi")
+    The vectors, by far the widest column, are read once: scores are stored and
+    ranked from there. The selection is stored too, since every later step of a
+    detection run starts from it.
+    """
+    candidates = filters.filter_species(_marked(images), species)
+    prompt = prompts.filter(F.col("species") == species)
+    scored = stored(with_own_score(candidates, prompt, F.lit(species)), "scores")
+    return stored(_readable(rank_scored(scored, top_n, seq)), "selection")
 
 
-def select_images(
-    images: DataFrame, prompts: DataFrame, species: str, top_n: int, seq: str = "seq"
+def select_images_of_each(
+    images: DataFrame, prompts: DataFrame, top_n: int, seq: str = "seq"
 ) -> DataFrame:
-    """Top images of a label, without the unreadable ones that only filled a place."""
-    marked = filters.filter_species(images, species).withColumn(
-        "_readable", F.col("embedding").isNotNull()
-    )
-    ranked = rank_by_species(marked, prompts, species, top_n, seq)
+    """``select_images`` for every label at once, each among its own images."""
+    scored = stored(with_own_score(_marked(images), prompts), "scores")
+    return stored(_readable(rank_each_scored(scored, top_n, seq)), "selection")
+
+
+def _marked(images: DataFrame) -> DataFrame:
+    return images.withColumn("_readable", F.col("embedding").isNotNull())
+
+
+def _readable(ranked: DataFrame) -> DataFrame:
     return ranked.filter("_readable").drop("_readable")
 
 
 def detect_in(
     selected: DataFrame,
     pipeline: str,
-    species: str,
+    species: str | Column,
     raw: DataFrame,
     truth: DataFrame,
-    rows: int,
     results_root: str = "results",
 ) -> DataFrame:
     """Detection records of one pipeline for images already selected.
 
     ``raw`` is the detector output and ``truth`` the labels (image_id,
-    species_label, seq) of the whole dataset; both are cut to the selection first.
+    species_label, seq) of the whole dataset; both are cut to the selection first,
+    which is small next to them and, being stored, has a known size to plan by.
     """
-    found = _only_selected(raw, selected, rows)
-    located = registered(pipeline).localise(selected.withColumn("species", F.lit(species)), found)
-    judged = joins.with_ground_truth(located, _only_selected(truth, selected, rows))
-    return filters.to_detection_records(judged, pipeline, species, results_root)
+    ids = selected.select("image_id")
+    found = raw.join(ids, "image_id", "left_semi")
+    known = truth.join(ids, "image_id", "left_semi")
+    label = F.lit(species) if isinstance(species, str) else species
+    located = registered(pipeline).localise(selected.withColumn("species", label), found)
+    judged = joins.with_ground_truth(located, known)
+    return filters.to_detection_records(judged, pipeline, F.col("species"), results_root)
 
 
 def detect(
@@ -72,7 +90,7 @@ def detect(
 ) -> DataFrame:
     """One pipeline on one label: rank, localise, judge, make records."""
     selected = select_images(images, prompts, species, top_n)
-    return detect_in(selected, pipeline, species, raw, truth, top_n, results_root)
+    return detect_in(selected, pipeline, species, raw, truth, results_root)
 
 
 def detect_all_species(
@@ -85,16 +103,8 @@ def detect_all_species(
     results_root: str = "results",
 ) -> DataFrame:
     """``detect`` for every label at once, each label among its own images."""
-    marked = images.withColumn("_readable", F.col("embedding").isNotNull())
-    ranked = rank_each_species(marked, prompts, top_n)
-    selected = ranked.filter("_readable").drop("_readable")
-    found = raw.join(selected.select("image_id"), "image_id", "left_semi")
-    known = truth.join(selected.select("image_id"), "image_id", "left_semi")
-    located = registered(pipeline).localise(
-        selected.withColumn("species", F.col("species_label")), found
-    )
-    judged = joins.with_ground_truth(located.drop("species_label"), known)
-    return filters.to_detection_records(judged, pipeline, F.col("species"), results_root)
+    selected = select_images_of_each(images, prompts, top_n)
+    return detect_in(selected, pipeline, F.col("species_label"), raw, truth, results_root)
 
 
 @dataclass(frozen=True)
@@ -121,7 +131,7 @@ def compare_pipelines(
     """
     selected = select_images(images, prompts, species, top_n)
     parts = [
-        detect_in(selected, name, species, found, truth, top_n, results_root)
+        detect_in(selected, name, species, found, truth, results_root)
         for name, found in raw.items()
     ]
     detections = sets.union_pipelines(parts)
@@ -156,8 +166,8 @@ def evaluation_rows(
     images of each label. Labels without an image get no prompt either.
     """
     present = images.select(F.col("species_label").alias("species")).distinct()
-    used = prompts.join(present, "species", "left_semi")
-    labels = [r.species for r in used.select("species", "ord").orderBy("ord").collect()]
+    used = prompt_blocks(prompts.join(present, "species", "left_semi"))
+    labels = [species for block in used for species in block.species]
     chosen = sets.concat_species(images, labels, per_species)
     if files is not None:
         chosen = filters.keep_existing(chosen, files)
