@@ -107,9 +107,12 @@ def read_annotations(spark: SparkSession, path: str, nested: bool = False) -> Da
         F.monotonically_increasing_id(),
     )
     body = F.concat(F.regexp_extract("value", r"(?s).*(\{.*)$", 1), F.lit("}"))
+    # The condition is part of the value too: filters may be evaluated in any order,
+    # and other pieces of the document must not reach the parser.
+    body = F.when(body.contains('"image_id"'), body)
     return (
         pieces.select(place.alias("pos"), body.alias("body"))
-        .filter(F.col("body").contains('"image_id"'))
+        .filter(F.col("body").isNotNull())
         .select("pos", F.from_json("body", schemas.ANNOTATION, {"mode": "FAILFAST"}).alias("a"))
         .select("pos", "a.*")
     )

@@ -1,0 +1,176 @@
+import pytest
+from pyspark.sql import functions as F
+
+from spoorline import schemas
+from spoorline.operators import models
+from spoorline.plans import jobs
+from spoorline.sources import sinks, tables
+
+
+@pytest.fixture
+def images(spark):
+    rows = [
+        ("i1", 1, "zebra", [1.0, 0.0]),
+        ("i2", 2, "zebra", [1.0, 1.0]),
+        ("i3", 3, "zebra", None),
+        ("i4", 4, "zebra", [0.0, 1.0]),
+        ("i5", 5, "lioncub", [0.1, 1.0]),
+        ("i6", 6, "lioncub", [1.0, 0.1]),
+        ("i7", 7, "buffalo", [1.0, 1.0]),
+    ]
+    df = spark.createDataFrame(
+        rows, "image_id string, seq int, species_label string, embedding array<float>")
+    return df.withColumns({
+        "local_image_path": F.concat(F.lit("images/"), "image_id", F.lit(".jpg")),
+        "site_id": F.lit("S1"), "latitude": F.lit(-2.0), "longitude": F.lit(34.0),
+        "habitat_type": F.lit("kopje"), "date_captured": F.lit("2010-07-20"),
+    })
+
+
+@pytest.fixture
+def prompts(spark):
+    return spark.createDataFrame(
+        [("zebra", 0, [1.0, 0.0]), ("lioncub", 1, [0.0, 1.0]), ("leopard", 2, [1.0, 1.0])],
+        "species string, ord int, embedding array<float>")
+
+
+@pytest.fixture
+def boxes(spark):
+    return spark.createDataFrame(
+        [("i1", 0, 16, 0.5, 1, 2, 3, 4), ("i1", 1, 20, 0.9, 5, 6, 7, 8),
+         ("i2", 0, 3, 0.8, 9, 9, 9, 9), ("i5", 0, 16, 0.9, 1, 1, 1, 1)], schemas.RAW_BOXES)
+
+
+def truth_of(images):
+    return images.select("image_id", "species_label", "seq")
+
+
+def test_detect(images, prompts, boxes, tmp_path, spark):
+    out = jobs.detect(
+        images, prompts, boxes, truth_of(images), "bioclip_yolo", "zebra", top_n=3)
+    assert out.columns == schemas.DETECTIONS.fieldNames()
+    got = {r.image_id: r for r in out.collect()}
+    # i3 is unreadable and shares the lowest score with i4; it fills a place and is skipped.
+    assert set(got) == {"i1", "i2"}
+    assert got["i1"].location == "5,6,7,8" and got["i1"].instance_count == 2
+    assert got["i1"].confidence == 1.0 and got["i2"].confidence == 0.7071
+    assert got["i2"].location == "9,9,9,9" and got["i2"].instance_count == 1
+    assert {r.correct for r in got.values()} == {"correct"}
+    again = jobs.detect(
+        images, prompts, boxes, truth_of(images), "bioclip_yolo", "zebra", top_n=3)
+    assert {r.detection_id for r in again.collect()} == {r.detection_id for r in got.values()}
+    path = str(tmp_path / "detections")
+    sinks.write_detections(out, path)
+    assert tables.read_detections(spark, path, "bioclip_yolo", "zebra").count() == 2
+
+
+def test_detect_with_conflicting_truth(images, prompts, boxes):
+    later = truth_of(images).filter("image_id = 'i1'").withColumns(
+        {"species_label": F.lit("leopard"), "seq": F.lit(99)})
+    truth = truth_of(images).filter("image_id <> 'i2'").unionByName(later)
+    out = jobs.detect(images, prompts, boxes, truth, "bioclip_yolo", "zebra", top_n=3)
+    got = {r.image_id: (r.ground_truth_species, r.correct) for r in out.collect()}
+    assert got == {"i1": ("leopard", "incorrect"), "i2": ("unknown", "unknown")}
+
+
+def test_detect_nothing(images, prompts, boxes):
+    out = jobs.detect(images, prompts, boxes, truth_of(images), "bioclip_yolo", "cheetah")
+    assert out.count() == 0
+
+
+def test_detect_all_equals_detect_of_each(images, prompts, boxes, rows):
+    every = jobs.detect_all_species(
+        images, prompts, boxes, truth_of(images), "bioclip_yolo", top_n=2)
+    columns = ["image_id", "confidence", "location", "detection_id", "correct"]
+    for species in ("zebra", "lioncub"):
+        alone = jobs.detect(
+            images, prompts, boxes, truth_of(images), "bioclip_yolo", species, top_n=2)
+        assert rows(every.filter(F.col("species") == species), *columns) == rows(alone, *columns)
+
+
+def test_compare(spark, images, prompts, boxes):
+    masks = spark.createDataFrame([("i1", 0, 0.4), ("i1", 1, 0.6)], schemas.RAW_MASKS)
+    runs = spark.createDataFrame([("bioclip_sam", 8.0)], schemas.PIPELINE_RUNS)
+    raw = {"bioclip_sam": masks, "bioclip_yolo": boxes, "bioclip_megadetector": boxes}
+    done = jobs.compare_pipelines(
+        images, prompts, raw, truth_of(images), runs, "zebra", top_n=2)
+    assert done.detections.count() == 6
+    got = {r.pipeline: r for r in done.metrics.collect()}
+    assert (got["bioclip_sam"].localised, got["bioclip_yolo"].localised,
+            got["bioclip_megadetector"].localised) == (1, 2, 1)
+    assert got["bioclip_sam"].seconds_per_image == 4.0
+    overlays = {r.image_path: r for r in done.overlays.collect()}
+    assert overlays["images/i1.jpg"].bioclip_yolo == "results/bioclip_yolo/overlays/i1_overlay.jpg"
+    assert done.report.filter("section = 1").count() == 6
+
+
+def test_evaluate(spark, images, prompts):
+    rows = jobs.evaluation_rows(images, prompts)
+    got = {r.image_id: r for r in rows.collect()}
+    assert set(got) == {"i1", "i2", "i4", "i5", "i6"}  # i3 unreadable, i7 without prompt
+    assert "score_leopard" not in rows.columns  # no leopard image, so no leopard prompt
+    assert got["i2"].predicted_species == "zebra"
+    assert got["i4"].correct is False and got["i4"].true_species_score == 0.0
+    done = jobs.summarise_evaluation(rows, ["zebra", "lioncub"])
+    assert tuple(done.accuracy.first())[:2] == (5, 3)
+    first = jobs.evaluation_rows(images, prompts, per_species=1)
+    assert {r.image_id for r in first.collect()} == {"i1", "i5"}
+    there = spark.createDataFrame([("images/i1.jpg",)], "path string")
+    assert jobs.evaluation_rows(images, prompts, files=there).count() == 1
+
+
+def test_evaluate_models(spark, images, prompts):
+    located = spark.createDataFrame(
+        [("i1", True, 0.9, "x"), ("i2", True, 0.0, "x"), ("i5", False, 0.5, "x")],
+        "image_id string, has_mask boolean, quality double, backend string")
+    rows = jobs.model_rows(images, prompts, located)
+    assert rows.select(*schemas.MODEL_COMPARISON.fieldNames()).count() == 5
+    done = jobs.summarise_models(rows, ["zebra", "lioncub"])
+    got = {r.stage: r.correct for r in done.metrics.collect()}
+    assert got == {"identification": 3, "localisation": 1, "combined": 1}
+    assert [tuple(r) for r in done.confusions.collect()] == [
+        ("lioncub", "zebra", 1), ("zebra", "lioncub", 1)]
+    assert done.report.count() > 10
+
+
+def test_counts_and_enrichment(spark, images):
+    annotations = spark.createDataFrame(
+        [(0, "i1", "2"), (1, "i2", "51+")], "pos long, image_id string, count string")
+    done = jobs.enrich_images(images, annotations)
+    assert done.match_rate.first().matched == 2
+    assert {r.ground_truth_count for r in done.distribution.collect()} == {"2", "51+"}
+    detections = spark.createDataFrame(
+        [("i1", "bioclip_sam", "zebra", 2), ("i2", "bioclip_sam", "zebra", 1),
+         ("i3", "bioclip_sam", "zebra", 1), ("i1", "bioclip_sam", "lioncub", 9)],
+        "image_id string, pipeline string, species string, instance_count int")
+    counted = jobs.evaluate_counts(detections, done.images, "zebra")
+    (row,) = counted.accuracy.collect()
+    assert row.mae == 25.0 and row.mean_gt == 26.5
+    assert row.exact_pct == pytest.approx(100 / 3)
+    every = {r.species: r for r in jobs.evaluate_all_counts(detections, done.images).collect()}
+    assert every["zebra"].mae == 25.0 and every["lioncub"].mae == 7.0
+    with pytest.raises(ValueError, match="ground_truth_count_num"):
+        jobs.evaluate_counts(detections, images, "zebra")
+
+
+def test_user_models(spark, images):
+    def encoder():
+        return lambda batch: batch * 10
+
+    readable = images.filter("embedding IS NOT NULL").withColumnRenamed("embedding", "content")
+    out = models.embed(readable, encoder, "content", width=2)
+    got = {r.image_id: list(r.embedding) for r in out.collect()}
+    assert got["i2"] == [10.0, 10.0]
+
+    def broken():
+        raise ImportError("not installed")
+
+    def spare():
+        return lambda content: [(16, 0.5, 0, 0, 1, 1)] * int(content[0] > 0.5)
+
+    make = models.first_loadable(("primary", broken), ("spare", spare))
+    boxes = models.detect_boxes(readable, make).collect()
+    assert {r.image_id for r in boxes} == {"i1", "i2", "i6", "i7"}
+    assert {r.backend for r in boxes} == {"spare"}
+    with pytest.raises(RuntimeError, match="no backend"):
+        models.first_loadable(("primary", broken))()
