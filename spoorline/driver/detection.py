@@ -176,7 +176,7 @@ records AS (
          'view' AS species, CAST(1 AS DOUBLE) AS confidence,
          coalesce(l.location_type, 'bbox') AS location_type,
          coalesce(l.location, 'no_detection') AS location,
-         round(coalesce(l.detection_quality, 0), 4) AS detection_quality,
+         round(1e-9 + coalesce(l.detection_quality, 0), 4) AS detection_quality,
          coalesce(l.instance_count, 0) AS instance_count,
          i.local_image_path AS image_path, '' AS mask_path,
          concat('results/bioclip_yolo/overlays/', i.image_id, '_overlay.jpg') AS overlay_path,
@@ -216,7 +216,7 @@ def predict_embed(spark, sf_dir):
 
 
 @query("""SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY i) - 1 AS INT)
-           AS box_id, CAST(i - 1 AS INT) AS class_id, round(v, 4) AS conf, backend
+           AS box_id, CAST(i - 1 AS INT) AS class_id, round(1e-9 + v, 4) AS conf, backend
 FROM (SELECT image_id, unnest(range(1, 65)) AS i,
              CAST(unnest(embedding) AS DOUBLE) AS v, 'second' AS backend FROM v_gallery)
 WHERE v > 0.2""")

@@ -14,7 +14,7 @@ combined AS (
          i.species AS bioclip_predicted, i.species = i.ground_truth_species AS bioclip_correct,
          coalesce(l.location <> 'no_detection' AND l.detection_quality > 0, FALSE)
            AS megadetector_localised,
-         round(coalesce(l.detection_quality, 0), 4) AS megadetector_quality,
+         round(1e-9 + coalesce(l.detection_quality, 0), 4) AS megadetector_quality,
          coalesce(l.pipeline, 'unknown') AS megadetector_backend,
          i.species = i.ground_truth_species
            AND coalesce(l.location <> 'no_detection' AND l.detection_quality > 0, FALSE)
@@ -92,8 +92,8 @@ model_comparison AS (
 
 
 @query(f"""WITH {MODEL_COMPARISON}
-SELECT stage, images, correct, round(rate_pct, 4) AS rate_pct, elapsed_s,
-       round(seconds_per_image, 4) AS seconds_per_image FROM model_comparison""")
+SELECT stage, images, correct, round(1e-9 + rate_pct, 4) AS rate_pct, elapsed_s,
+       round(1e-9 + seconds_per_image, 4) AS seconds_per_image FROM model_comparison""")
 def model_comparison(spark, sf_dir):
     out = aggregates.model_comparison(combined(spark, sf_dir), stage_runs(spark, sf_dir))
     return out.withColumns({c: round4(c) for c in ("rate_pct", "seconds_per_image")})
@@ -105,8 +105,8 @@ rates AS (
          100 * avg(CAST(megadetector_localised AS INT)) AS b,
          100 * avg(CAST(combined_correct AS INT)) AS c, count(*) AS images
   FROM combined GROUP BY true_species)
-SELECT true_species, round(a, 4) AS identification_pct, round(b, 4) AS localisation_pct,
-       round(c, 4) AS combined_pct, images,
+SELECT true_species, round(1e-9 + a, 4) AS identification_pct, round(1e-9 + b, 4) AS localisation_pct,
+       round(1e-9 + c, 4) AS combined_pct, images,
        CASE WHEN a > b THEN 'BioCLIP' ELSE 'MegaDetector' END AS winner
 FROM rates""")
 def model_comparison_by_species(spark, sf_dir):
@@ -147,8 +147,8 @@ def comparison(spark, sf_dir):
 
 @query(f"""WITH {METHODS}
 SELECT ord, pipeline, pipeline_label, processed, localised,
-       round(mean_confidence, 4) AS mean_confidence, round(mean_quality, 4) AS mean_quality,
-       round(elapsed_s, 4) AS elapsed_s, round(seconds_per_image, 4) AS seconds_per_image
+       round(1e-9 + mean_confidence, 4) AS mean_confidence, round(1e-9 + mean_quality, 4) AS mean_quality,
+       round(1e-9 + elapsed_s, 4) AS elapsed_s, round(1e-9 + seconds_per_image, 4) AS seconds_per_image
 FROM compared""")
 def method_comparison(spark, sf_dir):
     out = comparison(spark, sf_dir)
@@ -157,7 +157,7 @@ def method_comparison(spark, sf_dir):
 
 
 @query(f"""WITH {METHODS}
-SELECT m.pipeline, m.processed, m.localised, round(m.mean_quality, 4) AS mean_quality,
+SELECT m.pipeline, m.processed, m.localised, round(1e-9 + m.mean_quality, 4) AS mean_quality,
        d.pipeline_label,
        CASE m.pipeline WHEN 'bioclip_sam' THEN 'Multi-instance pixel masks'
                        WHEN 'bioclip_yolo' THEN 'Bounding box (single best)'

@@ -21,10 +21,10 @@ _RECORD = """substr(sha256(concat_ws('|', 'bioclip_yolo', o.species_label, o.ima
          o.image_id, 'bioclip_yolo' AS pipeline, g.date_captured AS timestamp,
          g.site_id AS camera_id, g.latitude, g.longitude, g.habitat_type,
          o.species_label AS species,
-         round(CASE WHEN high > low THEN (score - low) / (high - low) ELSE 1 END, 4)
+         round(1e-9 + CASE WHEN high > low THEN (score - low) / (high - low) ELSE 1 END, 4)
            AS confidence,
          'bbox' AS location_type, l.location,
-         round(l.detection_quality, 4) AS detection_quality, l.instance_count,
+         round(1e-9 + l.detection_quality, 4) AS detection_quality, l.instance_count,
          g.local_image_path AS image_path, '' AS mask_path,
          concat('results/bioclip_yolo/overlays/', o.image_id, '_overlay.jpg') AS overlay_path,
          o.species_label AS ground_truth_species, 'correct' AS correct"""
@@ -73,7 +73,7 @@ found AS (
                            WHERE class_id BETWEEN 16 AND 25 AND conf >= 0.2) b
     ON c.image_id = b.image_id GROUP BY c.image_id)
 SELECT pipeline, count(*) AS processed, count(*) FILTER (instance_count > 0) AS localised,
-       round(avg(round(detection_quality, 4)), 4) AS mean_quality
+       round(1e-9 + avg(round(1e-9 + detection_quality, 4)), 4) AS mean_quality
 FROM found GROUP BY pipeline""")
 def compare_job(spark, sf_dir):
     """Three detectors on the same ranked images, side by side."""
@@ -154,9 +154,9 @@ models AS (
 
 
 @query(f"""WITH {MODELS}
-SELECT true_species, round(100 * avg(CAST(bioclip_correct AS INT)), 4) AS identification_pct,
-       round(100 * avg(CAST(megadetector_localised AS INT)), 4) AS localisation_pct,
-       round(100 * avg(CAST(combined_correct AS INT)), 4) AS combined_pct, count(*) AS images,
+SELECT true_species, round(1e-9 + 100 * avg(CAST(bioclip_correct AS INT)), 4) AS identification_pct,
+       round(1e-9 + 100 * avg(CAST(megadetector_localised AS INT)), 4) AS localisation_pct,
+       round(1e-9 + 100 * avg(CAST(combined_correct AS INT)), 4) AS combined_pct, count(*) AS images,
        CASE WHEN avg(CAST(bioclip_correct AS INT)) > avg(CAST(megadetector_localised AS INT))
             THEN 'BioCLIP' ELSE 'MegaDetector' END AS winner
 FROM models GROUP BY true_species""")

@@ -27,5 +27,9 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def round4(c: str | Column) -> Column:
-    """Rounds away what differs between engines that add in another order."""
-    return F.round(c, 4)
+    """Rounds away what differs between engines that add in another order.
+
+    The offset, also in the SQL, moves means that lie just on a tie off it.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(F.lit(1e-9) + c, 4)

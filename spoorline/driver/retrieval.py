@@ -23,8 +23,8 @@ ranked AS (
   FROM scores),
 top1 AS (
   SELECT image_id, species_label AS true_species, species AS predicted_species,
-         species = species_label AS correct, round(score, 4) AS top1_score,
-         round(coalesce(own, 0), 4) AS true_species_score
+         species = species_label AS correct, round(1e-9 + score, 4) AS top1_score,
+         round(1e-9 + coalesce(own, 0), 4) AS true_species_score
   FROM ranked WHERE rn = 1)
 """
 OWN = f"""
@@ -36,7 +36,7 @@ own AS (
          row_number() OVER (PARTITION BY species_label ORDER BY score DESC, seq) AS rn
   FROM scores WHERE species = species_label)
 """
-_CONFIDENCE = """round(CASE WHEN high > low THEN (score - low) / (high - low)
+_CONFIDENCE = """round(1e-9 + CASE WHEN high > low THEN (score - low) / (high - low)
                             ELSE 1 END, 4) AS confidence"""
 
 
@@ -58,7 +58,7 @@ def top1_species_sql_engine(spark, sf_dir):
 
 
 @query(f"""WITH {TOP1} SELECT count(*) AS total, count(*) FILTER (correct) AS correct,
-  round(100.0 * count(*) FILTER (correct) / count(*), 4) AS accuracy_pct FROM top1""")
+  round(1e-9 + 100.0 * count(*) FILTER (correct) / count(*), 4) AS accuracy_pct FROM top1""")
 def top1_accuracy(spark, sf_dir):
     out = aggregates.top1_accuracy(top1(spark, sf_dir))
     return out.withColumn("accuracy_pct", round4("accuracy_pct"))
@@ -82,7 +82,7 @@ def confusions(spark, sf_dir):
     return aggregates.confusions(top1(spark, sf_dir))
 
 
-@query(f"""WITH {SCORES} SELECT image_id, species, ord, round(score, 4) AS score FROM scores""")
+@query(f"""WITH {SCORES} SELECT image_id, species, ord, round(1e-9 + score, 4) AS score FROM scores""")
 def score_all(spark, sf_dir):
     scores = similarity.score_all(
         view(spark, sf_dir, "v_gallery"), view(spark, sf_dir, "v_prompts")
@@ -93,7 +93,7 @@ def score_all(spark, sf_dir):
 @query(
     f"WITH {SCORES} SELECT image_id, "
     + ", ".join(
-        f"round(max(CASE WHEN species = '{i}' THEN score END), 4) AS score_{i}" for i in range(10)
+        f"round(1e-9 + max(CASE WHEN species = '{i}' THEN score END), 4) AS score_{i}" for i in range(10)
     )
     + " FROM scores GROUP BY image_id"
 )
@@ -108,7 +108,7 @@ def score_wide(spark, sf_dir):
 one AS (SELECT *, min(score) OVER () AS low, max(score) OVER () AS high,
                row_number() OVER (ORDER BY score DESC, seq) AS rn
         FROM scores WHERE species = '3')
-SELECT image_id, species_label, round(score, 4) AS bioclip_score, {_CONFIDENCE}
+SELECT image_id, species_label, round(1e-9 + score, 4) AS bioclip_score, {_CONFIDENCE}
 FROM one WHERE rn <= 15""")
 def rank_by_species(spark, sf_dir):
     """All images against one prompt, whatever their label."""
@@ -125,7 +125,7 @@ def rank_by_species(spark, sf_dir):
 
 
 @query(f"""WITH {OWN}
-SELECT image_id, species_label, round(score, 4) AS bioclip_score, {_CONFIDENCE}
+SELECT image_id, species_label, round(1e-9 + score, 4) AS bioclip_score, {_CONFIDENCE}
 FROM own WHERE rn <= 15""")
 def rank_each_species(spark, sf_dir):
     images = view(spark, sf_dir, "v_gallery").select(

@@ -47,7 +47,7 @@ def available_species(spark, sf_dir):
 
 
 @query(f"""WITH {JUDGED}
-SELECT i.images, i.species, i.sites, round(j.accuracy_pct, 4) AS accuracy_pct, j.pipelines_run
+SELECT i.images, i.species, i.sites, round(1e-9 + j.accuracy_pct, 4) AS accuracy_pct, j.pipelines_run
 FROM (SELECT count(*) AS images, count(DISTINCT species_label) AS species,
              count(DISTINCT site_id) AS sites FROM v_images) i,
      (SELECT 100.0 * count(*) FILTER (correct) / count(*) AS accuracy_pct,
@@ -62,7 +62,7 @@ _LABEL = """CASE pipeline WHEN 'bioclip_sam' THEN 'BioCLIP + SAM 3'
   AS pipeline_label"""
 
 
-@query(f"""SELECT pipeline, round(100 * avg(confidence), 4) AS confidence_pct, {_LABEL}
+@query(f"""SELECT pipeline, round(1e-9 + 100 * avg(confidence), 4) AS confidence_pct, {_LABEL}
 FROM v_detections GROUP BY pipeline""")
 def confidence_by_method(spark, sf_dir):
     out = aggregates.confidence_by_pipeline(view(spark, sf_dir, "v_detections"))
@@ -78,9 +78,9 @@ def confidence_histogram(spark, sf_dir):
 
 
 @query(f"""WITH {JUDGED}
-SELECT count(*) AS images, round(100.0 * count(*) FILTER (correct) / count(*), 4)
+SELECT count(*) AS images, round(1e-9 + 100.0 * count(*) FILTER (correct) / count(*), 4)
          AS accuracy_pct,
-       round(100 * avg(confidence), 4) AS confidence_pct,
+       round(1e-9 + 100 * avg(confidence), 4) AS confidence_pct,
        count(*) FILTER (localised) AS localised
 FROM judged""")
 def detection_metrics(spark, sf_dir):
@@ -90,7 +90,7 @@ def detection_metrics(spark, sf_dir):
 
 @query(f"""WITH {JUDGED}
 SELECT pipeline, count(*) AS rows,
-       round(100.0 * count(*) FILTER (correct) / count(*), 4) AS accuracy_pct, {_LABEL}
+       round(1e-9 + 100.0 * count(*) FILTER (correct) / count(*), 4) AS accuracy_pct, {_LABEL}
 FROM judged GROUP BY pipeline""")
 def export_summary(spark, sf_dir):
     out = aggregates.export_summary(judged(spark, sf_dir))
@@ -99,8 +99,8 @@ def export_summary(spark, sf_dir):
 
 @query(f"""WITH {PLACED}
 SELECT camera_id, habitat_type, count(image_id) AS images,
-       count(*) FILTER (correct) AS correct, round(avg(confidence), 4) AS mean_confidence,
-       round(100.0 * count(*) FILTER (correct) / count(image_id), 4) AS accuracy_pct
+       count(*) FILTER (correct) AS correct, round(1e-9 + avg(confidence), 4) AS mean_confidence,
+       round(1e-9 + 100.0 * count(*) FILTER (correct) / count(image_id), 4) AS accuracy_pct
 FROM placed GROUP BY camera_id, habitat_type""")
 def site_summary(spark, sf_dir):
     out = aggregates.site_summary(filters.geolocated(placed(spark, sf_dir)))

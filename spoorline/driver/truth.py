@@ -90,7 +90,7 @@ def enrich_ground_truth(spark, sf_dir):
 
 @query(f"""WITH {ENRICHED}
 SELECT count(ground_truth_count) AS matched, count(*) AS total,
-       round(100.0 * count(ground_truth_count) / count(*), 4) AS match_pct FROM enriched""")
+       round(1e-9 + 100.0 * count(ground_truth_count) / count(*), 4) AS match_pct FROM enriched""")
 def match_rate(spark, sf_dir):
     out = aggregates.match_rate(enriched(spark, sf_dir))
     return out.withColumn("match_pct", round4("match_pct"))
@@ -134,9 +134,9 @@ def count_errors(spark, sf_dir):
 
 
 _COUNT_ACCURACY = """
-  round(avg(instance_count), 4) AS mean_count, round(avg(gt_count), 4) AS mean_gt,
-  round(avg(count_error), 4) AS mae,
-  round(100 * avg(CASE WHEN exact_match THEN 1.0 ELSE 0.0 END), 4) AS exact_pct
+  round(1e-9 + avg(instance_count), 4) AS mean_count, round(1e-9 + avg(gt_count), 4) AS mean_gt,
+  round(1e-9 + avg(count_error), 4) AS mae,
+  round(1e-9 + 100 * avg(CASE WHEN exact_match THEN 1.0 ELSE 0.0 END), 4) AS exact_pct
 """
 
 
