@@ -9,6 +9,7 @@ import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.ml.functions import predict_batch_udf
@@ -28,18 +29,54 @@ def embed(
     column: str = "content",
     width: int | None = None,
     batch_size: int = 64,
+    skip_unreadable: bool = True,
 ) -> DataFrame:
     """Adds ``embedding``, computed in batches by ``make()(array) -> 2-d array``.
 
-    ``width`` is the vector length when the input column is itself a vector.
+    ``width`` is the vector length when the input column is itself a vector. A null
+    input, or one that the model fails on, gets a null embedding, the mark of an
+    unreadable image; with ``skip_unreadable`` off the failure ends the job.
     """
     encode = predict_batch_udf(
-        make,
+        _row_by_row_on_failure(make) if skip_unreadable else make,
         return_type=T.ArrayType(T.FloatType()),
         batch_size=batch_size,
         input_tensor_shapes=None if width is None else [[width]],
     )
-    return df.withColumn("embedding", encode(F.col(column)))
+    # The batch interface takes no nulls; stand-ins are dropped again below.
+    nothing = F.lit(bytearray()) if width is None else F.array_repeat(F.lit(float("nan")), width)
+    given = F.col(column)
+    vector = encode(F.coalesce(given, nothing.cast(df.schema[column].dataType)))
+    usable = given.isNotNull() & ~F.isnan(F.get("embedding", F.lit(0)))
+    return df.withColumn("embedding", vector).withColumn(
+        "embedding", F.when(usable, F.col("embedding"))
+    )
+
+
+def _row_by_row_on_failure(make: Callable) -> Callable:
+    """A model that answers NaN for each row it cannot handle."""
+
+    def load():
+        model = make()
+
+        def one(row):
+            try:
+                return np.asarray(model(row), dtype=np.float32)[0]
+            except Exception:  # noqa: BLE001 - whatever a decoder raises on a bad file
+                return None
+
+        def predict(batch):
+            try:
+                return np.asarray(model(batch), dtype=np.float32)
+            except Exception:  # noqa: BLE001 - find the rows that cause it
+                found = [one(batch[i : i + 1]) for i in range(len(batch))]
+            length = max((len(v) for v in found if v is not None), default=1)
+            unknown = np.full(length, np.nan, dtype=np.float32)
+            return np.stack([unknown if v is None else v for v in found])
+
+        return predict
+
+    return load
 
 
 DETECTED = T.StructType(
@@ -51,7 +88,8 @@ def detect_boxes(df: DataFrame, make: Callable, column: str = "content") -> Data
     """Raw boxes of each image, numbered from 0 in the order the model gives them.
 
     ``make()`` returns a detector and the name of its backend. The detector takes
-    one image and returns rows of (class_id, conf, x1, y1, x2, y2).
+    one image and returns rows of (class_id, conf, x1, y1, x2, y2). An image without
+    content has no boxes.
     """
     names = DETECTED.fieldNames()
 
@@ -65,7 +103,8 @@ def detect_boxes(df: DataFrame, make: Callable, column: str = "content") -> Data
             ]
             yield pd.DataFrame(rows, columns=names)
 
-    return df.select("image_id", column).mapInPandas(run, DETECTED)
+    readable = df.select("image_id", column).filter(F.col(column).isNotNull())
+    return readable.mapInPandas(run, DETECTED)
 
 
 def first_loadable(*backends: tuple[str, Callable]) -> Callable:

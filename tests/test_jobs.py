@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +175,37 @@ def test_user_models(spark, images):
     assert {r.backend for r in boxes} == {"spare"}
     with pytest.raises(RuntimeError, match="no backend"):
         models.first_loadable(("primary", broken))()
+
+
+def test_unreadable_images_get_no_vector(spark):
+    files = spark.createDataFrame(
+        [(f"i{n}", bytearray(b"ok" if n % 3 else b"bad")) for n in range(10)] + [("none", None)],
+        "image_id string, content binary")
+
+    def encoder():
+        def encode(batch):
+            if any(bytes(b) != b"ok" for b in batch):
+                raise OSError("cannot identify image file")
+            return np.ones((len(batch), 4))
+
+        return encode
+
+    got = {r.image_id: r.embedding for r in
+           models.embed(files, encoder, batch_size=4).collect()}
+    assert len(got) == 11
+    assert {k for k, v in got.items() if v is None} == {"i0", "i3", "i6", "i9", "none"}
+    assert got["i1"] == [1.0] * 4
+    with pytest.raises(Exception, match="cannot identify"):
+        models.embed(files, encoder, skip_unreadable=False).collect()
+
+
+def test_missing_vectors_stay_missing(spark):
+    df = spark.createDataFrame(
+        [("a", [1.0, 2.0]), ("b", None)], "image_id string, content array<float>")
+
+    def encoder():
+        return lambda batch: batch + 1
+
+    got = {r.image_id: r.embedding for r in
+           models.embed(df, encoder, "content", width=2).collect()}
+    assert got == {"a": [2.0, 3.0], "b": None}
