@@ -55,27 +55,28 @@ def _readable(ranked: DataFrame) -> DataFrame:
     return ranked.filter("_readable").drop("_readable")
 
 
-def detect_in(
-    selected: DataFrame,
-    pipeline: str,
-    species: str | Column,
-    raw: DataFrame,
-    truth: DataFrame,
-    results_root: str = "results",
-) -> DataFrame:
-    """Detection records of one pipeline for images already selected.
+def judge(selected: DataFrame, truth: DataFrame, species: str | Column) -> DataFrame:
+    """The selection with the label it is run for, its true label and the verdict.
 
-    ``raw`` is the detector output and ``truth`` the labels (image_id,
-    species_label, seq) of the whole dataset; both are cut to the selection first,
-    which is small next to them and, being stored, has a known size to plan by.
+    ``truth`` holds the labels (image_id, species_label, seq) of the whole dataset.
+    It is cut to the selection first, which is small next to it and, being stored,
+    has a known size to plan by.
     """
-    ids = selected.select("image_id")
-    found = raw.join(ids, "image_id", "left_semi")
-    known = truth.join(ids, "image_id", "left_semi")
     label = F.lit(species) if isinstance(species, str) else species
-    located = registered(pipeline).localise(selected.withColumn("species", label), found)
-    judged = joins.with_ground_truth(located, known)
-    return filters.to_detection_records(judged, pipeline, F.col("species"), results_root)
+    known = truth.join(selected.select("image_id"), "image_id", "left_semi")
+    return joins.with_ground_truth(selected.withColumn("species", label), known)
+
+
+def localise_in(
+    judged: DataFrame, pipeline: str, raw: DataFrame, results_root: str = "results"
+) -> DataFrame:
+    """Detection records of one pipeline for a judged selection.
+
+    ``raw`` is the detector output; boxes of other images are dropped first.
+    """
+    found = raw.join(judged.select("image_id"), "image_id", "left_semi")
+    located = registered(pipeline).localise(judged, found)
+    return filters.to_detection_records(located, pipeline, F.col("species"), results_root)
 
 
 def detect(
@@ -90,7 +91,7 @@ def detect(
 ) -> DataFrame:
     """One pipeline on one label: rank, localise, judge, make records."""
     selected = select_images(images, prompts, species, top_n)
-    return detect_in(selected, pipeline, species, raw, truth, results_root)
+    return localise_in(judge(selected, truth, species), pipeline, raw, results_root)
 
 
 def detect_all_species(
@@ -104,7 +105,8 @@ def detect_all_species(
 ) -> DataFrame:
     """``detect`` for every label at once, each label among its own images."""
     selected = select_images_of_each(images, prompts, top_n)
-    return detect_in(selected, pipeline, F.col("species_label"), raw, truth, results_root)
+    judged = judge(selected, truth, F.col("species_label"))
+    return localise_in(judged, pipeline, raw, results_root)
 
 
 @dataclass(frozen=True)
@@ -127,13 +129,11 @@ def compare_pipelines(
 ) -> Comparison:
     """The pipelines in ``raw`` on the same images, side by side.
 
-    The images are ranked once and the selection feeds every pipeline.
+    The images are ranked and judged once; the selection feeds every pipeline.
     """
     selected = select_images(images, prompts, species, top_n)
-    parts = [
-        detect_in(selected, name, species, found, truth, results_root)
-        for name, found in raw.items()
-    ]
+    judged = stored(judge(selected, truth, species), "judged")
+    parts = [localise_in(judged, name, found, results_root) for name, found in raw.items()]
     detections = sets.union_pipelines(parts)
     metrics = aggregates.pipeline_comparison(detections, runs)
     return Comparison(
