@@ -1,13 +1,13 @@
 """Top rows, per group or overall, and last-wins lookups."""
 
 from collections.abc import Sequence
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to this many rows per group each map task forwards at most n rows a group,
-# so one task can merge a hot group. Above it the group is salted first.
-SMALL_N = 100
+# Up to this many rows per group, what the map tasks forward fits one task.
+SMALL_N = 20
 
 
 def top_n_per_group(
@@ -15,14 +15,23 @@ def top_n_per_group(
 ) -> DataFrame:
     """First ``n`` rows of each group under ``order``, exactly.
 
-    ``row_number() <= n`` lets Spark cut each group inside the map task. That cut
-    is limited to small ``n``, so for larger ones a first round ranks salted
-    slices of each group in parallel and the second only merges their winners.
+    ``row_number() <= n`` lets Spark cut each group inside the map task, so a hot
+    group costs n rows per map task. For larger n these are merged in rounds: rows
+    are ranked by group and slice, a slice being a share of the map tasks, and only
+    the winners go on. Above the n up to which Spark cuts in the map task the first
+    round takes as many slices as there are shuffle partitions. How rows fall into
+    slices does not matter to the result.
     """
     if n > SMALL_N:
-        fan_out = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        salted = df.withColumn("_slice", F.pmod(F.xxhash64(*df.columns), F.lit(fan_out)))
-        df = _cut(salted, [*keys, "_slice"], order, n).drop("_slice")
+        conf = df.sparkSession.conf
+        wide = int(conf.get("spark.sql.shuffle.partitions"))
+        narrow = max(2, isqrt(wide))
+        cut_in_map = n <= int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+        df = df.withColumn("_slice", F.spark_partition_id())
+        for slices in [narrow] if cut_in_map else [wide, narrow]:
+            df = df.withColumn("_slice", F.col("_slice") % slices)
+            df = _cut(df, [*keys, "_slice"], order, n)
+        df = df.drop("_slice")
     return _cut(df, keys, order, n)
 
 

@@ -109,7 +109,7 @@ def test_minmax_per_group_and_overall(spark, rows):
     assert rows(free, "image_id", "confidence") == rows(grouped, "image_id", "confidence")
 
 
-@pytest.mark.parametrize("n", [1, 7, 150, 5000])
+@pytest.mark.parametrize("n", [1, 7, 150, 1200, 5000])
 def test_top_n_of_a_hot_group(spark, n):
     """One label holds most rows; the result is whole and exact for small and large n."""
     df = spark.range(0, 3000, 1, 6).select(
@@ -126,6 +126,15 @@ def test_top_n_of_a_hot_group(spark, n):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[:n] for k, v in want.items()}
 
 
+def test_large_n_is_merged_in_rounds(spark, plan):
+    df = spark.range(0, 3000, 1, 6).select(
+        (F.col("id") % 2).alias("species_label"), F.col("id").alias("seq"))
+    assert plan(ranking.head_per_species(df, 15)).count("Exchange") == 1
+    text = plan(ranking.head_per_species(df, 150))
+    assert text.count("Exchange") == 2 and "row_number(), 150, Partial" in text
+    assert plan(ranking.head_per_species(df, 1200)).count("Exchange") == 3
+
+
 def test_no_head_keeps_all(images):
     assert ranking.head_per_species(images, None).count() == 7
 
