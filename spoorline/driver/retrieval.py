@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from spoorline.driver.registry import query, round4
 from spoorline.driver.views import view
 from spoorline.functions.similarity import species_prompt as prompt_text
-from spoorline.operators import aggregates, filters, ranking, similarity
+from spoorline.operators import aggregates, filters, ranking, sets, similarity
 
 SCORES = """
 scores AS (
@@ -156,6 +156,14 @@ def head_per_species(spark, sf_dir):
     return ranking.head_per_species(images, 150)
 
 
+@query("""SELECT image_id, species_label, seq FROM (
+  SELECT *, row_number() OVER (PARTITION BY species_label ORDER BY seq) AS rn FROM v_images)
+WHERE rn <= 1500 AND species_label IN ('view', 'click')""")
+def concat_species(spark, sf_dir):
+    images = view(spark, sf_dir, "v_images").select("image_id", "species_label", "seq")
+    return sets.concat_species(images, ["view", "zebra", "click"], 1500)
+
+
 @query("""SELECT DISTINCT species_label AS species,
   concat('a camera trap photo of a ', species_label, ' in African savanna') AS prompt
 FROM v_images""")

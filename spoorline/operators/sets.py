@@ -4,7 +4,6 @@ from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from spoorline.operators.ranking import head_per_species
 
@@ -20,5 +19,5 @@ def union_pipelines(frames: Iterable[DataFrame | None]) -> DataFrame:
 def concat_species(
     images: DataFrame, species: list[str], n: int | None = None, seq: str = "seq"
 ) -> DataFrame:
-    """The images of the listed labels, at most ``n`` of each, in one pass."""
-    return head_per_species(images.filter(F.col("species_label").isin(species)), n, seq)
+    """The images of the listed labels, at most ``n`` of each."""
+    return head_per_species(images, n, seq, species)

@@ -116,14 +116,15 @@ def test_top_n_of_a_hot_group(spark, n):
         F.when(F.col("id") % 10 == 0, "rare").otherwise("hot").alias("species_label"),
         ((F.col("id") * 7919) % 3001).alias("seq"),
     )
-    out = ranking.head_per_species(df, n)
-    got = {}
-    for r in out.collect():
-        got.setdefault(r.species_label, []).append(r.seq)
     want = {}
     for r in df.collect():
         want.setdefault(r.species_label, []).append(r.seq)
-    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[:n] for k, v in want.items()}
+    want = {k: sorted(v)[:n] for k, v in want.items()}
+    for labels in (None, ["hot", "rare", "absent"]):
+        got = {}
+        for r in ranking.head_per_species(df, n, labels=labels).collect():
+            got.setdefault(r.species_label, []).append(r.seq)
+        assert {k: sorted(v) for k, v in got.items()} == want
 
 
 def test_large_n_is_merged_in_rounds(spark, plan):
