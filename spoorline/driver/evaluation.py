@@ -105,7 +105,8 @@ rates AS (
          100 * avg(CAST(megadetector_localised AS INT)) AS b,
          100 * avg(CAST(combined_correct AS INT)) AS c, count(*) AS images
   FROM combined GROUP BY true_species)
-SELECT true_species, round(1e-9 + a, 4) AS identification_pct, round(1e-9 + b, 4) AS localisation_pct,
+SELECT true_species, round(1e-9 + a, 4) AS identification_pct,
+       round(1e-9 + b, 4) AS localisation_pct,
        round(1e-9 + c, 4) AS combined_pct, images,
        CASE WHEN a > b THEN 'BioCLIP' ELSE 'MegaDetector' END AS winner
 FROM rates""")
@@ -147,8 +148,10 @@ def comparison(spark, sf_dir):
 
 @query(f"""WITH {METHODS}
 SELECT ord, pipeline, pipeline_label, processed, localised,
-       round(1e-9 + mean_confidence, 4) AS mean_confidence, round(1e-9 + mean_quality, 4) AS mean_quality,
-       round(1e-9 + elapsed_s, 4) AS elapsed_s, round(1e-9 + seconds_per_image, 4) AS seconds_per_image
+       round(1e-9 + mean_confidence, 4) AS mean_confidence,
+       round(1e-9 + mean_quality, 4) AS mean_quality,
+       round(1e-9 + elapsed_s, 4) AS elapsed_s,
+       round(1e-9 + seconds_per_image, 4) AS seconds_per_image
 FROM compared""")
 def method_comparison(spark, sf_dir):
     out = comparison(spark, sf_dir)

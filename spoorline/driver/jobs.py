@@ -156,7 +156,8 @@ models AS (
 @query(f"""WITH {MODELS}
 SELECT true_species, round(1e-9 + 100 * avg(CAST(bioclip_correct AS INT)), 4) AS identification_pct,
        round(1e-9 + 100 * avg(CAST(megadetector_localised AS INT)), 4) AS localisation_pct,
-       round(1e-9 + 100 * avg(CAST(combined_correct AS INT)), 4) AS combined_pct, count(*) AS images,
+       round(1e-9 + 100 * avg(CAST(combined_correct AS INT)), 4) AS combined_pct,
+       count(*) AS images,
        CASE WHEN avg(CAST(bioclip_correct AS INT)) > avg(CAST(megadetector_localised AS INT))
             THEN 'BioCLIP' ELSE 'MegaDetector' END AS winner
 FROM models GROUP BY true_species""")

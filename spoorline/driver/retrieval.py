@@ -82,7 +82,8 @@ def confusions(spark, sf_dir):
     return aggregates.confusions(top1(spark, sf_dir))
 
 
-@query(f"""WITH {SCORES} SELECT image_id, species, ord, round(1e-9 + score, 4) AS score FROM scores""")
+@query(f"""WITH {SCORES}
+SELECT image_id, species, ord, round(1e-9 + score, 4) AS score FROM scores""")
 def score_all(spark, sf_dir):
     scores = similarity.score_all(
         view(spark, sf_dir, "v_gallery"), view(spark, sf_dir, "v_prompts")
@@ -93,7 +94,8 @@ def score_all(spark, sf_dir):
 @query(
     f"WITH {SCORES} SELECT image_id, "
     + ", ".join(
-        f"round(1e-9 + max(CASE WHEN species = '{i}' THEN score END), 4) AS score_{i}" for i in range(10)
+        f"round(1e-9 + max(CASE WHEN species = '{i}' THEN score END), 4) AS score_{i}"
+        for i in range(10)
     )
     + " FROM scores GROUP BY image_id"
 )

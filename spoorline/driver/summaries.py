@@ -47,7 +47,8 @@ def available_species(spark, sf_dir):
 
 
 @query(f"""WITH {JUDGED}
-SELECT i.images, i.species, i.sites, round(1e-9 + j.accuracy_pct, 4) AS accuracy_pct, j.pipelines_run
+SELECT i.images, i.species, i.sites, round(1e-9 + j.accuracy_pct, 4) AS accuracy_pct,
+       j.pipelines_run
 FROM (SELECT count(*) AS images, count(DISTINCT species_label) AS species,
              count(DISTINCT site_id) AS sites FROM v_images) i,
      (SELECT 100.0 * count(*) FILTER (correct) / count(*) AS accuracy_pct,

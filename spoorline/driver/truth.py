@@ -187,6 +187,5 @@ def with_display_names(spark, sf_dir):
        WHEN instance_count = 1 THEN 'solitary' END AS social_structure
 FROM v_detections""")
 def social_structure(spark, sf_dir):
-    return view(spark, sf_dir, "v_detections").select(
-        "image_id", "pipeline", measures.social_structure("instance_count").alias("social_structure")
-    )
+    size = measures.social_structure("instance_count").alias("social_structure")
+    return view(spark, sf_dir, "v_detections").select("image_id", "pipeline", size)

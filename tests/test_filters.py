@@ -85,7 +85,8 @@ def test_overlays(spark, rows):
 
 
 def test_projection_and_guards(spark, images):
-    df = spark.createDataFrame([("a", 0.1234, True)], "image_id string, confidence double, correct boolean")
+    df = spark.createDataFrame(
+        [("a", 0.1234, True)], "image_id string, confidence double, correct boolean")
     out = filters.project_available(df)
     assert out.columns == ["image_id", "confidence", "correct"]
     assert out.first().confidence == "12.3%"
