@@ -80,10 +80,12 @@ def resolve_paths(
     )
 
 
-def keep_existing(images: DataFrame, files: DataFrame) -> DataFrame:
+def keep_existing(
+    images: DataFrame, files: DataFrame, path: str = "local_image_path"
+) -> DataFrame:
     """Images whose file is in the listing."""
-    known = files.select(F.col("path").alias("local_image_path"))
-    return images.join(known, "local_image_path", "left_semi").select(*images.columns)
+    known = files.select(F.col("path").alias(path))
+    return images.join(known, path, "left_semi").select(*images.columns)
 
 
 def existing_counts(images: DataFrame, files: DataFrame) -> DataFrame:

@@ -163,14 +163,12 @@ def evaluation_rows(
     """Predicted and true label of each image of a prompted label.
 
     ``files`` drops images that are not on disk; ``per_species`` keeps the first
-    images of each label. Labels without an image get no prompt either.
+    images of each label, missing ones counted. Labels without an image get no prompt either.
     """
     present = images.select(F.col("species_label").alias("species")).distinct()
     used = prompt_blocks(prompts.join(present, "species", "left_semi"))
     labels = [species for block in used for species in block.species]
     chosen = sets.concat_species(images, labels, per_species)
-    if files is not None:
-        chosen = filters.keep_existing(chosen, files)
     chosen = filters.with_defaults(
         chosen, {"site_id": "", "latitude": 0.0, "longitude": 0.0, "local_image_path": ""}
     )
@@ -184,6 +182,9 @@ def evaluation_rows(
         "embedding",
     )
     top = top1_species(needed, used, wide=wide)
+    if files is not None:
+        # After scoring, so that the join moves no vectors.
+        top = filters.keep_existing(top, files, "image_path")
     order = [
         "image_id",
         "image_path",
