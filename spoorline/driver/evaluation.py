@@ -117,6 +117,58 @@ def model_comparison_by_species(spark, sf_dir):
     )
 
 
+LABELS = ["click", "error", "purchase", "signup", "view"]
+
+
+@query(f"""WITH {MODEL_COMPARISON},
+cells AS (
+  SELECT 0 AS i, 'Images evaluated' AS label, stage, CAST(images AS VARCHAR) AS v
+  FROM model_comparison
+  UNION ALL
+  SELECT 1, 'Correct / Localised', stage, CAST(correct AS VARCHAR) FROM model_comparison
+  UNION ALL
+  SELECT 2, 'Accuracy / Localisation rate', stage, printf('%.1f%%', CAST(rate_pct AS DOUBLE))
+  FROM model_comparison
+  UNION ALL
+  SELECT 3, 'Total runtime', stage, coalesce(printf('%.1fs', elapsed_s), '—')
+  FROM model_comparison
+  UNION ALL
+  SELECT 4, 'Avg time per image', stage, coalesce(printf('%.2fs', seconds_per_image), '—')
+  FROM model_comparison),
+species AS (
+  SELECT true_species, 100 * avg(CAST(bioclip_correct AS INT)) AS a,
+         100 * avg(CAST(megadetector_localised AS INT)) AS b,
+         100 * avg(CAST(combined_correct AS INT)) AS c, count(*) AS n
+  FROM combined GROUP BY true_species),
+wrong AS (
+  SELECT true_species, bioclip_predicted, count(*) AS times FROM combined
+  WHERE NOT bioclip_correct GROUP BY 1, 2 ORDER BY times DESC, 1, 2 LIMIT 8)
+SELECT 1 AS section, CAST(i AS DOUBLE) AS rank,
+       concat(printf('%-40s', label), ' ',
+              lpad(max(CASE stage WHEN 'identification' THEN v END), 10, ' '), ' ',
+              lpad(max(CASE stage WHEN 'localisation' THEN v END), 8, ' '), ' ',
+              lpad(max(CASE stage WHEN 'combined' THEN v END), 10, ' ')) AS text
+FROM cells GROUP BY i, label
+UNION ALL
+SELECT 3, list_position({LABELS}, true_species),
+       printf('%-22s %10s %8s %10s %4d', true_species, printf('%.1f%%', a),
+              printf('%.1f%%', b), printf('%.1f%%', c), n)
+FROM species
+UNION ALL
+SELECT 5, -times, printf('  %-18s -> %-18s (%d times)', true_species, bioclip_predicted, times)
+FROM wrong""")
+def model_report_lines(spark, sf_dir):
+    """Metric, species and confusion lines of the model comparison page."""
+    rows = combined(spark, sf_dir)
+    lines = reports.model_report(
+        aggregates.model_comparison(rows, stage_runs(spark, sf_dir)),
+        aggregates.model_comparison_by_species(rows),
+        aggregates.confusions(rows, 8, "bioclip_predicted", "bioclip_correct"),
+        LABELS,
+    )
+    return lines.filter(F.col("section").isin(1, 3, 5)).select("section", "rank", "text")
+
+
 METHODS = """
 method_runs AS (
   SELECT pipeline, count(*) * CAST(0.125 AS DOUBLE) AS elapsed_s FROM v_detections

@@ -3,11 +3,11 @@
 from pyspark.sql import functions as F
 
 from spoorline import schemas
-from spoorline.driver.registry import query
-from spoorline.driver.retrieval import TOP1, top1
+from spoorline.driver.registry import query, round4
+from spoorline.driver.retrieval import SCORES, TOP1, top1
 from spoorline.driver.truth import ERRORS, errors
 from spoorline.driver.views import table, view
-from spoorline.operators import aggregates, filters
+from spoorline.operators import aggregates, filters, similarity
 from spoorline.operators.images import validate_images as validate
 from spoorline.session import scratch_dir
 from spoorline.sources import sinks, tables
@@ -183,6 +183,17 @@ def evaluation_roundtrip(spark, sf_dir):
     )
 
 
+@query(f"WITH {SCORES} SELECT image_id, species, round(1e-9 + score, 4) AS score FROM scores")
+def scores_roundtrip(spark, sf_dir):
+    """Scores stored in long form, which needs no column per label."""
+    path = scratch_dir(spark, "scores")
+    scores = similarity.score_all(
+        view(spark, sf_dir, "v_gallery"), view(spark, sf_dir, "v_prompts")
+    )
+    sinks.write_evaluation(scores.select("image_id", "species", "score"), path)
+    return tables.read_scores(spark, path).withColumn("score", round4("score"))
+
+
 @query(f"""WITH {ERRORS}
 SELECT image_id, pipeline, instance_count, gt_count, ground_truth_count, count_error,
        exact_match FROM errors""")

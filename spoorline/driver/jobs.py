@@ -153,16 +153,7 @@ models AS (
 """
 
 
-@query(f"""WITH {MODELS}
-SELECT true_species, round(1e-9 + 100 * avg(CAST(bioclip_correct AS INT)), 4) AS identification_pct,
-       round(1e-9 + 100 * avg(CAST(megadetector_localised AS INT)), 4) AS localisation_pct,
-       round(1e-9 + 100 * avg(CAST(combined_correct AS INT)), 4) AS combined_pct,
-       count(*) AS images,
-       CASE WHEN avg(CAST(bioclip_correct AS INT)) > avg(CAST(megadetector_localised AS INT))
-            THEN 'BioCLIP' ELSE 'MegaDetector' END AS winner
-FROM models GROUP BY true_species""")
-def models_job(spark, sf_dir):
-    """Identification by vectors against localisation by one pipeline."""
+def _model_rows(spark, sf_dir):
     found = (
         view(spark, sf_dir, "v_detections")
         .filter("pipeline = 'bioclip_sam'")
@@ -173,13 +164,42 @@ def models_job(spark, sf_dir):
             F.col("pipeline").alias("backend"),
         )
     )
-    rows = jobs.model_rows(_gallery(spark, sf_dir), view(spark, sf_dir, "v_prompts"), found)
+    return jobs.model_rows(_gallery(spark, sf_dir), view(spark, sf_dir, "v_prompts"), found)
+
+
+@query(f"""WITH {MODELS}
+SELECT true_species, round(1e-9 + 100 * avg(CAST(bioclip_correct AS INT)), 4)
+         AS identification_pct,
+       round(1e-9 + 100 * avg(CAST(megadetector_localised AS INT)), 4) AS localisation_pct,
+       round(1e-9 + 100 * avg(CAST(combined_correct AS INT)), 4) AS combined_pct,
+       count(*) AS images,
+       CASE WHEN avg(CAST(bioclip_correct AS INT)) > avg(CAST(megadetector_localised AS INT))
+            THEN 'BioCLIP' ELSE 'MegaDetector' END AS winner
+FROM models GROUP BY true_species""")
+def models_job(spark, sf_dir):
+    """Identification by vectors against localisation by one pipeline."""
+    rows = _model_rows(spark, sf_dir)
     done = jobs.summarise_models(rows, [str(i) for i in range(10)])
     return done.by_species.withColumns(
         {c: round4(c) for c in ("identification_pct", "localisation_pct", "combined_pct")}
     )
 
 
+@query(f"WITH {MODELS} SELECT * FROM models")
+def models_roundtrip(spark, sf_dir):
+    """Model rows stored and read back with the declared schema."""
+    path = scratch_dir(spark, "models")
+    sinks.write_model_comparison(_model_rows(spark, sf_dir), path)
+    return tables.read_comparison(spark, path).select(
+        "image_id",
+        "true_species",
+        "bioclip_predicted",
+        "bioclip_correct",
+        "megadetector_localised",
+        "combined_correct",
+    )
+
+
 @query(f"""WITH {ERRORS}
 SELECT species, pipeline, {_COUNT_ACCURACY} FROM errors GROUP BY species, pipeline""")
 def counts_job(spark, sf_dir):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from spoorline.driver.registry import query, round4
 from spoorline.driver.views import view
 from spoorline.functions import measures
-from spoorline.operators import aggregates, filters, joins
+from spoorline.operators import aggregates, filters, joins, reports
 
 LAST_LABEL = """
 last_label AS (
@@ -151,6 +151,22 @@ def count_accuracy(spark, sf_dir):
     return rounded_accuracy(aggregates.count_accuracy(errors(spark, sf_dir)))
 
 
+@query(f"""WITH {ERRORS},
+means AS (
+  SELECT pipeline, avg(instance_count) AS a, avg(gt_count) AS b, avg(count_error) AS c,
+         100 * avg(CAST(exact_match AS INT)) AS d
+  FROM errors GROUP BY pipeline)
+SELECT 1 AS section,
+       CAST(list_position(['bioclip_sam', 'bioclip_yolo', 'bioclip_megadetector'], pipeline)
+            AS DOUBLE) AS rank,
+       printf('%-28s %10.1f %9.1f %7.1f %7.1f%%', pipeline, a, b, c, d) AS text
+FROM means""")
+def count_report_lines(spark, sf_dir):
+    """Metric lines of the counting page."""
+    lines = reports.count_report(aggregates.count_accuracy(errors(spark, sf_dir)), "all")
+    return lines.filter("section = 1").select("section", "rank", "text")
+
+
 @query(f"""WITH repeated AS (
   SELECT image_id, CASE WHEN count = '11-50' THEN 15 WHEN count = '51+' THEN 51
                         WHEN count IS NULL THEN NULL
