@@ -4,7 +4,9 @@ Group keys here are labels, pipelines or sites, of which one may hold most rows;
 every aggregate therefore reduces inside the map task before it shuffles.
 """
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoorline import fixed_values as fixed
@@ -127,27 +129,29 @@ def count_accuracy(errors: DataFrame) -> DataFrame:
     )
 
 
-def count_accuracy_from(detections: DataFrame, truth: DataFrame) -> DataFrame:
-    """``count_accuracy`` over the joined rows without building them.
+def count_accuracy_from(
+    detections: DataFrame, truth: DataFrame, by: Sequence[str] = ("pipeline",)
+) -> DataFrame:
+    """``count_accuracy`` over the joined rows without building them all.
 
-    Repeated images on both sides multiply in the join. Here each side is first
-    reduced to its distinct counts per image with a weight, so a hot image meets
-    only as many rows as it has different counts.
+    Images repeated on both sides multiply in the join. Here the truth is first
+    reduced to the distinct counts of each image with a weight; there are only a
+    dozen count labels, so a detection meets a dozen rows at most.
     """
-    left = detections.groupBy("pipeline", "image_id", "instance_count").agg(
-        F.count("*").alias("_n")
+    weighted = truth.groupBy("image_id", "gt_count").agg(F.count("*").alias("_m"))
+    joined = (
+        detections.select(*by, "image_id", "instance_count")
+        .join(weighted, "image_id", "left")
+        .withColumn("_w", F.coalesce("_m", F.lit(1)))
     )
-    right = truth.groupBy("image_id", "gt_count").agg(F.count("*").alias("_m"))
-    weight = F.col("_n") * F.coalesce("_m", F.lit(1))
-    joined = left.join(right, "image_id", "left").withColumn("_w", weight)
     error = F.abs(F.col("instance_count") - F.col("gt_count"))
     exact = measures.exact_match("instance_count", "gt_count")
 
-    def mean(value):
+    def mean(value: Column) -> Column:
         whole = F.sum(F.when(value.isNotNull(), F.col("_w")))
         return F.try_divide(F.sum(value * F.col("_w")).cast("double"), whole)
 
-    return joined.groupBy("pipeline").agg(
+    return joined.groupBy(*by).agg(
         mean(F.col("instance_count")).alias("mean_count"),
         mean(F.col("gt_count")).alias("mean_gt"),
         mean(error).alias("mae"),
