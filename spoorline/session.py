@@ -1,5 +1,9 @@
 """Session settings and the shared scratch folder."""
 
+import atexit
+import functools
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -25,15 +29,26 @@ def local_session(cores: int | str = "*", app: str = "spoorline") -> SparkSessio
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder for intermediate tables, on storage every executor can see.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``. Only a
-    session without that setting (a unit test) falls back to a local folder.
+    The cluster names its shared folder in ``spark.checkpoint.dir``. Only a local
+    session without that setting (a unit test) gets a folder of its own machine; on
+    a cluster the executors would each write to their own disk, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="spoorline-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _local_root()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+@functools.cache
+def _local_root() -> str:
+    """One folder a process, removed when it ends."""
+    root = tempfile.mkdtemp(prefix="spoorline-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """The rows written to a new scratch table and read back.
 
