@@ -40,3 +40,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoorline.llm import pii
+
+    found = table(spark, sf_dir, "documents").select("doc_id", pii.spans("text").alias("found"))
+
+    def listed(which):
+        shown = F.transform(which, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+        return F.concat_ws(",", shown)
+
+    def count(kind):
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *map(count, pii.KINDS),
+        F.sha2(listed(F.filter("found", lambda s: s["base"])), 256).alias("base_sha256"),
+        listed(F.col("found")).alias("spans"),
+    )
