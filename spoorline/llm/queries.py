@@ -61,3 +61,18 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed(F.filter("found", lambda s: s["base"])), 256).alias("base_sha256"),
         listed(F.col("found")).alias("spans"),
     )
+
+
+@query
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoorline.llm import language
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    predict = language.learned(docs)
+    found = docs.select("doc_id", predict("text").alias("found"))
+    return found.select(
+        "doc_id",
+        (language.fold(F.col("doc_id")) == 2).alias("held_out"),
+        F.col("found.lang").alias("lang_pred"),
+        F.col("found.score").alias("score"),
+    )
