@@ -32,13 +32,13 @@ def tokenizer_path(name: str) -> str:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spoorline.llm import bpe
 
-    encode, decode = bpe.codec(spark, tokenizer_path("byte_bpe_50k.json"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", encode("text").alias("ids"))
-    return docs.withColumn("decoded", decode("ids")).select(
+    _, _, round_trip = bpe.codec(spark, tokenizer_path("byte_bpe_50k.json"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", round_trip("text").alias("done"))
+    return docs.select(
         "doc_id",
-        bpe.token_count(F.col("ids")).alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        bpe.token_count(F.col("done.ids")).alias("n_tokens"),
+        F.sha2("done.ids", 256).alias("ids_sha256"),
+        F.sha2("done.text", 256).alias("decoded_sha256"),
     )
 
 
@@ -76,3 +76,27 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("found.lang").alias("lang_pred"),
         F.col("found.score").alias("score"),
     )
+
+
+@query
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoorline.llm import contamination
+
+    return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _shingles_sql(relation: str, key: str) -> str:
+    """Distinct five-word shingles of each text; a shorter text is one shingle."""
+    return f"""
+    SELECT DISTINCT {key}, unnest(list_transform(range(1, greatest(len(w) - 3, 2)),
+                                                 lambda i: array_to_string(w[i:i + 4], ' '))) AS shingle
+    FROM (SELECT {key}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {relation})
+    WHERE len(w) > 0"""
+
+
+ORACLES["op7_decontaminate"] = f"""
+WITH d AS ({_shingles_sql("documents", "doc_id")}), b AS ({_shingles_sql("benchmark", "item_id")}),
+     sizes AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id),
+     shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (shingle) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shared, n_item FROM shared JOIN sizes USING (item_id) WHERE 5 * n_shared >= 4 * n_item
+"""
