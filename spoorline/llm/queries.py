@@ -100,3 +100,19 @@ WITH d AS ({_shingles_sql("documents", "doc_id")}), b AS ({_shingles_sql("benchm
      shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (shingle) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_shared, n_item FROM shared JOIN sizes USING (item_id) WHERE 5 * n_shared >= 4 * n_item
 """
+
+
+@query
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoorline.llm import shards
+
+    placed = shards.by_bytes(table(spark, sf_dir, "documents"), 24)
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
