@@ -291,11 +291,12 @@ def decode_ids(v: Vocabulary, packed: bytes | None) -> str:
 
 
 def codec(spark: SparkSession, path: str):
-    """``(encode, decode)``: column functions for the tokenizer file at ``path``.
+    """``(encode, decode, round_trip)``: column functions for the tokenizer file at ``path``.
 
     ``encode(text)`` gives the ids as packed little-endian unsigned 32-bit integers,
-    ``decode(packed)`` the text. The file's content travels with a broadcast; its size
-    is that of the vocabulary.
+    ``decode(packed)`` the text, and ``round_trip(text)`` both as (ids, text) from one
+    Python worker, where two column functions in a row would each start their own.
+    The file's content travels with a broadcast; its size is that of the vocabulary.
     """
     with open(path, encoding="utf-8") as file:
         shipped = spark.sparkContext.broadcast(file.read())
@@ -312,7 +313,14 @@ def codec(spark: SparkSession, path: str):
         for packed in batches:
             yield pd.Series([decode_ids(v, p) for p in packed], dtype=object)
 
-    return encode, decode
+    @F.pandas_udf("ids binary, text string")
+    def round_trip(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        v = vocabulary(shipped.value)
+        for texts in batches:
+            packed = [encode_text(v, t) for t in texts]
+            yield pd.DataFrame({"ids": packed, "text": [decode_ids(v, p) for p in packed]}, dtype=object)
+
+    return encode, decode, round_trip
 
 
 def token_count(packed: Column) -> Column:

@@ -73,12 +73,13 @@ def test_decoder_replaces_broken_bytes_as_the_library():
 
 
 def test_columns_nulls_and_empty_tables(spark):
-    encode, decode = bpe.codec(spark, PATH)
+    encode, decode, round_trip = bpe.codec(spark, PATH)
     rows = [(1, None, "x"), (None, "Hello world", "y"), (1, "", "z"), (1, "", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     out = docs.withColumn("packed", encode("text")).withColumn("decoded", decode("packed"))
     found = sorted((r.ids, ids(r.packed), r.decoded) for r in out.collect())
     assert found == [("x", [], ""), ("y", expected("Hello world"), "Hello world"), ("z", [], ""), ("z", [], "")]
+    assert {(ids(r.t.ids) == expected(r.text or ""), r.t.text) for r in docs.select("text", round_trip("text").alias("t")).collect()} == {(True, ""), (True, "Hello world")}
     assert docs.limit(0).select(encode("text").alias("e")).count() == 0
 
 
