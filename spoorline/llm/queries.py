@@ -137,3 +137,10 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= 10
 """
+
+
+@query
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoorline.llm import neardup
+
+    return neardup.classified(table(spark, sf_dir, "documents"))
