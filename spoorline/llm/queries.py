@@ -144,3 +144,11 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spoorline.llm import neardup
 
     return neardup.classified(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoorline.llm import backoff
+
+    docs = table(spark, sf_dir, "documents")
+    return backoff.scored(docs, backoff.fold(F.col("doc_id")) == 2)
