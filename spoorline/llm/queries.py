@@ -152,3 +152,12 @@ def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return backoff.scored(docs, backoff.fold(F.col("doc_id")) == 2)
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoorline.llm import viterbi
+
+    count = viterbi.counter(spark, viterbi.read_pieces(tokenizer_path("piece_bpe_32k.model")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", count("text").alias("found"))
+    return docs.select("doc_id", "found.n_tokens", "found.n_unknown", "found.score")
