@@ -161,3 +161,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = viterbi.counter(spark, viterbi.read_pieces(tokenizer_path("piece_bpe_32k.model")))
     docs = table(spark, sf_dir, "documents").select("doc_id", count("text").alias("found"))
     return docs.select("doc_id", "found.n_tokens", "found.n_unknown", "found.score")
+
+
+@query
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoorline.llm import secrets
+
+    return secrets.judged(table(spark, sf_dir, "documents"))
