@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoorline.llm import bpe, contamination, language, neardup, pii
+from spoorline.llm.shipping import shipped
 from spoorline.session import stored
 
 #: A text is rejected if no language makes up this share of it.
@@ -68,11 +69,11 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("language", identify_language),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
-    ("personal_data", redact_personal_data),
-    ("tokens", tokenise),
+    ("language", shipped(identify_language)),
+    ("near_duplicates", shipped(drop_near_duplicates)),
+    ("decontamination", shipped(drop_contaminated)),
+    ("personal_data", shipped(redact_personal_data)),
+    ("tokens", shipped(tokenise)),
 ]
 
 #: The mixture model, similarity classes and merges cannot be stated in SQL.

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from spoorline.llm.shipping import shipped
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {}
@@ -19,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def query(function: Callable[[SparkSession, str], DataFrame]):
     """Registers a query under the function's name."""
-    QUERIES[function.__name__] = function
+    QUERIES[function.__name__] = shipped(function)
     return function
 
 
