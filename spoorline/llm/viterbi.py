@@ -32,7 +32,7 @@ MARK = "▁"
 #: Below the smallest score: the price of an unknown character (fixed value).
 UNKNOWN_PENALTY = 10.0
 MEMO_CHARS = 48
-MEMO_SIZE = 250_000
+MEMO_SIZE = 200_000
 
 RESULT = T.StructType(
     [T.StructField("n_tokens", T.LongType()), T.StructField("n_unknown", T.LongType()), T.StructField("score", T.DoubleType())]
@@ -63,7 +63,38 @@ class Counter:
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         words_apart = any(p == MARK for p, _ in pieces) and not any(re.search(f"[^{MARK}]{MARK}", p) for p, _ in pieces)
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if words_apart else re.compile(r"(?s).+")
+        #: Words counted before, in two generations so that their number stays bounded.
         self.memo: dict[str, tuple[int, int, float]] = {}
+        self.older: dict[str, tuple[int, int, float]] = {}
+
+    def word(self, text: str) -> tuple[int, int, float]:
+        """``path`` of a short text, which may keep all its places."""
+        n, floor = len(text), float("-inf")
+        best, start, unknown = [0.0] + [floor] * n, [0] * (n + 1), self.unknown
+        strange = [False] * (n + 1)
+        at, single = 0, True  # the place that matches now lead to
+        for end, (size, score) in self.trie.iter(text) if self.pieces else ():
+            while at <= end:
+                if not single and best[at - 1] + unknown > best[at]:
+                    best[at], start[at], strange[at] = best[at - 1] + unknown, at - 1, True
+                at, single = at + 1, False
+            if size == 1:
+                single = True
+            reached = best[at - size] + score
+            if reached > best[at]:
+                best[at], start[at] = reached, at - size
+        while at <= n:
+            if not single and best[at - 1] + unknown > best[at]:
+                best[at], start[at], strange[at] = best[at - 1] + unknown, at - 1, True
+            at, single = at + 1, False
+        tokens = odd = 0
+        place, behind = n, False
+        while place:
+            own = strange[place]
+            if not (own and behind):  # a run of unknown characters is one token
+                tokens, odd = tokens + 1, odd + own
+            place, behind = start[place], own
+        return tokens, odd, best[n]
 
     def path(self, text: str) -> tuple[int, int, float]:
         """(tokens, unknown tokens, score) of the best path through a text.
@@ -104,9 +135,12 @@ class Counter:
         for word in self.words.findall(MARK + text.replace(" ", MARK)):
             found = memo.get(word)
             if found is None:
-                found = self.path(word)
-                if len(word) <= MEMO_CHARS:
+                if len(word) > MEMO_CHARS:
+                    found = self.path(word)
+                else:
+                    found = self.older.get(word) or self.word(word)
                     if len(memo) >= MEMO_SIZE:
+                        self.older = dict(memo)
                         memo.clear()
                     memo[word] = found
             tokens, strange, total = tokens + found[0], strange + found[1], total + found[2]

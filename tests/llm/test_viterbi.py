@@ -28,7 +28,9 @@ def expected(model, text):
 @given(st.one_of(st.text(alphabet="ab c", max_size=30), st.text(alphabet="abz ▁", max_size=12)))
 @settings(max_examples=400, deadline=None)
 def test_ties_and_unknowns_follow_the_library(text):
-    assert viterbi.Counter(TIES).count(text)[0] == expected(library(TIES), text)
+    own = viterbi.Counter(TIES)
+    assert own.count(text)[0] == expected(library(TIES), text)
+    assert own.word(text) == own.path(text)
 
 
 @given(st.text(max_size=80))
