@@ -198,15 +198,31 @@ def detection_records(spark, sf_dir):
     return filters.to_detection_records(judged, "bioclip_yolo", "view")
 
 
-@query("""SELECT image_id, CAST(e[1] * 2 AS DOUBLE) AS first, CAST(e[64] * 2 AS DOUBLE) AS last
-FROM (SELECT image_id, embedding AS e FROM v_gallery)""")
+def _with_gaps(spark, sf_dir):
+    """The gallery, where every 7th image has no content and every 11th cannot be read."""
+    broken = F.array_repeat(F.lit(-1.0).cast("float"), 64)
+    vector = F.when(F.col("seq") % 11 == 0, broken).otherwise(F.col("embedding"))
+    return view(spark, sf_dir, "v_gallery").select(
+        "image_id", F.when(F.col("seq") % 7 != 0, vector).alias("embedding")
+    )
+
+
+@query("""SELECT image_id,
+  CASE WHEN seq % 7 <> 0 AND seq % 11 <> 0 THEN CAST(e[1] * 2 AS DOUBLE) END AS first,
+  CASE WHEN seq % 7 <> 0 AND seq % 11 <> 0 THEN CAST(e[64] * 2 AS DOUBLE) END AS last
+FROM (SELECT image_id, seq, embedding AS e FROM v_gallery)""")
 def predict_embed(spark, sf_dir):
     """A user's encoder, here one that doubles a vector."""
 
     def make():
-        return lambda vectors: vectors * 2
+        def encode(vectors):
+            if (vectors < -0.99).all(axis=1).any():
+                raise models.UnreadableImage
+            return vectors * 2
 
-    images = view(spark, sf_dir, "v_gallery").select("image_id", "embedding")
+        return encode
+
+    images = _with_gaps(spark, sf_dir)
     out = models.embed(images, make, "embedding", width=64)
     return out.select(
         "image_id",
@@ -219,7 +235,7 @@ def predict_embed(spark, sf_dir):
            AS box_id, CAST(i - 1 AS INT) AS class_id, round(1e-9 + v, 4) AS conf, backend
 FROM (SELECT image_id, unnest(range(1, 65)) AS i,
              CAST(unnest(embedding) AS DOUBLE) AS v, 'second' AS backend FROM v_gallery)
-WHERE v > 0.2""")
+WHERE v > 0.2 AND CAST(image_id AS BIGINT) % 7 <> 0 AND CAST(image_id AS BIGINT) % 11 <> 0""")
 def predict_boxes(spark, sf_dir):
     """A user's detector whose first backend does not load."""
 
@@ -227,10 +243,13 @@ def predict_boxes(spark, sf_dir):
         raise ImportError("no such detector")
 
     def present():
-        return lambda vector: [
-            (i, float(v), 0, 0, 1, 1) for i, v in enumerate(vector) if float(v) > 0.2
-        ]
+        def find(vector):
+            if all(v < -0.99 for v in vector):
+                raise models.UnreadableImage
+            return [(i, float(v), 0, 0, 1, 1) for i, v in enumerate(vector) if float(v) > 0.2]
+
+        return lambda vectors: [find(v) for v in vectors]
 
     make = models.first_loadable(("first", absent), ("second", present))
-    out = models.detect_boxes(view(spark, sf_dir, "v_gallery"), make, "embedding")
+    out = models.detect_boxes(_with_gaps(spark, sf_dir), make, "embedding")
     return out.select("image_id", "box_id", "class_id", round4("conf").alias("conf"), "backend")

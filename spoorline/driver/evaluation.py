@@ -7,8 +7,15 @@ from spoorline.driver.views import view
 from spoorline.functions import measures
 from spoorline.operators import aggregates, joins, reports, sets
 
-# Identification comes from one pipeline and localisation from another.
+# Identification comes from one pipeline and localisation from another, whose rows
+# repeat every even image and leave out every odd one: the last row counts.
 COMBINED = """
+last_localised AS (
+  SELECT * FROM (
+    SELECT *, CAST(CAST(image_id AS BIGINT) - CAST(image_id AS BIGINT) % 2 AS VARCHAR) AS even_id,
+           row_number() OVER (PARTITION BY CAST(image_id AS BIGINT) - CAST(image_id AS BIGINT) % 2
+                              ORDER BY seq DESC) AS rn
+    FROM v_detections WHERE pipeline = 'bioclip_megadetector') WHERE rn = 1),
 combined AS (
   SELECT i.image_id, i.ground_truth_species AS true_species,
          i.species AS bioclip_predicted, i.species = i.ground_truth_species AS bioclip_correct,
@@ -20,9 +27,7 @@ combined AS (
            AND coalesce(l.location <> 'no_detection' AND l.detection_quality > 0, FALSE)
            AS combined_correct
   FROM (SELECT * FROM v_detections WHERE pipeline = 'bioclip_sam') i
-  LEFT JOIN (SELECT * FROM v_detections
-             WHERE pipeline = 'bioclip_megadetector' AND instance_count > 1) l
-    ON i.image_id = l.image_id)
+  LEFT JOIN last_localised l ON i.image_id = l.even_id)
 """
 
 
@@ -33,16 +38,19 @@ def combined(spark, sf_dir):
         F.col("ground_truth_species").alias("true_species"),
         F.col("species").alias("bioclip_predicted"),
         (F.col("species") == F.col("ground_truth_species")).alias("bioclip_correct"),
+        "seq",
     )
-    localisation = rows.filter("pipeline = 'bioclip_megadetector' AND instance_count > 1").select(
-        "image_id",
+    number = F.col("image_id").cast("bigint")
+    localisation = rows.filter("pipeline = 'bioclip_megadetector'").select(
+        (number - number % 2).cast("string").alias("image_id"),
         measures.mask_localised(
             measures.is_localised("location"), "detection_quality"
         ).alias("megadetector_localised"),
         round4("detection_quality").alias("megadetector_quality"),
         F.col("pipeline").alias("megadetector_backend"),
+        "seq",
     )
-    return joins.combine_identification_localisation(identification, localisation)
+    return joins.combine_identification_localisation(identification, localisation, "seq")
 
 
 @query(f"WITH {COMBINED} SELECT * FROM combined")
@@ -294,8 +302,7 @@ def union_methods(spark, sf_dir):
     AS bioclip_megadetector,
   concat(replace(replace(image_path, 'images/', ''), '.jpg', ''), '_compare.jpg')
     AS compare_name
-FROM v_detections WHERE species = 'click' GROUP BY image_path
+FROM v_detections GROUP BY image_path
 HAVING count(*) FILTER (pipeline = 'bioclip_sam') > 0""")
 def overlays_by_image(spark, sf_dir):
-    rows = view(spark, sf_dir, "v_detections").filter("species = 'click'")
-    return joins.overlays_by_image(rows)
+    return joins.overlays_by_image(view(spark, sf_dir, "v_detections"))

@@ -160,11 +160,23 @@ def detections_csv_roundtrip(spark, sf_dir):
     return out.fillna("", subset=["habitat_type", "mask_path"])
 
 
+def nested_users():
+    """An entry of another array that looks like an annotation."""
+    return F.struct(F.lit("not an annotation").alias("image_id"), F.lit("9").alias("count"))
+
+
 @query("SELECT image_id, count, standing FROM v_annotations")
 def annotations_json_roundtrip(spark, sf_dir):
+    """Documents of up to 1,000 annotations a line, with fields that are not read."""
     path = scratch_dir(spark, "annotations")
-    view(spark, sf_dir, "v_annotations").drop("seq").write.json(path)
-    return tables.read_annotations(spark, path).select("image_id", "count", "standing")
+    nested = F.struct(F.col("seq").alias("image_id"), F.lit("}").alias("note"))
+    rows = view(spark, sf_dir, "v_annotations").select(
+        F.floor(F.col("seq") / 1000).alias("part"),
+        F.struct("image_id", "count", "standing", nested.alias("extra")).alias("a"),
+    )
+    documents = rows.groupBy("part").agg(F.collect_list("a").alias("annotations"))
+    documents.select("annotations", F.array(nested_users()).alias("users")).write.json(path)
+    return tables.read_annotations(spark, path, lines=True).select("image_id", "count", "standing")
 
 
 @query(f"""WITH {TOP1}

@@ -143,8 +143,13 @@ def evaluate_job(spark, sf_dir):
 MODELS = f"""
 {TOP1},
 localisation AS (
-  SELECT image_id, max(CASE WHEN instance_count > 0 THEN detection_quality ELSE 0 END) AS quality
-  FROM v_detections WHERE pipeline = 'bioclip_sam' GROUP BY image_id),
+  SELECT even_id AS image_id, CASE WHEN instance_count > 0 THEN detection_quality ELSE 0 END
+           AS quality
+  FROM (
+    SELECT *, CAST(CAST(image_id AS BIGINT) - CAST(image_id AS BIGINT) % 2 AS VARCHAR) AS even_id,
+           row_number() OVER (PARTITION BY CAST(image_id AS BIGINT) - CAST(image_id AS BIGINT) % 2
+                              ORDER BY seq DESC) AS rn
+    FROM v_detections WHERE pipeline = 'bioclip_sam') WHERE rn = 1),
 models AS (
   SELECT t.image_id, t.true_species, t.predicted_species AS bioclip_predicted,
          t.correct AS bioclip_correct, coalesce(l.quality > 0, FALSE) AS megadetector_localised,
@@ -154,11 +159,14 @@ models AS (
 
 
 def _model_rows(spark, sf_dir):
+    """Localisation repeats even images and leaves out odd ones; the last row counts."""
+    number = F.col("image_id").cast("bigint")
     found = (
         view(spark, sf_dir, "v_detections")
         .filter("pipeline = 'bioclip_sam'")
         .select(
-            "image_id",
+            (number - number % 2).cast("string").alias("image_id"),
+            "seq",
             (F.col("instance_count") > 0).alias("has_mask"),
             F.col("detection_quality").alias("quality"),
             F.col("pipeline").alias("backend"),

@@ -146,7 +146,7 @@ def rank_each_species(spark, sf_dir):
 def minmax_confidence(spark, sf_dir):
     images = view(spark, sf_dir, "v_gallery").select("image_id", "species_label", "embedding")
     scored = similarity.with_own_score(images, view(spark, sf_dir, "v_prompts"))
-    out = similarity.minmax_confidence(scored, "species_label", [str(i) for i in range(10)])
+    out = similarity.minmax_confidence(scored, "species_label")
     return out.select("image_id", "species_label", round4("confidence").alias("confidence"))
 
 

@@ -69,6 +69,56 @@ def cosine_to_prompts(prompt_vectors: np.ndarray):
     return score
 
 
+BEST = T.StructType(
+    [
+        T.StructField("top", T.DoubleType()),
+        T.StructField("species", T.StringType()),
+        T.StructField("own", T.DoubleType()),
+    ]
+)
+
+
+def best_of_prompts(prompt_vectors: list[np.ndarray], names: list[str]):
+    """Arrow UDF: vector and label to the best prompt and the label's own cosine.
+
+    Prompts come in blocks; one matrix product per block and Arrow batch, of which only
+    the best column is kept. The first of equal prompts wins. Null vectors give null.
+    """
+    blocks = [unit_rows(v) for v in prompt_vectors]
+    place: dict[str, int] = {}
+    for i, name in enumerate(names):
+        place.setdefault(name, i)
+    ends = np.cumsum([0, *(len(b) for b in blocks)])
+
+    @F.arrow_udf(BEST)
+    def best(vectors: pa.Array, labels: pa.Array) -> pa.Array:
+        present = vectors.is_valid().to_numpy(zero_copy_only=False)
+        rows = _vector_rows(vectors, blocks[0].shape[1])
+        at = [place.get(v, -1) for v in labels.filter(vectors.is_valid()).to_pylist()]
+        wanted = np.array(at, dtype=np.int64)
+        top, first, own = (np.full(len(rows), np.nan) for _ in range(3))
+        for begin, end, block in zip(ends, ends[1:], blocks):
+            products = np.round(rows @ block.T, DECIMALS)
+            filled = np.where(np.isnan(products), -np.inf, products)
+            here = filled.argmax(axis=1)
+            value = filled[np.arange(len(rows)), here]
+            better = (value > -np.inf) & ~(value <= top)
+            top[better], first[better] = value[better], here[better] + begin
+            inside = np.flatnonzero((wanted >= begin) & (wanted < end))
+            own[inside] = products[inside, wanted[inside] - begin]
+        chosen = [None if np.isnan(f) else names[int(f)] for f in first]
+        columns = [
+            pa.array(top, mask=np.isnan(top)),
+            pa.array(chosen, type=pa.string()),
+            pa.array(own, mask=np.isnan(own)),
+        ]
+        packed = pa.StructArray.from_arrays(columns, names=BEST.fieldNames())
+        where = np.cumsum(present) - 1
+        return packed.take(pa.array(where, mask=~present))
+
+    return best
+
+
 def cosine_to_own_prompt(prompt_vectors: np.ndarray):
     """Arrow UDF: vector and prompt row number to the cosine of the two.
 

@@ -26,15 +26,20 @@ def concept_prompt(c: str | Column) -> Column:
 
 
 def species_colour(c: str | Column) -> Column:
-    return lookup(F.lower(_as_column(c)), fixed.SPECIES_COLOURS, F.lit(fixed.DEFAULT_COLOUR))
+    """The overlay colour as ``blue,green,red``."""
+    shown = {label: ",".join(map(str, colour)) for label, colour in fixed.SPECIES_COLOURS.items()}
+    default = ",".join(map(str, fixed.DEFAULT_COLOUR))
+    return lookup(F.lower(_as_column(c)), shown, F.lit(default))
 
 
 def pipeline_label(c: str | Column) -> Column:
-    return lookup(c, fixed.PIPELINE_LABELS, _as_column(c))
+    labels = {name: shown["label"] for name, shown in fixed.PIPELINE_DISPLAY.items()}
+    return lookup(c, labels, _as_column(c))
 
 
 def pipeline_output(c: str | Column) -> Column:
-    return lookup(c, fixed.PIPELINE_OUTPUTS, F.lit(""))
+    outputs = {name: shown["output"] for name, shown in fixed.PIPELINE_DISPLAY.items()}
+    return lookup(c, outputs, F.lit(""))
 
 
 def file_name(path: str | Column) -> Column:
@@ -51,23 +56,36 @@ def round_exact(c: str | Column, decimals: int) -> Column:
     """A double rounded by its exact binary value, ties to even, up to 6 decimals.
 
     Spark's ``round`` works on the shortest decimal text and rounds half up, which
-    differs for values such as 0.00015. The value is split into two parts that
-    multiply without error, so the distance to the tie has the right sign.
+    differs for values such as 0.00015. Only the fraction is rounded: it is split into
+    two parts that multiply without error, so the distance to the tie has the right
+    sign. Whole part and rounded digits are then joined as decimals, which gives the
+    nearest double. From 2^52 on a double has no fraction.
     """
-    x = _as_column(c).cast("double")
+    given = _as_column(c).cast("double")
+    x = F.abs(given)
+    whole = F.floor(F.when(x < 2.0**52, x)).cast("double")
+    part = x - whole
     scale = F.lit(float(10**decimals))
-    head = x.cast("float").cast("double")
-    tail = x - head
-    below = F.floor(x * scale).cast("double")
+    head = part.cast("float").cast("double")
+    tail = part - head
+    below = F.floor(part * scale).cast("double")
     past_tie = ((head * scale - below) - F.lit(0.5)) + tail * scale
-    is_odd = F.pmod(below, F.lit(2.0)) == 1.0
+    is_odd = F.pmod(below if decimals else whole, F.lit(2.0)) == 1.0
     up = (past_tie > 0) | ((past_tie == 0) & is_odd)
-    rounded = (below + F.when(up, 1.0).otherwise(0.0)) / scale
-    return F.when(F.isnan(x) | (F.abs(x) >= 1e9), x).otherwise(rounded)
+    digits = below + F.when(up, 1.0).otherwise(0.0)
+    unit = F.lit(10**-decimals).cast(f"decimal({decimals + 1},{decimals})")
+    exact = whole.cast("decimal(17,0)") + digits.cast("decimal(8,0)") * unit
+    # the quotient of two whole doubles is the nearest double as well, and cheaper
+    joined = F.when(x < 1e9, (whole * scale + digits) / scale).otherwise(exact.cast("double"))
+    joined = F.when(given < 0, -joined).otherwise(joined)
+    return F.when(F.isnan(x) | (x >= 2.0**52), given).otherwise(joined)
 
 
 def fixed_point(c: str | Column, decimals: int) -> Column:
-    """Number text with fixed decimals, rounded as ``round_exact`` does."""
+    """Number text with fixed decimals, rounded as ``round_exact`` does.
+
+    All digits are those of the rounded value up to 15 significant ones.
+    """
     c = _as_column(c)
     shown = F.format_string(f"%.{decimals}f", round_exact(c, decimals))
     return F.when(c.isNotNull(), shown)

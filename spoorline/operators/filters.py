@@ -29,7 +29,7 @@ def species_dim(spark: SparkSession, species: Sequence[str] = fixed.TARGET_SPECI
 def pipeline_dim(spark: SparkSession) -> DataFrame:
     """Registered pipelines in report order with their shown names."""
     rows = [
-        (i, p, fixed.PIPELINE_LABELS[p], fixed.PIPELINE_OUTPUTS[p])
+        (i, p, fixed.PIPELINE_DISPLAY[p]["label"], fixed.PIPELINE_DISPLAY[p]["output"])
         for i, p in enumerate(fixed.PIPELINE_ORDER)
     ]
     return spark.createDataFrame(
@@ -64,7 +64,8 @@ def resolve_paths(
     exact = files.select(F.col("path").alias("_exact")).distinct()
 
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    rank = F.array_position(F.array(*[F.lit(d) for d in directories]), folder)
+    searched = F.array(*[F.lit(d) for d in directories]).cast("array<string>")
+    rank = F.array_position(searched, folder)
     by_name = (
         files.filter(folder.isin(list(directories)))
         .groupBy(text.file_name("path").alias("_name"))
@@ -158,18 +159,8 @@ def overlays_for_species(overlays: DataFrame, detections: DataFrame) -> DataFram
     )
 
 
-DETECTION_TABLE_COLUMNS = [
-    "image_id",
-    "species",
-    "confidence",
-    "detection_quality",
-    "location_type",
-    "correct",
-]
-
-
 def project_available(
-    df: DataFrame, columns: Sequence[str] = tuple(DETECTION_TABLE_COLUMNS)
+    df: DataFrame, columns: Sequence[str] = tuple(fixed.DETECTION_TABLE_COLUMNS)
 ) -> DataFrame:
     """The named columns that exist, with confidence as percent text."""
     present = [c for c in columns if c in df.columns]

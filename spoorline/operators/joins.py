@@ -54,36 +54,26 @@ def derive_correct(
     return out.withColumn("localised", located)
 
 
-# Behaviour shares of an annotation and the columns they become.
-SHARES = {
-    "standing": "gt_standing",
-    "resting": "gt_resting",
-    "moving": "gt_moving",
-    "interacting": "gt_interacting",
-    "young_present": "gt_young_present",
-}
-
-
 def enrich_ground_truth(images: DataFrame, annotations: DataFrame, seq: str = "pos") -> DataFrame:
     """Adds the citizen-scientist count and behaviour shares to the images.
 
     The last annotation of an image wins. Images without one get nulls; fields an
     annotation leaves out get count ``1`` and share 0.
     """
-    shares = {s: g for s, g in SHARES.items() if s in annotations.columns}
+    shares = {s: g for s, g in fixed.SHARES.items() if s in annotations.columns}
     last = latest(
         annotations.filter(F.col("image_id") != ""), "image_id", ["count", *shares], seq
     ).withColumn("_matched", F.lit(True))
     matched = F.col("_matched").isNotNull()
     label = F.coalesce("count", F.lit(fixed.DEFAULT_COUNT_LABEL))
-    joined = images.drop(*SHARES.values(), "ground_truth_count", "ground_truth_count_num").join(
+    joined = images.drop(*fixed.SHARES.values(), "ground_truth_count", "ground_truth_count_num").join(
         last, "image_id", "left"
     )
     added = {
         "ground_truth_count": F.when(matched, label),
         "ground_truth_count_num": F.when(matched, measures.count_midpoint(label)),
     }
-    for share, name in SHARES.items():
+    for share, name in fixed.SHARES.items():
         value = F.coalesce(share, F.lit(0.0)) if share in shares else F.lit(0.0)
         added[name] = F.when(matched, value)
     return joined.withColumns(added).drop("_matched", "count", *shares)
@@ -118,19 +108,18 @@ def count_errors(
 
 
 def combine_identification_localisation(
-    identification: DataFrame, localisation: DataFrame, seq: str | None = None
+    identification: DataFrame, localisation: DataFrame, seq: str
 ) -> DataFrame:
     """Identified images with the localisation result, and whether both hold.
 
-    When ``localisation`` repeats images, ``seq`` names the column by which the
-    last one wins.
+    Both sides are keyed by image: where an image repeats, the row with the highest
+    ``seq`` of its side counts. Rows without an image id are left out.
     """
     columns = ["megadetector_localised", "megadetector_quality", "megadetector_backend"]
-    if seq is None:
-        found = localisation.select("image_id", *columns)
-    else:
-        found = latest(localisation, "image_id", columns, seq)
-    return identification.join(found, "image_id", "left").withColumns(
+    kept = [c for c in identification.columns if c not in ("image_id", seq)]
+    identified = latest(identification, "image_id", kept, seq)
+    found = latest(localisation, "image_id", columns, seq)
+    return identified.join(found, "image_id", "left").withColumns(
         {
             "megadetector_localised": F.coalesce("megadetector_localised", F.lit(False)),
             "megadetector_quality": F.coalesce("megadetector_quality", F.lit(0.0)),

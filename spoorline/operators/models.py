@@ -23,22 +23,49 @@ from spoorline.operators import detectors
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+class UnreadableImage(Exception):
+    """What a model raises for an image that cannot be decoded."""
+
+
+#: A batch from this size on in which nothing can be read is taken for a broken model.
+SUSPICIOUS_BATCH = 8
+
+
+def _guarded(run: Callable, rows, size: int, errors: tuple[type[Exception], ...]) -> list:
+    """Results of a batch, None for each image that raises one of ``errors``.
+
+    Any other exception ends the job, and so does a batch without one readable image.
+    """
+    try:
+        return list(run(rows))
+    except errors as problem:
+        found = []
+        for i in range(size):
+            try:
+                found.append(list(run(rows[i : i + 1]))[0])
+            except errors:
+                found.append(None)
+        if size >= SUSPICIOUS_BATCH and all(f is None for f in found):
+            raise RuntimeError(f"the model read none of {size} images") from problem
+        return found
+
+
 def embed(
     df: DataFrame,
     make: Callable,
     column: str = "content",
     width: int | None = None,
     batch_size: int = 64,
-    skip_unreadable: bool = True,
+    errors: tuple[type[Exception], ...] = (UnreadableImage,),
 ) -> DataFrame:
     """Adds ``embedding``, computed in batches by ``make()(array) -> 2-d array``.
 
     ``width`` is the vector length when the input column is itself a vector. A null
-    input, or one that the model fails on, gets a null embedding, the mark of an
-    unreadable image; with ``skip_unreadable`` off the failure ends the job.
+    input, or one for which the model raises one of ``errors``, gets a null embedding,
+    the mark of an unreadable image; count these with ``unreadable``.
     """
     encode = predict_batch_udf(
-        _row_by_row_on_failure(make) if skip_unreadable else make,
+        _marking(make, errors),
         return_type=T.ArrayType(T.FloatType()),
         batch_size=batch_size,
         input_tensor_shapes=None if width is None else [[width]],
@@ -53,55 +80,79 @@ def embed(
     )
 
 
-def _row_by_row_on_failure(make: Callable) -> Callable:
-    """A model that answers NaN for each row it cannot handle."""
+def _marking(make: Callable, errors: tuple[type[Exception], ...]) -> Callable:
+    """A model that answers NaN for each image it cannot decode, and for a stand-in."""
 
     def load():
         model = make()
 
-        def one(row):
-            try:
-                return np.asarray(model(row), dtype=np.float32)[0]
-            except Exception:  # noqa: BLE001 - whatever a decoder raises on a bad file
-                return None
+        def empty(row) -> bool:
+            if isinstance(row, np.ndarray):
+                return bool(np.isnan(row).all())
+            return len(row) == 0
 
         def predict(batch):
-            try:
-                return np.asarray(model(batch), dtype=np.float32)
-            except Exception:  # noqa: BLE001 - find the rows that cause it
-                found = [one(batch[i : i + 1]) for i in range(len(batch))]
-            length = max((len(v) for v in found if v is not None), default=1)
-            unknown = np.full(length, np.nan, dtype=np.float32)
-            return np.stack([unknown if v is None else v for v in found])
+            real = [i for i in range(len(batch)) if not empty(batch[i])]
+            found = _guarded(model, batch[real], len(real), errors) if real else []
+            known = [np.asarray(v, dtype=np.float32) for v in found if v is not None]
+            length = len(known[0]) if known else 1
+            out = np.full((len(batch), length), np.nan, dtype=np.float32)
+            for i, v in zip(real, found):
+                if v is not None:
+                    out[i] = v
+            return out
 
         return predict
 
     return load
 
 
+def unreadable(embedded: DataFrame, column: str = "content") -> DataFrame:
+    """How many images were given, had no content, and could not be read."""
+    given = F.col(column).isNotNull()
+    return embedded.agg(
+        F.count("*").alias("images"),
+        F.count_if(~given).alias("without_content"),
+        F.count_if(given & F.col("embedding").isNull()).alias("unreadable"),
+    )
+
+
 DETECTED = T.StructType(
     schemas.RAW_BOXES.fields + [T.StructField("backend", T.StringType())]
 )
 
 
-def detect_boxes(df: DataFrame, make: Callable, column: str = "content") -> DataFrame:
+def detect_boxes(
+    df: DataFrame,
+    make: Callable,
+    column: str = "content",
+    batch_size: int = 64,
+    errors: tuple[type[Exception], ...] = (UnreadableImage,),
+    show_unreadable: bool = False,
+) -> DataFrame:
     """Raw boxes of each image, numbered from 0 in the order the model gives them.
 
-    ``make()`` returns a detector and the name of its backend. The detector takes
-    one image and returns rows of (class_id, conf, x1, y1, x2, y2). An image without
-    content has no boxes.
+    ``make()`` returns a detector and the name of its backend. The detector takes a list
+    of images and returns, for each, rows of (class_id, conf, x1, y1, x2, y2). An image
+    without content, or for which the detector raises one of ``errors``, has no boxes;
+    with ``show_unreadable`` the latter give one row without a box.
     """
     names = DETECTED.fieldNames()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         detector, backend = make()
         for batch in batches:
-            rows = [
-                (image_id, i, *box, backend)
-                for image_id, content in zip(batch["image_id"], batch[column])
-                for i, box in enumerate(detector(content))
-            ]
-            yield pd.DataFrame(rows, columns=names)
+            for k in range(0, len(batch), batch_size):
+                part = batch[k : k + batch_size]
+                contents = part[column].tolist()
+                found = _guarded(detector, contents, len(contents), errors)
+                rows = []
+                for image_id, boxes in zip(part["image_id"], found):
+                    if boxes is not None:
+                        rows += [(image_id, i, *box, backend) for i, box in enumerate(boxes)]
+                    elif show_unreadable:
+                        rows.append((image_id, *[None] * (len(names) - 2), backend))
+                yield pd.DataFrame(rows, columns=names)
 
     readable = df.select("image_id", column).filter(F.col(column).isNotNull())
     return readable.mapInPandas(run, DETECTED)

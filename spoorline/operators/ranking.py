@@ -47,25 +47,13 @@ def head_per_species(
 ) -> DataFrame:
     """First ``n`` images of each species in table order; all when ``n`` is None.
 
-    With the possible ``labels`` given, only labels and positions are ranked. They
-    yield the last position to keep per label, at most one row a label, which is
-    broadcast; the images themselves, with their vectors, are filtered in place.
-    ``seq`` must then differ from row to row.
+    ``labels`` selects species. Each label is cut within the map tasks first.
     """
     if labels is not None:
         images = images.filter(F.col("species_label").isin(list(labels)))
     if not n:
         return images
-    if labels is None:
-        return top_n_per_group(images, ["species_label"], [F.col(seq)], n)
-    places = images.select("species_label", seq)
-    kept = top_n_per_group(places, ["species_label"], [F.col(seq)], n)
-    last = kept.groupBy("species_label").agg(F.max(seq).alias("_last"))
-    return (
-        images.join(F.broadcast(last), "species_label")
-        .filter(F.col(seq) <= F.col("_last"))
-        .select(*images.columns)
-    )
+    return top_n_per_group(images, ["species_label"], [F.col(seq)], n)
 
 
 def preview(df: DataFrame, n: int, seq: str) -> DataFrame:

@@ -108,14 +108,21 @@ def comparison_report(comparison: DataFrame, species: str) -> DataFrame:
         _side_by_side(
             comparison, "pipeline", fixed.PIPELINE_ORDER, metrics, fixed.COMPARISON_ROW
         ),
-        _fixed_lines(spark, 2, [rule]),
+        _fixed_lines(spark, 2, [rule, "", *fixed.COMPARISON_NOTES]),
     )
 
 
 def evaluation_report(
-    accuracy: DataFrame, by_species: DataFrame, confusions: DataFrame, targets: Sequence[str]
+    accuracy: DataFrame,
+    by_species: DataFrame,
+    confusions: DataFrame,
+    targets: Sequence[str],
+    source: str = "",
 ) -> DataFrame:
-    """Page for the zero-shot evaluation; labels appear in target order."""
+    """Page for the zero-shot evaluation; labels appear in target order.
+
+    ``source`` is where the evaluation rows are stored.
+    """
     spark = accuracy.sparkSession
     rule, thin = "=" * fixed.EVALUATION_RULE, "-" * fixed.EVALUATION_RULE
     values = [
@@ -132,9 +139,9 @@ def evaluation_report(
     flag = F.when(F.col("passed"), fixed.PASS_FLAG).otherwise(fixed.FAIL_FLAG)
     row = F.format_string(fixed.EVALUATION_ROW, "species", "images", "correct", _percent(exact))
     none = confusions.agg(F.count("*").alias("n")).filter("n = 0")
-    head = [rule, "Zero-shot species evaluation: top-1 accuracy", rule, ""]
+    head = [rule, fixed.EVALUATION_TITLE, rule, ""]
     table = ["", fixed.EVALUATION_ROW % tuple(fixed.EVALUATION_HEADINGS), thin]
-    wrong = [rule, "", "Most frequent wrong predictions:", thin]
+    wrong = [rule, "", fixed.EVALUATION_CONFUSED, thin]
     shown = by_species.filter(F.col("species").isin(list(targets)))
     return _page(
         _fixed_lines(spark, 0, head),
@@ -144,6 +151,7 @@ def evaluation_report(
         _fixed_lines(spark, 4, wrong),
         _confusion_lines(confusions, 5, "→"),
         _lines(none, 5, F.lit(0), F.lit(fixed.NO_CONFUSIONS)),
+        _fixed_lines(spark, 6, ["", fixed.EVALUATION_SOURCE.format(path=source)]),
     )
 
 
@@ -172,20 +180,20 @@ def model_report(
     )
     head = [
         rule,
-        "Identification and localisation: comparison report",
+        fixed.MODEL_TITLE,
         rule,
         "",
         fixed.MODEL_ROW % tuple(fixed.MODEL_HEADINGS),
         thin,
     ]
-    table = ["", fixed.MODEL_SPECIES_ROW % tuple(fixed.MODEL_SPECIES_HEADINGS), thin]
+    table = ["", *fixed.MODEL_NOTES, "", fixed.MODEL_SPECIES_ROW % tuple(fixed.MODEL_SPECIES_HEADINGS), thin]
     shown = by_species.filter(F.col("true_species").isin(list(targets)))
     return _page(
         _fixed_lines(spark, 0, head),
         _side_by_side(comparison, "stage", stages, metrics, fixed.MODEL_ROW),
         _fixed_lines(spark, 2, table),
         _lines(shown, 3, _target_rank(targets, "true_species"), row),
-        _fixed_lines(spark, 4, ["", "Most frequent wrong identifications:", thin]),
+        _fixed_lines(spark, 4, ["", fixed.MODEL_CONFUSED, thin]),
         _confusion_lines(confusions, 5, "->"),
         _fixed_lines(spark, 6, [rule]),
     )
@@ -205,7 +213,7 @@ def count_report(accuracy: DataFrame, species: str) -> DataFrame:
         fixed.COUNT_ROW % tuple(fixed.COUNT_HEADINGS),
         "-" * fixed.COUNT_RULE,
     ]
-    notes = ["", "A mean absolute error (MAE) below 2 is acceptable, above 5 it is large.", rule]
+    notes = ["", *fixed.COUNT_NOTES, rule]
     return _page(
         _fixed_lines(spark, 0, head),
         _lines(accuracy, 1, _target_rank(fixed.PIPELINE_ORDER, "pipeline"), row, F.col("pipeline")),

@@ -11,13 +11,21 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spoorline.functions.similarity import cosine, cosine_to_own_prompt, cosine_to_prompts
+from spoorline.functions.similarity import (
+    best_of_prompts,
+    cosine,
+    cosine_to_own_prompt,
+    cosine_to_prompts,
+)
 from spoorline.functions.text import round4
 from spoorline.operators.ranking import top_n_per_group
+from spoorline.session import stored
 
-# Prompts that one pass over the images scores. A longer prompt table is scored
-# in several passes whose results are merged, so no task holds more than this.
+# Prompts that are scored at once: bounds the score matrix of a batch.
 BLOCK_PROMPTS = 4096
+# Prompts are a table of labels, one row each, that travels with the tasks. A table
+# beyond this size is no label table and is refused.
+MAX_PROMPTS = 65_536
 
 
 @dataclass(frozen=True)
@@ -34,20 +42,27 @@ Prompts = DataFrame | list[PromptBlock]
 
 
 def prompt_blocks(prompts: Prompts, block_prompts: int = BLOCK_PROMPTS) -> list[PromptBlock]:
-    """Read the prompt dimension in target order, in blocks of bounded size."""
+    """Read the prompt dimension in target order, in blocks of bounded size.
+
+    The order breaks ties, so every prompt must have its own ``ord``.
+    """
     if isinstance(prompts, list):
         return prompts
-    ordered = prompts.select("species", "ord", "embedding").orderBy("ord")
-    blocks, after = [], None
-    while True:
-        rest = ordered if after is None else ordered.filter(F.col("ord") > after)
-        rows = rest.limit(block_prompts).collect()
-        if rows:
-            vectors = np.array([r.embedding for r in rows], dtype=np.float64)
-            blocks.append(PromptBlock([r.species for r in rows], [r.ord for r in rows], vectors))
-        if len(rows) < block_prompts:
-            return blocks
-        after = rows[-1].ord
+    n, own = prompts.agg(F.count("*"), F.count_distinct("ord")).first()
+    if n != own:
+        raise ValueError("prompts need an ord each, without repeats or nulls")
+    if n > MAX_PROMPTS:
+        raise ValueError(f"more than {MAX_PROMPTS} prompts")
+    rows = prompts.select("species", "ord", "embedding").orderBy("ord").collect()
+    parts = [rows[k : k + block_prompts] for k in range(0, n, block_prompts)]
+    return [
+        PromptBlock(
+            [r.species for r in part],
+            [r.ord for r in part],
+            np.array([r.embedding for r in part], dtype=np.float64),
+        )
+        for part in parts
+    ]
 
 
 def _scores(block: PromptBlock, engine: str) -> Column:
@@ -107,73 +122,54 @@ def top1_species(
     Needs ``image_id``, ``species_label`` and ``embedding``; other columns stay.
     Adds true_species, predicted_species, correct, top1_score and
     true_species_score, and with ``wide`` one score column per prompt. All of it
-    is computed within the row; only prompt tables longer than a block need a
-    merge by image.
+    is computed within the row, block by block; rows do not move or merge, so
+    repeated images stay repeated.
     """
     blocks = prompt_blocks(prompts, block_prompts)
     if not blocks:
         raise ValueError("the prompt table is empty")
-    readable = images.filter(F.col("embedding").isNotNull())
     rest = [c for c in images.columns if c not in ("embedding", "species_label")]
-    found = [_block_top1(readable, b, rest, engine, wide) for b in blocks]
-    if len(found) == 1:
-        merged = found[0]
-        wide_columns = [c for c in merged.columns if c.startswith("score_")]
+    label = F.col("species_label")
+    found = images.filter(F.col("embedding").isNotNull())
+    wide_columns = []
+    if engine == "arrow" and not wide:
+        names = [species for block in blocks for species in block.species]
+        best = best_of_prompts([block.vectors for block in blocks], names)("embedding", label)
+        found = found.withColumn("_best", best)
     else:
-        wide_columns = [f"score_{s}" for b in blocks for s in b.species] if wide else []
-        merged = (
-            reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
-            .groupBy("image_id")
-            .agg(
-                F.max(F.struct("_top", -F.col("_ord"), "_species")).alias("_best"),
-                F.max("_true").alias("_true"),
-                F.any_value(F.struct(*[c for c in rest if c != "image_id"], "true_species")).alias(
-                    "_row"
-                ),
-                *[F.max(c).alias(c) for c in wide_columns],
-            )
-            .select(
-                "image_id",
-                "_row.*",
-                F.col("_best._top").alias("_top"),
-                F.col("_best._species").alias("_species"),
-                "_true",
-                *wide_columns,
+        ends = []
+        for i, block in enumerate(blocks):
+            found = found.withColumn("_scores", _scores(block, engine))
+            at = F.array_position("_scores", F.array_max("_scores")).cast("int") - 1
+            ords = F.array(*[F.lit(o) for o in block.ords])
+            end = F.struct(
+                F.array_max("_scores").alias("top"),
+                (-F.get(ords, at)).alias("_order"),
+                F.get(block.labels(), at).alias("species"),
+                _score_of(block, label).alias("own"),
             )
-        )
-    return merged.select(
+            found = found.withColumn(f"_end_{i}", end)
+            ends.append(F.col(f"_end_{i}"))
+            if wide:
+                for j, species in enumerate(block.species):
+                    name = f"score_{species}"
+                    found = found.withColumn(name, round4(F.get("_scores", F.lit(j))))
+                    wide_columns.append(name)
+        first = F.greatest(*ends) if len(ends) > 1 else ends[0]
+        own = F.coalesce(*[end["own"] for end in ends])
+        best = F.struct(first["top"].alias("top"), first["species"].alias("species"), own.alias("own"))
+        found = found.withColumn("_best", best)
+    return found.select(
         *rest,
-        "true_species",
-        F.col("_species").alias("predicted_species"),
-        F.coalesce(F.col("_species") == F.col("true_species"), F.lit(False)).alias("correct"),
-        round4("_top").alias("top1_score"),
-        F.coalesce(round4("_true"), F.lit(0.0)).alias("true_species_score"),
+        label.alias("true_species"),
+        F.col("_best.species").alias("predicted_species"),
+        F.coalesce(F.col("_best.species") == label, F.lit(False)).alias("correct"),
+        round4("_best.top").alias("top1_score"),
+        F.coalesce(round4("_best.own"), F.lit(0.0)).alias("true_species_score"),
         *wide_columns,
     )
 
 
-def _block_top1(
-    images: DataFrame, block: PromptBlock, rest: list[str], engine: str, wide: bool
-) -> DataFrame:
-    scored = images.select(
-        *rest, F.col("species_label").alias("true_species"), _scores(block, engine).alias("_scores")
-    )
-    at = F.array_position("_scores", F.array_max("_scores")).cast("int") - 1
-    ords = F.array(*[F.lit(o) for o in block.ords])
-    columns = [
-        F.array_max("_scores").alias("_top"),
-        F.get(block.labels(), at).alias("_species"),
-        F.get(ords, at).alias("_ord"),
-        _score_of(block, F.col("true_species")).alias("_true"),
-    ]
-    if wide:
-        columns += [
-            round4(F.get("_scores", F.lit(i))).alias(f"score_{s}")
-            for i, s in enumerate(block.species)
-        ]
-    return scored.select(*rest, "true_species", *columns)
-
-
 def score_wide(scores: DataFrame, targets: list[str]) -> DataFrame:
     """Long scores turned into one rounded ``score_<species>`` column per target."""
     wide = scores.groupBy("image_id").pivot("species", targets).agg(F.first("score"))
@@ -201,14 +197,11 @@ def _relative(score: Column, low: Column, high: Column) -> Column:
     return F.when(high > low, (score - low) / (high - low)).otherwise(F.lit(1.0))
 
 
-def minmax_confidence(
-    scored: DataFrame, by: str | None = None, labels: list[str] | None = None
-) -> DataFrame:
+def minmax_confidence(scored: DataFrame, by: str | None = None) -> DataFrame:
     """Adds ``confidence``: the score placed between the lowest and the highest.
 
-    Without ``by`` the range is over all rows. With it the range is per group;
-    naming the possible ``labels`` bounds the range table, which is then
-    broadcast so that the scored rows do not move.
+    Without ``by`` the range is over all rows; with it, over each group. Rows
+    without a group are a group of their own.
     """
     limits = [F.min("bioclip_score").alias("low"), F.max("bioclip_score").alias("high")]
     if by is None:
@@ -221,14 +214,17 @@ def minmax_confidence(
             )
             .drop("_ends")
         )
-    source = scored if labels is None else scored.filter(F.col(by).isin(labels))
-    ranges = source.groupBy(by).agg(*limits)
-    if labels is not None:
-        ranges = F.broadcast(ranges)
+    return minmax_confidence_of(scored, scored, by)
+
+
+def minmax_confidence_of(rows: DataFrame, scored: DataFrame, by: str) -> DataFrame:
+    """``minmax_confidence`` for some rows, with the ranges of all ``scored`` ones."""
+    limits = [F.min("bioclip_score").alias("low"), F.max("bioclip_score").alias("high")]
+    ranges = scored.groupBy(F.col(by).alias("_by")).agg(*limits)
     return (
-        scored.join(ranges, by, "left")
+        rows.join(ranges, F.col(by).eqNullSafe(F.col("_by")))
         .withColumn("confidence", _relative(F.col("bioclip_score"), F.col("low"), F.col("high")))
-        .drop("low", "high")
+        .drop("low", "high", "_by")
     )
 
 
@@ -243,14 +239,7 @@ def rank_each_scored(scored: DataFrame, top_n: int, seq: str = "seq") -> DataFra
     Only the winners meet the ranges, so the join is as small as the result.
     """
     best = top_n_per_group(scored, ["species_label"], [F.desc("bioclip_score"), F.col(seq)], top_n)
-    ranges = scored.groupBy("species_label").agg(
-        F.min("bioclip_score").alias("low"), F.max("bioclip_score").alias("high")
-    )
-    return (
-        best.join(ranges, "species_label")
-        .withColumn("confidence", _relative(F.col("bioclip_score"), F.col("low"), F.col("high")))
-        .drop("low", "high")
-    )
+    return minmax_confidence_of(best, scored, "species_label")
 
 
 def rank_by_species(
@@ -259,15 +248,16 @@ def rank_by_species(
     """Top ``top_n`` images for one species prompt, with score and confidence.
 
     The candidates are the given rows. The confidence range covers all of them,
-    and equal scores keep table order. The scores are read twice, for the range
-    and for the top; store them first when the images are many (``plans.jobs``).
+    and equal scores keep table order. Scores are stored before they are ranked, so
+    that the vectors are read and multiplied once.
     """
     prompt = prompts.filter(F.col("species") == species)
-    return rank_scored(with_own_score(images, prompt, F.lit(species)), top_n, seq)
+    scored = stored(with_own_score(images, prompt, F.lit(species)), "scores")
+    return rank_scored(scored, top_n, seq)
 
 
 def rank_each_species(
     images: DataFrame, prompts: DataFrame, top_n: int, seq: str = "seq"
 ) -> DataFrame:
     """``rank_by_species`` for all labels at once, each among its own images."""
-    return rank_each_scored(with_own_score(images, prompts), top_n, seq)
+    return rank_each_scored(stored(with_own_score(images, prompts), "scores"), top_n, seq)

@@ -134,7 +134,8 @@ def compare_pipelines(
     selected = select_images(images, prompts, species, top_n)
     judged = stored(judge(selected, truth, species), "judged")
     parts = [localise_in(judged, name, found, results_root) for name, found in raw.items()]
-    detections = sets.union_pipelines(parts)
+    # stored, so that metrics, overlays and page do not locate everything again
+    detections = stored(sets.union_pipelines(parts), "detections")
     metrics = aggregates.pipeline_comparison(detections, runs)
     return Comparison(
         detections,
@@ -159,12 +160,29 @@ def evaluation_rows(
     files: DataFrame | None = None,
     per_species: int | None = None,
     wide: bool = True,
+    root: str = "",
+    directories: Sequence[str] = (),
 ) -> DataFrame:
     """Predicted and true label of each image of a prompted label.
 
-    ``files`` drops images that are not on disk; ``per_species`` keeps the first
-    images of each label, missing ones counted. Labels without an image get no prompt either.
+    With ``files``, paths are resolved in the listing, from ``root`` and in
+    ``directories``, and images that are not in it are left out; ``per_species`` keeps
+    the first images of each label, missing ones counted. Labels without an image get
+    no prompt either.
     """
+    return _evaluated(images, prompts, files, per_species, wide, root, directories).drop("seq")
+
+
+def _evaluated(
+    images: DataFrame,
+    prompts: DataFrame,
+    files: DataFrame | None,
+    per_species: int | None,
+    wide: bool,
+    root: str,
+    directories: Sequence[str],
+) -> DataFrame:
+    """Evaluation rows with ``seq``: target order of the label, then table order."""
     present = images.select(F.col("species_label").alias("species")).distinct()
     used = prompt_blocks(prompts.join(present, "species", "left_semi"))
     labels = [species for block in used for species in block.species]
@@ -172,9 +190,11 @@ def evaluation_rows(
     chosen = filters.with_defaults(
         chosen, {"site_id": "", "latitude": 0.0, "longitude": 0.0, "local_image_path": ""}
     )
+    target = F.array_position(F.array(*[F.lit(s) for s in labels]), F.col("species_label"))
     needed = chosen.select(
         "image_id",
-        F.col("local_image_path").alias("image_path"),
+        F.struct(target.alias("target"), F.col("seq")).alias("seq"),
+        F.col("local_image_path"),
         "species_label",
         F.col("site_id").alias("camera_id"),
         "latitude",
@@ -183,11 +203,12 @@ def evaluation_rows(
     )
     top = top1_species(needed, used, wide=wide)
     if files is not None:
-        # After scoring, so that the join moves no vectors.
-        top = filters.keep_existing(top, files, "image_path")
+        # After scoring, so that the joins move no vectors.
+        top = filters.resolve_paths(top, files, root, directories)
+        top = filters.keep_existing(top, files)
     order = [
         "image_id",
-        "image_path",
+        F.col("local_image_path").alias("image_path"),
         "true_species",
         "predicted_species",
         "correct",
@@ -197,10 +218,12 @@ def evaluation_rows(
         "latitude",
         "longitude",
     ]
-    return top.select(*order, *[c for c in top.columns if c.startswith("score_")])
+    return top.select(*order, *[c for c in top.columns if c.startswith("score_")], "seq")
 
 
-def summarise_evaluation(rows: DataFrame, targets: Sequence[str]) -> Evaluation:
+def summarise_evaluation(
+    rows: DataFrame, targets: Sequence[str], source: str = ""
+) -> Evaluation:
     """Accuracy, per-label accuracy, confusions and the page, from evaluation rows.
 
     The rows feed three aggregates. Store them first and pass what is read back,
@@ -209,7 +232,7 @@ def summarise_evaluation(rows: DataFrame, targets: Sequence[str]) -> Evaluation:
     accuracy = aggregates.top1_accuracy(rows)
     by_species = aggregates.per_species_accuracy(rows)
     confused = aggregates.confusions(rows)
-    page = reports.evaluation_report(accuracy, by_species, confused, targets)
+    page = reports.evaluation_report(accuracy, by_species, confused, targets, source)
     return Evaluation(rows, accuracy, by_species, confused, page)
 
 
@@ -227,14 +250,17 @@ def model_rows(
     prompts: DataFrame,
     localisation: DataFrame,
     files: DataFrame | None = None,
-    per_species: int = fixed.MODEL_COMPARISON_CAP,
+    per_species: int | None = None,
+    root: str = "",
+    directories: Sequence[str] = (),
 ) -> DataFrame:
-    """Identification and localisation of each image.
+    """Identification and localisation of each image, one row an image.
 
-    ``localisation`` has image_id, has_mask, quality and backend: the outcome of
-    the segmenter that was given the true label.
+    ``localisation`` has image_id, seq, has_mask, quality and backend: the outcome of
+    the segmenter that was given the true label. Of an image's repeated rows the last
+    one counts, on either side.
     """
-    scored = evaluation_rows(images, prompts, files, per_species, wide=False)
+    scored = _evaluated(images, prompts, files, per_species, False, root, directories)
     identified = scored.select(
         "image_id",
         "image_path",
@@ -243,14 +269,16 @@ def model_rows(
         F.col("correct").alias("bioclip_correct"),
         F.col("top1_score").alias("bioclip_score"),
         F.col("true_species_score").alias("bioclip_true_score"),
+        "seq",
     )
     found = localisation.select(
         "image_id",
         measures.mask_localised("has_mask", "quality").alias("megadetector_localised"),
         text.round4("quality").alias("megadetector_quality"),
         F.col("backend").alias("megadetector_backend"),
+        "seq",
     )
-    return joins.combine_identification_localisation(identified, found)
+    return joins.combine_identification_localisation(identified, found, "seq")
 
 
 def summarise_models(

@@ -1,11 +1,12 @@
 """Writing detections, evaluations, enriched metadata and reports."""
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from spoorline import schemas
-from spoorline.sources.tables import path_exists
+from spoorline.sources.tables import POINTER, published
 
 
 def write_detections(detections: DataFrame, path: str) -> None:
@@ -60,28 +61,38 @@ def export_csv(detections: DataFrame, path: str) -> None:
 
 
 def write_enriched_images(enriched: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Replace image metadata that the frame may itself be read from.
+    """Publish a new version of image metadata that the frame may itself be read from.
 
-    The new table is written beside the old one, which then steps aside under a
-    new name; it is kept.
+    Each version is a folder of its own under ``path``; when it is complete, the file
+    that names the current one is replaced. Nothing is renamed or copied, readers see
+    the old or the new version, and older ones stay until ``drop_versions``.
     """
     spark = enriched.sparkSession
-    mark = uuid.uuid4().hex
-    fresh = f"{path}.new-{mark}"
+    version = f"version-{time.time_ns():020d}-{uuid.uuid4().hex}"
+    fresh = f"{path.rstrip('/')}/{version}"
     if fmt == "csv":
         _csv(enriched, fresh)
     else:
         enriched.write.format(fmt).save(fresh)
-    if path_exists(spark, path):
-        _rename(spark, path, f"{path}.old-{mark}")
-    _rename(spark, fresh, path)
+    pointer, system = _file(spark, f"{path.rstrip('/')}/{POINTER}")
+    out = system.create(pointer, True)
+    out.write(bytearray(version.encode()))
+    out.close()
 
 
-def _rename(spark: SparkSession, source: str, target: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    system = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.rename(path(source), path(target)):
-        raise OSError(f"could not rename {source} to {target}")
+def drop_versions(spark: SparkSession, path: str) -> None:
+    """Delete the versions of a published table that are no longer the current one."""
+    current = published(spark, path).rsplit("/", 1)[-1]
+    folder, system = _file(spark, path)
+    for status in system.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("version-") and name != current:
+            system.delete(status.getPath(), True)
+
+
+def _file(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def write_report(lines: DataFrame, path: str) -> None:

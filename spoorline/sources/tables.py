@@ -29,16 +29,36 @@ def first_existing(spark: SparkSession, candidates: Sequence[str]) -> str:
 def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> DataFrame:
     reader = spark.read.schema(schema)
     if fmt == "csv":
-        return reader.option("header", True).option("escape", '"').csv(path)
+        # a value that does not fit its column fails the job instead of becoming null
+        reader = reader.option("header", True).option("escape", '"').option("mode", "FAILFAST")
+        return reader.csv(path)
     return reader.format(fmt).load(path)
 
 
+#: In the folder of a published table, the file that names the version to read.
+POINTER = "_CURRENT"
+
+
+def published(spark: SparkSession, path: str) -> str:
+    """The folder that holds the current version of a table, or the path itself."""
+    pointer = f"{path.rstrip('/')}/{POINTER}"
+    if not path_exists(spark, pointer):
+        return path
+    place = spark._jvm.org.apache.hadoop.fs.Path(pointer)
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).open(place)
+    try:
+        version = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return f"{path.rstrip('/')}/{version.strip()}"
+
+
 def read_images(
     spark: SparkSession, path: str, fmt: str = "csv", enriched: bool = False
 ) -> DataFrame:
     """Image metadata with a declared schema; ids stay text."""
     schema = schemas.ENRICHED_IMAGES if enriched else schemas.IMAGES
-    return _read(spark, path, schema, fmt)
+    return _read(spark, published(spark, path), schema, fmt)
 
 
 def read_species(
@@ -82,39 +102,28 @@ def read_detections_csv(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, schemas.DETECTIONS, "csv")
 
 
-def read_annotations(spark: SparkSession, path: str, nested: bool = False) -> DataFrame:
-    """Annotations of a JSON document ``{"annotations": [...]}`` with their order.
+def read_annotations(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Annotations of JSON documents ``{"annotations": [...]}`` with their order.
 
-    The document can be large, so it is not parsed whole. It is read as text that
-    ends a record at each closing brace, which Spark splits like any other text,
-    and each flat object is parsed by itself; one that does not parse fails the
-    job. ``pos`` orders them as in the file. Objects that contain braces need
-    ``nested``, which hands the document to the JSON reader in a single task.
+    A document is a file, which one task reads, or with ``lines`` a line of a file, which
+    splits. Keep a large set as lines, or convert it to Parquet once. A document that
+    does not fit the declared shape fails the job. ``pos`` orders the annotations as in
+    the files; fields that are not declared, nested ones too, are passed over.
     """
-    if nested:
-        document = T.StructType([T.StructField("annotations", T.ArrayType(schemas.ANNOTATION))])
-        return (
-            spark.read.schema(document)
-            .option("multiLine", True)
-            .json(path)
-            .select(F.posexplode("annotations").alias("pos", "a"))
-            .select(F.col("pos").cast("bigint").alias("pos"), "a.*")
-        )
-    pieces = spark.read.option("lineSep", "}").text(path)
+    document = T.StructType([T.StructField("annotations", T.ArrayType(schemas.ANNOTATION))])
+    reader = spark.read.schema(document).option("mode", "FAILFAST").option("multiLine", not lines)
     place = F.struct(
-        F.col("_metadata.file_path"),
-        F.col("_metadata.file_block_start"),
-        F.monotonically_increasing_id(),
+        F.col("_file").alias("file"), F.col("_row").alias("row"), F.col("_at").alias("at")
     )
-    body = F.concat(F.regexp_extract("value", r"(?s).*(\{.*)$", 1), F.lit("}"))
-    # The condition is part of the value too: filters may be evaluated in any order,
-    # and other pieces of the document must not reach the parser.
-    body = F.when(body.contains('"image_id"'), body)
     return (
-        pieces.select(place.alias("pos"), body.alias("body"))
-        .filter(F.col("body").isNotNull())
-        .select("pos", F.from_json("body", schemas.ANNOTATION, {"mode": "FAILFAST"}).alias("a"))
-        .select("pos", "a.*")
+        reader.json(path)
+        .select(
+            F.col("_metadata.file_path").alias("_file"),
+            F.monotonically_increasing_id().alias("_row"),
+            "annotations",
+        )
+        .select("_file", "_row", F.posexplode("annotations").alias("_at", "a"))
+        .select(place.alias("pos"), "a.*")
     )
 
 

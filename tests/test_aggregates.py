@@ -94,6 +94,13 @@ def test_comparison_page(detections, runs):
         f"{'Total runtime':<28} {'6.0s':>13} {'0.0s':>14} {'9.0s':>8}",
         f"{'Avg time per image':<28} {'2.0s':>13} {'0.0s':>14} {'9.0s':>8}",
     ]
+    assert page[12:] == [
+        "=" * 66,
+        "",
+        "BioCLIP+SAM  : best spatial precision (pixel mask, SAM 1).",
+        "BioCLIP+YOLO : fastest; bounding boxes for large-scale runs.",
+        "SAM 3        : text-prompted concept segmentation, single model.",
+    ]
     none = aggregates.pipeline_comparison(detections.limit(0), runs.limit(0))
     lines = [r.text for r in reports.in_order(reports.comparison_report(none, "x")).collect()]
     assert lines[8] == f"{'Avg confidence':<28} {'n/a':>13} {'n/a':>14} {'n/a':>8}"
@@ -115,8 +122,11 @@ def test_evaluation_page(evaluation):
     at = lines.index(f"{'buffalo':<22} {2:>8} {0:>9} {0.0:>9.1f}% ✗")
     assert lines[at + 1] == f"{'zebra':<22} {16:>8} {3:>9} {18.8:>9.1f}% ✗"
     assert lines[at + 2] == f"{'lioncub':<22} {4:>8} {2:>9} {50.0:>9.1f}% ✓"
-    assert lines[-3] == f"  {'zebra':<18} → {'lioncub':<18} (13 times)"
-    assert page(evaluation.filter("correct"))[-1] == "  (no incorrect predictions)"
+    assert lines[-5] == f"  {'zebra':<18} → {'lioncub':<18} (13 times)"
+    assert lines[1] == "BioCLIP Multi-Species Evaluation — Top-1 Accuracy"
+    assert "Incorrect predictions (top misclassifications):" in lines
+    assert lines[-2:] == ["", "Full results: "]
+    assert page(evaluation.filter("correct"))[-3] == "  (no incorrect predictions)"
     assert f"{'Overall top-1 accuracy:':<36} 0.0%" in page(evaluation.limit(0))
 
 

@@ -122,8 +122,11 @@ def test_evaluate(spark, images, prompts):
 
 def test_evaluate_models(spark, images, prompts):
     located = spark.createDataFrame(
-        [("i1", True, 0.9, "x"), ("i2", True, 0.0, "x"), ("i5", False, 0.5, "x")],
-        "image_id string, has_mask boolean, quality double, backend string")
+        [("i1", False, 0.1, "x", 1), ("i1", True, 0.9, "x", 2), ("i2", True, 0.0, "x", 3),
+         ("i5", False, 0.5, "x", 4)],
+        "image_id string, has_mask boolean, quality double, backend string, seq int")
+    again = images.filter("image_id = 'i1'").withColumn("seq", F.col("seq") + 100)
+    assert jobs.model_rows(images.unionByName(again), prompts, located).count() == 5
     rows = jobs.model_rows(images, prompts, located)
     assert rows.select(*schemas.MODEL_COMPARISON.fieldNames()).count() == 5
     done = jobs.summarise_models(rows, ["zebra", "lioncub"])
@@ -167,7 +170,7 @@ def test_user_models(spark, images):
         raise ImportError("not installed")
 
     def spare():
-        return lambda content: [(16, 0.5, 0, 0, 1, 1)] * int(content[0] > 0.5)
+        return lambda contents: [[(16, 0.5, 0, 0, 1, 1)] * int(c[0] > 0.5) for c in contents]
 
     make = models.first_loadable(("primary", broken), ("spare", spare))
     boxes = models.detect_boxes(readable, make).collect()
@@ -191,12 +194,36 @@ def test_unreadable_images_get_no_vector(spark):
         return encode
 
     got = {r.image_id: r.embedding for r in
-           models.embed(files, encoder, batch_size=4).collect()}
+           models.embed(files, encoder, batch_size=4, errors=(OSError,)).collect()}
     assert len(got) == 11
     assert {k for k, v in got.items() if v is None} == {"i0", "i3", "i6", "i9", "none"}
     assert got["i1"] == [1.0] * 4
     with pytest.raises(Exception, match="cannot identify"):
-        models.embed(files, encoder, skip_unreadable=False).collect()
+        models.embed(files, encoder).collect()
+    counted = models.unreadable(models.embed(files, encoder, errors=(OSError,)))
+    assert tuple(counted.first()) == (11, 1, 4)
+
+    def broken():
+        def encode(batch):
+            raise OSError("no weights")
+
+        return encode
+
+    many = files.union(files).union(files).coalesce(1)
+    with pytest.raises(Exception, match="read none of"):
+        models.embed(many, broken, errors=(OSError,)).collect()
+
+    def detector():
+        def find(contents):
+            if any(bytes(c) != b"ok" for c in contents):
+                raise models.UnreadableImage
+            return [[(16, 0.5, 0, 0, 1, 1)]] * len(contents)
+
+        return find, "own"
+
+    assert models.detect_boxes(files, detector).count() == 6
+    shown = models.detect_boxes(files, detector, show_unreadable=True)
+    assert shown.filter("box_id IS NULL").count() == 4
 
 
 def test_missing_vectors_stay_missing(spark):

@@ -139,8 +139,8 @@ def test_count_accuracy_without_the_join(spark, rows):
 
 def test_combining_models(spark, rows):
     identified = spark.createDataFrame(
-        [("a", True), ("b", True), ("c", False), ("d", True)],
-        "image_id string, bioclip_correct boolean")
+        [("a", False, 1), ("a", True, 2), ("b", True, 3), ("c", False, 4), ("d", True, 5)],
+        "image_id string, bioclip_correct boolean, seq int")
     located = spark.createDataFrame(
         [("a", False, 0.0, "x", 1), ("a", True, 0.9, "x", 2), ("b", False, 0.0, "x", 3),
          ("c", True, 0.5, "x", 4)],

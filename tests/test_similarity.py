@@ -103,10 +103,43 @@ def test_minmax_per_group_and_overall(spark, rows):
     )
     overall = similarity.minmax_confidence(scored)
     assert rows(overall, "image_id", "confidence") == [("x", 0.0), ("y", 0.2), ("z", 1.0)]
-    grouped = similarity.minmax_confidence(scored, "species_label", ["a", "b"])
+    grouped = similarity.minmax_confidence(scored, "species_label")
     assert rows(grouped, "image_id", "confidence") == [("x", 0.0), ("y", 1.0), ("z", 1.0)]
-    free = similarity.minmax_confidence(scored, "species_label")
-    assert rows(free, "image_id", "confidence") == rows(grouped, "image_id", "confidence")
+    unnamed = scored.unionByName(scored.withColumn("species_label", F.lit(None).cast("string")))
+    got = rows(similarity.minmax_confidence(unnamed, "species_label").filter("species_label IS NULL"), "image_id", "confidence")
+    assert got == [("x", 0.0), ("y", 0.2), ("z", 1.0)]
+
+
+def test_prompts_need_an_order_without_repeats(spark):
+    shape = "species string, ord int, embedding array<double>"
+    for bad in ([("a", 0, [1.0]), ("b", 0, [2.0])], [("a", None, [1.0]), ("b", 1, [2.0])]):
+        with pytest.raises(ValueError, match="ord"):
+            similarity.prompt_blocks(spark.createDataFrame(bad, shape))
+
+
+@pytest.mark.parametrize("engine", ["arrow", "sql"])
+@pytest.mark.parametrize("wide", [False, True])
+def test_block_size_does_not_matter_with_repeated_images(spark, rows, engine, wide):
+    images = spark.createDataFrame(
+        [("x", "a", [1.0, 0.0]), ("x", "b", [1.0, 0.0]), ("y", "d", [0.6, 0.8]), ("z", "a", [0.0, 0.0])],
+        "image_id string, species_label string, embedding array<double>")
+    prompts = spark.createDataFrame(
+        [("a", 0, [1.0, 0.0]), ("b", 1, [1.0, 0.0]), ("c", 2, [0.0, 1.0]), ("d", 3, [0.6, 0.8])],
+        "species string, ord int, embedding array<double>")
+    found = {n: rows(similarity.top1_species(images, prompts, engine, wide, n)) for n in (1, 2, 4)}
+    assert found[1] == found[2] == found[4] and len(found[1]) == 4
+    best = {(r[0], r[1]): r[2] for r in found[1]}
+    assert best == {("x", "a"): "a", ("x", "b"): "a", ("y", "d"): "d", ("z", "a"): None}
+
+
+def test_scores_are_read_once(spark, plan):
+    images = spark.createDataFrame(
+        [("x", "a", 1, [1.0, 0.0]), ("y", "a", 2, [0.0, 1.0])],
+        "image_id string, species_label string, seq int, embedding array<double>")
+    prompts = spark.createDataFrame([("a", 0, [1.0, 0.0])], "species string, ord int, embedding array<double>")
+    for ranked in (similarity.rank_each_species(images, prompts, 5), similarity.rank_by_species(images, prompts, "a", 5)):
+        assert "ArrowEvalPython" not in plan(ranked) and "embedding" not in plan(ranked)
+        assert ranked.count() == 2
 
 
 @pytest.mark.parametrize("n", [1, 7, 150, 1200, 5000])

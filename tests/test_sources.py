@@ -56,7 +56,10 @@ def test_enriched_images_replace_the_table_they_are_read_from(spark, images, tmp
     sinks.write_enriched_images(enriched, path, "parquet")
     back = tables.read_images(spark, path, "parquet", enriched=True)
     assert back.schema == schemas.ENRICHED_IMAGES and back.count() == 2
-    assert len([p for p in tmp_path.iterdir() if ".old-" in p.name]) == 1
+    assert len(list((tmp_path / "metadata").glob("version-*"))) == 2
+    sinks.drop_versions(spark, path)
+    assert len(list((tmp_path / "metadata").glob("version-*"))) == 1
+    assert tables.read_images(spark, path, "parquet", enriched=True).count() == 2
 
 
 def test_first_existing(spark, tmp_path):
@@ -105,15 +108,17 @@ ANNOTATIONS = [
 
 
 @pytest.mark.parametrize("indent", [None, 2])
-@pytest.mark.parametrize("nested", [False, True])
-def test_annotation_document(spark, tmp_path, indent, nested):
+@pytest.mark.parametrize("lines", [False, True])
+def test_annotation_document(spark, tmp_path, indent, lines):
     path = tmp_path / "annotations.json"
-    images = [{"id": "a", "file_name": "a.jpg"}]
-    document = {"info": {"year": 2010}, "images": images, "annotations": ANNOTATIONS}
-    path.write_text(json.dumps(document, indent=indent))
-    back = tables.read_annotations(spark, str(path), nested).orderBy("pos").collect()
+    images = [{"id": "a", "file_name": "a.jpg", "image_id": "foreign"}]
+    nested = [*ANNOTATIONS, {"image_id": "n", "count": "2", "extra": {"a": "}", "b": [{}]}}]
+    document = {"info": {"year": 2010}, "images": images, "annotations": nested}
+    path.write_text(json.dumps(document, indent=None if lines else indent))
+    back = tables.read_annotations(spark, str(path), lines).orderBy("pos").collect()
     kept = [r for r in back if r.image_id]
-    assert [(r.image_id, r["count"]) for r in kept] == [("a", "1"), ("b", "3"), ("a", "11-50")]
+    expected = [("a", "1"), ("b", "3"), ("a", "11-50"), ("n", "2")]
+    assert [(r.image_id, r["count"]) for r in kept] == expected
     assert kept[2].young_present == 1.0 and kept[2].moving is None
 
 
@@ -123,10 +128,11 @@ def test_annotations_in_many_splits_keep_their_order(spark, tmp_path):
     path = tmp_path / "annotations.json"
     rows = [{"image_id": f"i{n % 50}", "count": str(n % 10 + 1), "standing": n / 5000}
             for n in range(5000)]
-    path.write_text(json.dumps({"annotations": rows}))
+    documents = [{"annotations": rows[k : k + 100]} for k in range(0, 5000, 100)]
+    path.write_text("\n".join(map(json.dumps, documents)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
-        back = tables.read_annotations(spark, str(path))
+        back = tables.read_annotations(spark, str(path), lines=True)
         assert back.rdd.getNumPartitions() > 5
         images = spark.createDataFrame([(f"i{n}",) for n in range(50)], "image_id string")
         out = enrich_ground_truth(images, back)
@@ -137,6 +143,16 @@ def test_annotations_in_many_splits_keep_their_order(spark, tmp_path):
     assert got == {r["image_id"]: (r["count"], r["standing"]) for r in rows}
 
 
+def test_a_malformed_csv_value_fails_the_job(spark, tmp_path):
+    path = tmp_path / "images.csv"
+    names = schemas.IMAGES.fieldNames()
+    values = ["x"] * len(names)
+    values[names.index("latitude")] = "north"
+    path.write_text(",".join(names) + "\n" + ",".join(values) + "\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        tables.read_images(spark, str(path)).collect()
+
+
 def test_a_broken_annotation_fails_the_job(spark, tmp_path):
     path = tmp_path / "annotations.json"
     path.write_text('{"annotations": [{"image_id": "a", "count": }]}')
