@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from spoorline.driver.registry import query, round4
+from spoorline.driver.registry import fixed_lines, query, round4
 from spoorline.driver.views import view
 from spoorline.functions import measures
 from spoorline.operators import aggregates, joins, reports, sets
@@ -126,6 +126,46 @@ def model_comparison_by_species(spark, sf_dir):
 
 
 LABELS = ["click", "error", "purchase", "signup", "view"]
+_MODEL_LINES = fixed_lines(
+    s0=[
+        "=" * 70,
+        "BioCLIP vs SAM 3 — Comparison Report",
+        "=" * 70,
+        "",
+        f"{'Metric':<40} {'BioCLIP':>10} {'SAM 3':>8} {'Combined':>10}",
+        "-" * 70,
+    ],
+    s2=[
+        "",
+        "What these numbers mean:",
+        "  BioCLIP accuracy   = % images where top-1 species prediction is correct",
+        "  SAM 3 localisation = % images where SAM 3 found a valid mask",
+        "                       (given the correct species name as prompt)",
+        "  Combined           = both BioCLIP identified AND SAM 3 localised",
+        "",
+        f"{'Species':<22} {'BioCLIP':>10} {'SAM 3':>8} {'Combined':>10} {'N':>4}",
+        "-" * 70,
+    ],
+    s4=["", "Top BioCLIP misclassifications:", "-" * 70],
+    s6=["=" * 70],
+)
+_COMPARISON_LINES = fixed_lines(
+    s0=[
+        "=" * 66,
+        "Pipeline 1 Comparison Report  |  Species: all",
+        "=" * 66,
+        "",
+        f"{'Metric':<28} {'BioCLIP+SAM':>13} {'BioCLIP+YOLO':>14} {'SAM 3':>8}",
+        "-" * 66,
+    ],
+    s2=[
+        "=" * 66,
+        "",
+        "BioCLIP+SAM  : best spatial precision (pixel mask, SAM 1).",
+        "BioCLIP+YOLO : fastest; bounding boxes for large-scale runs.",
+        "SAM 3        : text-prompted concept segmentation, single model.",
+    ],
+)
 
 
 @query(f"""WITH {MODEL_COMPARISON},
@@ -164,9 +204,10 @@ SELECT 3, list_position({LABELS}, true_species),
 FROM species
 UNION ALL
 SELECT 5, -times, printf('  %-18s -> %-18s (%d times)', true_species, bioclip_predicted, times)
-FROM wrong""")
+FROM wrong
+UNION ALL {_MODEL_LINES}""")
 def model_report_lines(spark, sf_dir):
-    """Metric, species and confusion lines of the model comparison page."""
+    """Every line of the model comparison page."""
     rows = combined(spark, sf_dir)
     lines = reports.model_report(
         aggregates.model_comparison(rows, stage_runs(spark, sf_dir)),
@@ -174,7 +215,7 @@ def model_report_lines(spark, sf_dir):
         aggregates.confusions(rows, 8, "bioclip_predicted", "bioclip_correct"),
         LABELS,
     )
-    return lines.filter(F.col("section").isin(1, 3, 5)).select("section", "rank", "text")
+    return lines.select("section", "rank", "text")
 
 
 METHODS = """
@@ -259,11 +300,12 @@ FROM (
   UNION ALL
   SELECT 5, 'Avg time per image', max(CASE ord WHEN 0 THEN printf('%.1fs', seconds_per_image) END),
          max(CASE ord WHEN 1 THEN printf('%.1fs', seconds_per_image) END),
-         max(CASE ord WHEN 2 THEN printf('%.1fs', seconds_per_image) END) FROM compared)""")
+         max(CASE ord WHEN 2 THEN printf('%.1fs', seconds_per_image) END) FROM compared)
+UNION ALL {_COMPARISON_LINES}""")
 def text_report(spark, sf_dir):
-    """Metric lines of the comparison page."""
+    """Every line of the comparison page."""
     lines = reports.comparison_report(comparison(spark, sf_dir), "all")
-    return lines.filter("section = 1").select("section", "rank", "text")
+    return lines.select("section", "rank", "text")
 
 
 @query("""SELECT pipeline, count(*) AS n,

@@ -10,7 +10,7 @@ from spoorline.driver.views import table, view
 from spoorline.operators import aggregates, filters, similarity
 from spoorline.operators.images import validate_images as validate
 from spoorline.session import scratch_dir
-from spoorline.sources import sinks, tables
+from spoorline.sources import files, sinks, tables
 from spoorline.streaming import ingest
 
 # Where the file of an image lies: at its own path, in one of two searched
@@ -107,6 +107,25 @@ def images_csv_roundtrip(spark, sf_dir):
     return tables.read_images(spark, path)
 
 
+@query(f"SELECT {_IMAGES} FROM v_images")
+def first_existing(spark, sf_dir):
+    """The metadata read from the first of several places that is there."""
+    path = scratch_dir(spark, "images")
+    view(spark, sf_dir, "v_images").select(*_IMAGES.split(", ")).write.parquet(path)
+    found = tables.first_existing(spark, [f"{path}-elsewhere", path, sf_dir])
+    return tables.read_images(spark, found, "parquet")
+
+
+@query("SELECT DISTINCT species_label AS folder, 'parquet' AS kind FROM v_images")
+def list_files(spark, sf_dir):
+    """The files of a stored table by folder; the listing does not read them."""
+    path = scratch_dir(spark, "images")
+    view(spark, sf_dir, "v_images").write.partitionBy("species_label").parquet(path)
+    listed = files.list_files(spark, path, "*.parquet").filter("length > 0")
+    folder = F.regexp_extract("path", "species_label=([^/]*)/[^/]*$", 1).alias("folder")
+    return listed.select(folder, F.regexp_extract("path", "[.]([a-z]+)$", 1).alias("kind")).distinct()
+
+
 @query(f"SELECT {_IMAGES} FROM v_images WHERE species_label = 'view'")
 def images_of_species(spark, sf_dir):
     """One label out of a stored Parquet table; the filter reaches the scan."""
@@ -165,6 +184,15 @@ def nested_users():
     return F.struct(F.lit("not an annotation").alias("image_id"), F.lit("9").alias("count"))
 
 
+@query(f"{_DETECTIONS} WHERE pipeline = 'bioclip_sam'")
+def export_csv(spark, sf_dir):
+    """One pipeline's detections exported and read back."""
+    path = scratch_dir(spark, "export")
+    sinks.export_csv(_stored_detections(spark, sf_dir).filter("pipeline = 'bioclip_sam'"), path)
+    out = tables.read_detections_csv(spark, path)
+    return out.fillna("", subset=["habitat_type", "mask_path"])
+
+
 @query("SELECT image_id, count, standing FROM v_annotations")
 def annotations_json_roundtrip(spark, sf_dir):
     """Documents of up to 1,000 annotations a line, with fields that are not read."""

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from spoorline.driver.detection import LOCALISED_BOXES, boxes
-from spoorline.driver.registry import query, round4
+from spoorline.driver.registry import fixed_lines, query, round4
 from spoorline.driver.retrieval import OWN, TOP1
 from spoorline.driver.truth import _COUNT_ACCURACY, ENRICHED, ERRORS, rounded_accuracy
 from spoorline.driver.views import view
@@ -57,6 +57,28 @@ def detect_one_species(spark, sf_dir):
     )
 
 
+@query(f"""WITH {OWN}, {LOCALISED_BOXES}
+SELECT {_RECORD}
+FROM own o JOIN v_gallery g ON o.image_id = g.image_id
+JOIN localised_boxes l ON o.image_id = l.image_id
+WHERE o.rn <= 15 AND o.species_label = '4'""")
+def detect_files(spark, sf_dir):
+    """From stored metadata to stored detections."""
+    path, images = scratch_dir(spark, "metadata"), _gallery(spark, sf_dir)
+    sinks.write_enriched_images(images.drop("seq", "embedding"), path, "parquet")
+    return jobs.detect_stored(
+        spark,
+        path,
+        images,
+        view(spark, sf_dir, "v_prompts"),
+        boxes(spark, sf_dir),
+        "bioclip_yolo",
+        "4",
+        scratch_dir(spark, "detections"),
+        "parquet",
+    )
+
+
 @query(f"""WITH {OWN}, {LOCALISED_BOXES},
 chosen AS (SELECT image_id FROM own WHERE rn <= 40 AND species_label = '4'),
 found AS (
@@ -77,6 +99,25 @@ SELECT pipeline, count(*) AS processed, count(*) FILTER (instance_count > 0) AS
 FROM found GROUP BY pipeline""")
 def compare_job(spark, sf_dir):
     """Three detectors on the same ranked images, side by side."""
+    return _compared(spark, sf_dir).metrics.select(
+        "pipeline", "processed", "localised", round4("mean_quality").alias("mean_quality")
+    )
+
+
+@query(f"""WITH {OWN}
+SELECT g.local_image_path AS image_path,
+  concat('results/bioclip_sam/overlays/', o.image_id, '_overlay.jpg') AS bioclip_sam,
+  concat('results/bioclip_yolo/overlays/', o.image_id, '_overlay.jpg') AS bioclip_yolo,
+  concat('results/bioclip_megadetector/overlays/', o.image_id, '_overlay.jpg')
+    AS bioclip_megadetector,
+  concat(o.image_id, '_compare.jpg') AS compare_name
+FROM own o JOIN v_gallery g ON o.image_id = g.image_id
+WHERE o.rn <= 40 AND o.species_label = '4'""")
+def compare_job_overlays(spark, sf_dir):
+    return _compared(spark, sf_dir).overlays
+
+
+def _compared(spark, sf_dir):
     images = _gallery(spark, sf_dir)
     truth = images.select("image_id", "species_label", "seq")
     runs = view(spark, sf_dir, "v_detections").groupBy("pipeline").agg(
@@ -87,12 +128,9 @@ def compare_job(spark, sf_dir):
         "bioclip_yolo": boxes(spark, sf_dir),
         "bioclip_megadetector": boxes(spark, sf_dir),
     }
-    done = jobs.compare_pipelines(
+    return jobs.compare_pipelines(
         images, view(spark, sf_dir, "v_prompts"), raw, truth, runs, "4", 40
     )
-    return done.metrics.select(
-        "pipeline", "processed", "localised", round4("mean_quality").alias("mean_quality")
-    )
 
 
 @query(f"""WITH {TOP1}
@@ -106,6 +144,50 @@ def evaluate_rows(spark, sf_dir):
     )
 
 
+_WIDE = ", ".join(
+    f"round(1e-9 + max(CASE WHEN s.species = '{i}' THEN s.score END), 4) AS score_{i}"
+    for i in range(10)
+)
+
+
+@query(f"""WITH {TOP1},
+first AS (SELECT *, row_number() OVER (PARTITION BY species_label ORDER BY seq) AS place
+          FROM v_gallery)
+SELECT t.image_id,
+       CASE g.seq % 4 WHEN 0 THEN concat('/study/', g.local_image_path)
+            ELSE concat('/archive/one/', t.image_id, '.jpg') END AS image_path,
+       t.true_species, t.predicted_species, t.correct, t.top1_score, t.true_species_score,
+       g.site_id AS camera_id, g.latitude, g.longitude, {_WIDE}
+FROM top1 t JOIN first g ON t.image_id = g.image_id JOIN scores s ON t.image_id = s.image_id
+WHERE g.place <= 30 AND g.seq % 4 < 2
+GROUP BY ALL""")
+def evaluate_files(spark, sf_dir):
+    """The whole evaluation: heads per label, paths found in a listing, wide scores."""
+    images, name = _gallery(spark, sf_dir), F.concat("image_id", F.lit(".jpg"))
+    listing = images.select(
+        F.when(F.col("seq") % 4 == 0, F.concat(F.lit("/study/"), "local_image_path"))
+        .when(F.col("seq") % 4 == 1, F.concat(F.lit("/archive/one/"), name))
+        .otherwise(F.concat(F.lit("/elsewhere/"), name))
+        .alias("path")
+    )
+    return jobs.evaluation_rows(
+        images,
+        view(spark, sf_dir, "v_prompts").filter("ord < 10"),
+        listing,
+        per_species=30,
+        root="/study",
+        directories=["/archive/one", "/archive/two"],
+    )
+
+
+_EVALUATION_LINES = fixed_lines(
+    s0=["=" * 62, "BioCLIP Multi-Species Evaluation — Top-1 Accuracy", "=" * 62, ""],
+    s2=["", f"{'Species':<22} {'Images':>8} {'Correct':>9} {'Accuracy':>10}", "-" * 62],
+    s4=["=" * 62, "", "Incorrect predictions (top misclassifications):", "-" * 62],
+    s6=["", "Full results: evaluation.parquet"],
+)
+
+
 @query(f"""WITH {TOP1},
 species AS (
   SELECT true_species, count(*) AS n, count(*) FILTER (correct) AS c FROM top1
@@ -126,7 +208,10 @@ SELECT 3, CAST(true_species AS INT) + 1,
               CASE WHEN 100.0 * c / n >= 50 THEN '✓' ELSE '✗' END) FROM species
 UNION ALL
 SELECT 5, -times, printf('  %-18s → %-18s (%d times)', true_species, predicted_species, times)
-FROM wrong""")
+FROM wrong
+UNION ALL
+SELECT 5, 0, '  (no incorrect predictions)' WHERE NOT EXISTS (SELECT * FROM wrong)
+UNION ALL {_EVALUATION_LINES}""")
 def evaluate_job(spark, sf_dir):
     """Scored once and stored; the page is made from what was stored."""
     path = scratch_dir(spark, "evaluation")
@@ -135,9 +220,11 @@ def evaluate_job(spark, sf_dir):
     )
     sinks.write_evaluation(scored, path)
     done = jobs.summarise_evaluation(
-        tables.read_evaluation(spark, path), [str(i) for i in range(10)]
+        tables.read_evaluation(spark, path),
+        [r.species for r in view(spark, sf_dir, "v_prompts").orderBy("ord").collect()],
+        "evaluation.parquet",
     )
-    return done.report.filter(F.col("section").isin(1, 3, 5)).select("section", "rank", "text")
+    return done.report.select("section", "rank", "text")
 
 
 MODELS = f"""

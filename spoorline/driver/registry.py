@@ -33,3 +33,13 @@ def round4(c: str | Column) -> Column:
     """
     c = F.col(c) if isinstance(c, str) else c
     return F.round(F.lit(1e-9) + c, 4)
+
+
+def fixed_lines(**sections: list[str]) -> str:
+    """SQL for the lines of a page that no data goes into; ``s0`` is section 0."""
+    rows = [
+        f"({name[1:]}, CAST({i} AS DOUBLE), '{line.replace(chr(39), chr(39) * 2)}')"
+        for name, lines in sections.items()
+        for i, line in enumerate(lines)
+    ]
+    return f"SELECT section, rank, text FROM (VALUES {', '.join(rows)}) f(section, rank, text)"

@@ -2,10 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from spoorline.driver.registry import query, round4
+from spoorline import fixed_values as fixed
+from spoorline.driver.registry import fixed_lines, query, round4
 from spoorline.driver.views import view
 from spoorline.functions import measures
 from spoorline.operators import aggregates, filters, joins, reports
+from spoorline.session import scratch_dir
+from spoorline.sources import files, sinks
 
 LAST_LABEL = """
 last_label AS (
@@ -151,20 +154,62 @@ def count_accuracy(spark, sf_dir):
     return rounded_accuracy(aggregates.count_accuracy(errors(spark, sf_dir)))
 
 
-@query(f"""WITH {ERRORS},
+COUNT_LINES = fixed_lines(
+    s0=[
+        "=" * 72,
+        "Pipeline 1 — Counting Accuracy Report  (all)",
+        "=" * 72,
+        "",
+        f"{'Pipeline':<28} {'Mean Count':>10} {'GT Count':>9} {'MAE':>7} {'Exact %':>8}",
+        "-" * 72,
+    ],
+    s2=[
+        "",
+        "What these numbers mean:",
+        "  Mean Count  = average number of animals detected by the pipeline",
+        "  GT Count    = average citizen scientist ground truth count",
+        "  MAE         = mean absolute error (lower is better)",
+        "  Exact %     = % of images where pipeline count exactly matches GT",
+        "",
+        "Interpretation:",
+        "  MAE < 2  = acceptable for social structure classification",
+        "  MAE > 5  = pipeline is significantly over or undercounting",
+        "=" * 72,
+    ],
+)
+COUNT_PAGE = f"""{ERRORS},
 means AS (
   SELECT pipeline, avg(instance_count) AS a, avg(gt_count) AS b, avg(count_error) AS c,
          100 * avg(CAST(exact_match AS INT)) AS d
-  FROM errors GROUP BY pipeline)
+  FROM errors GROUP BY pipeline),
+page AS (
 SELECT 1 AS section,
        CAST(list_position(['bioclip_sam', 'bioclip_yolo', 'bioclip_megadetector'], pipeline)
             AS DOUBLE) AS rank,
        printf('%-28s %10.1f %9.1f %7.1f %7.1f%%', pipeline, a, b, c, d) AS text
-FROM means""")
+FROM means
+UNION ALL {COUNT_LINES})
+"""
+
+
+def count_page(spark, sf_dir):
+    return reports.count_report(aggregates.count_accuracy(errors(spark, sf_dir)), "all")
+
+
+@query(f"WITH {COUNT_PAGE} SELECT section, rank, text FROM page")
 def count_report_lines(spark, sf_dir):
-    """Metric lines of the counting page."""
-    lines = reports.count_report(aggregates.count_accuracy(errors(spark, sf_dir)), "all")
-    return lines.filter("section = 1").select("section", "rank", "text")
+    """Every line of the counting page."""
+    return count_page(spark, sf_dir).select("section", "rank", "text")
+
+
+@query(f"""WITH {COUNT_PAGE}
+SELECT row_number() OVER (ORDER BY section, rank) - 1 AS line, text FROM page""")
+def report_roundtrip(spark, sf_dir):
+    """A page stored as one text and read again."""
+    path = scratch_dir(spark, "report")
+    sinks.write_report(count_page(spark, sf_dir), path)
+    lines = files.read_report(spark, path).split("\n")
+    return spark.createDataFrame(list(enumerate(lines)), "line long, text string")
 
 
 @query(f"""WITH repeated AS (
@@ -189,13 +234,51 @@ def count_accuracy_repeated_truth(spark, sf_dir):
     return rounded_accuracy(aggregates.count_accuracy_from(rows, truth))
 
 
-@query("""SELECT DISTINCT species,
-  upper(species[1]) || species[2:] AS display_name, species AS concept_prompt,
-  '0,200,255' AS colour
-FROM v_detections""")
+_NAMED = """named AS (
+  SELECT DISTINCT CASE seq % 16
+      WHEN 0 THEN 'buffalo' WHEN 1 THEN 'cheetah' WHEN 2 THEN 'elephant' WHEN 3 THEN 'giraffe'
+      WHEN 4 THEN 'leopard' WHEN 5 THEN 'wildebeest' WHEN 6 THEN 'zebra' WHEN 7 THEN 'lionmale'
+      WHEN 8 THEN 'lionfemale' WHEN 9 THEN 'lioncub' WHEN 10 THEN 'hyenaspotted'
+      WHEN 11 THEN 'hyenabrown' WHEN 12 THEN 'gazellethomsons' ELSE species_label END AS species
+  FROM v_images)"""
+
+
+@query(f"""WITH {_NAMED}
+SELECT species,
+  CASE species WHEN 'gazellethomsons' THEN 'Thomson''s Gazelle'
+    WHEN 'hyenaspotted' THEN 'Spotted Hyena' WHEN 'hyenabrown' THEN 'Brown Hyena'
+    WHEN 'lionmale' THEN 'Lion (male)' WHEN 'lionfemale' THEN 'Lion (female)'
+    WHEN 'lioncub' THEN 'Lion (cub)' ELSE upper(species[1]) || species[2:] END AS display_name,
+  CASE species WHEN 'gazellethomsons' THEN 'thomsons gazelle' WHEN 'lionfemale' THEN 'female lion'
+    WHEN 'lionmale' THEN 'male lion' WHEN 'lioncub' THEN 'lion cub'
+    WHEN 'hyenaspotted' THEN 'spotted hyena' WHEN 'hyenabrown' THEN 'brown hyena'
+    ELSE species END AS concept_prompt,
+  CASE species WHEN 'buffalo' THEN '0,165,255' WHEN 'cheetah' THEN '0,255,255'
+    WHEN 'elephant' THEN '180,180,180' WHEN 'giraffe' THEN '0,200,0'
+    WHEN 'leopard' THEN '255,0,180' WHEN 'wildebeest' THEN '255,80,0'
+    WHEN 'zebra' THEN '255,255,255' WHEN 'lionmale' THEN '0,0,255'
+    WHEN 'lionfemale' THEN '0,0,200' WHEN 'lioncub' THEN '0,0,150'
+    WHEN 'hyenaspotted' THEN '255,0,255' WHEN 'hyenabrown' THEN '180,0,180'
+    WHEN 'gazellethomsons' THEN '0,210,120' ELSE '0,200,255' END AS colour
+FROM named""")
 def with_display_names(spark, sf_dir):
-    labels = view(spark, sf_dir, "v_detections").select("species").distinct()
-    return joins.with_display_names(labels)
+    """All labels of the study and some that it does not know."""
+    labels = F.array(*[F.lit(s) for s in fixed.TARGET_SPECIES])
+    named = view(spark, sf_dir, "v_images").select(
+        F.coalesce(F.get(labels, (F.col("seq") % 16).cast("int")), "species_label").alias("species")
+    )
+    return joins.with_display_names(named.distinct())
+
+
+@query("""SELECT pipeline, CASE pipeline WHEN 'bioclip_sam' THEN 'BioCLIP + SAM 3'
+    WHEN 'bioclip_yolo' THEN 'BioCLIP + YOLO' ELSE 'BioCLIP + MegaDetector' END AS pipeline_label,
+  CASE pipeline WHEN 'bioclip_sam' THEN 'Multi-instance pixel masks'
+    WHEN 'bioclip_yolo' THEN 'Bounding box (single best)'
+    ELSE 'Multi-instance bounding boxes' END AS pipeline_output, count(*) AS n
+FROM v_detections GROUP BY pipeline""")
+def with_pipeline_names(spark, sf_dir):
+    counted = view(spark, sf_dir, "v_detections").groupBy("pipeline").agg(F.count("*").alias("n"))
+    return joins.with_pipeline_names(counted)
 
 
 @query("""SELECT image_id, pipeline,

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from spoorline import fixed_values as fixed
 from spoorline.functions import measures, text
 from spoorline.operators.filters import pipeline_dim
+from spoorline.session import stored
 
 
 def species_counts(images: DataFrame) -> DataFrame:
@@ -322,31 +323,38 @@ def confidence_histogram(detections: DataFrame, bins: int = fixed.HISTOGRAM_BINS
 
 QUARTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 QUARTILE_NAMES = ("lowest", "lower_quartile", "median", "upper_quartile", "highest")
-# The value range is cut into this many slices, and each slice into as many again.
+# A group's value range is cut into this many slices, and each slice into as many again.
 _SLICES = 4096
 
 
 def quality_box_stats(
     detections: DataFrame, column: str = "detection_quality", by: str = "pipeline"
 ) -> DataFrame:
-    """Exact quartiles of a score in [0, 1] per group, linear between neighbours.
+    """Exact quartiles of a score per group, linear between neighbours.
 
     An exact percentile aggregate would hold one group's values in one task.
-    Instead equal values collapse to a count, slices of the range are counted,
-    those that contain a wanted rank are cut once more, and only the narrow
+    Instead equal values collapse to a count, and these counts are stored: the
+    detections are read once. Slices between a group's lowest and highest value are
+    counted, those that contain a wanted rank are cut once more, and only the narrow
     slices left over are ordered, each on its own.
     """
-    value = F.col("_v")
-    wide = F.greatest(F.least(F.floor(value * _SLICES), F.lit(_SLICES - 1)), F.lit(0))
-    narrow = F.floor(value * _SLICES * _SLICES) - F.col("_wide") * _SLICES
-    values = (
+    counts = stored(
         detections.filter(F.col(column).isNotNull())
         .groupBy(by, F.col(column).alias("_v"))
-        .agg(F.count("*").alias("_n"))
+        .agg(F.count("*").alias("_n")),
+        "value-counts",
+    )
+    ends = counts.groupBy(by).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    width = F.greatest(F.col("_high") - F.col("_low"), F.lit(2.0**-1000)) / _SLICES
+    last = F.lit(_SLICES - 1)
+    wide = F.least(F.floor((F.col("_v") - F.col("_low")) / width), last)
+    start = F.col("_low") + F.col("_wide") * width
+    narrow = F.floor((F.col("_v") - start) / (width / _SLICES))
+    values = (
+        counts.join(ends, by)
         .withColumn("_wide", wide)
-        .withColumn(
-            "_narrow", F.greatest(F.least(narrow, F.lit(_SLICES - 1)), F.lit(0))
-        )
+        .withColumn("_narrow", F.greatest(F.least(narrow, last), F.lit(0)))
+        .drop("_low", "_high")
     )
     per_wide = values.groupBy(by, "_wide").agg(F.sum("_n").alias("_n"))
     totals = per_wide.groupBy(by).agg(F.sum("_n").alias("n"))

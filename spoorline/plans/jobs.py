@@ -7,7 +7,7 @@ what they return. Images carry ``seq`` (table order) and ``embedding``.
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoorline import fixed_values as fixed
@@ -22,6 +22,7 @@ from spoorline.operators.similarity import (
     with_own_score,
 )
 from spoorline.session import stored
+from spoorline.sources import sinks, tables
 
 
 def select_images(
@@ -109,6 +110,39 @@ def detect_all_species(
     return localise_in(judged, pipeline, raw, results_root)
 
 
+def detect_stored(
+    spark: SparkSession,
+    images_path: str,
+    vectors: DataFrame,
+    prompts: DataFrame,
+    raw: DataFrame,
+    pipeline: str,
+    species: str,
+    output: str,
+    fmt: str = "csv",
+    top_n: int = fixed.DEFAULT_TOP_N,
+    files: DataFrame | None = None,
+    root: str = "",
+    directories: Sequence[str] = (),
+    order: str = "image_id",
+) -> DataFrame:
+    """One pipeline on one label from stored metadata to stored detections.
+
+    ``vectors`` holds image_id and embedding; an image without one is unreadable. Paths
+    are resolved when a file listing is given. ``order`` names the metadata column that
+    orders rows. A label without images writes nothing. Returns what was stored.
+    """
+    every = tables.read_images(spark, images_path, fmt).withColumn("seq", F.col(order))
+    images = tables.read_species(spark, images_path, species, files, root, directories, fmt)
+    images = images.withColumn("seq", F.col(order)).join(
+        vectors.select("image_id", "embedding"), "image_id", "left"
+    )
+    truth = every.select("image_id", "species_label", "seq")
+    found = detect(images, prompts, raw, truth, pipeline, species, top_n)
+    sinks.write_detections(found, output)
+    return tables.read_detections(spark, output, pipeline, species)
+
+
 @dataclass(frozen=True)
 class Comparison:
     detections: DataFrame

@@ -143,6 +143,7 @@ def test_round_exact_on_many_values(spark):
     rng = np.random.default_rng(1)
     ties = [n / 10**5 for n in range(5, 20000, 10)] + [n / 16 for n in range(-40, 40)]
     values = ties + list(map(float, rng.uniform(-2, 2, 2000))) + [0.0, 1e12, -3.5e8]
+    values += [1234567890.123456, 1000000000.25, -4e12 - 0.05, -5e-05, 1e20]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     for decimals in (0, 1, 4):
         for r in df.select("v", text.round_exact("v", decimals).alias("r")).collect():

@@ -107,6 +107,18 @@ def folder(tmp_path):
 READ = [name for name, data in FILES.items() if data]
 
 
+def test_headers_behind_the_first_bytes_are_found(spark):
+    """JPEGs whose size, or capture time, lies behind what is sent at first; a PNG with a time."""
+    filler = b"\xff\xe2" + (60_000).to_bytes(2, "big") + b"x" * 59_998
+    late = jpeg(1920, 1080, tiff({306: TIME}))
+    rows = [("late.jpg", late[:2] + filler * 3 + late[2:]), ("plain.png", png(800, 600))]
+    rows.append(("junk.jpg", b"\xff\xd8\xff" + b"\0" * 200_000))
+    files = spark.createDataFrame([(n, len(d), bytearray(d)) for n, d in rows], "path string, length long, content binary")
+    got = {r.file: (r.accepted, r.resolution, r.timestamp) for r in validate_images(files).collect()}
+    assert got["late.jpg"] == (True, "1920×1080", TIME)
+    assert got["plain.png"] == (True, "800×600", "not in EXIF") and not got["junk.jpg"][0]
+
+
 def test_validation(spark):
     files = spark.createDataFrame(
         [(f"/in/{name}", len(data), bytearray(data)) for name, data in FILES.items()],

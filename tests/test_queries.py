@@ -7,12 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from spoorline.driver import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-TABLES = "events embeddings lineitem orders".split()
+TABLES = "events embeddings lineitem orders documents benchmark labels".split()
 
-QUERIES = contract.queries()
-ORACLES = contract.oracle_sql()
 
 
 @pytest.fixture(scope="module")
