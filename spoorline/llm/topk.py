@@ -186,12 +186,15 @@ def search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
     # dealt evenly whatever the rows hold, so that packs are full and no group is large
     rows = quantised(vectors).withColumn("deal", F.pmod(number, F.lit(row_groups)))
+    # sorted, so that a task that runs again after a loss makes the same packs
     rows = rows.repartition(row_groups, "deal").select("vec_id", "values")
+    rows = rows.sortWithinPartitions("vec_id", "values")
     chunks = rows.mapInPandas(_pack(CHUNK_ROWS), pack)
     chunks = chunks.select(*(F.col(c).alias(f"c_{c}") for c in chunks.columns))
     chunks = numbered(chunks, "chunk", "i", row_groups, "j", query_groups)
     own = wanted.withColumn("deal", F.pmod(number, F.lit(max(1, -(-m // BLOCK_QUERIES)))))
     own = own.repartition(max(1, min(tasks, -(-m // BLOCK_QUERIES))), "deal").select("vec_id", "values")
+    own = own.sortWithinPartitions("vec_id", "values")
     blocks = numbered(own.mapInPandas(_pack(BLOCK_QUERIES), pack), "block", "j", query_groups, "i", row_groups)
     pairs = chunks.join(blocks, ["i", "j"]).select("chunk", "c_ids", "c_width", "c_matrix", "block", "ids", "width", "matrix")
     found = pairs.mapInPandas(_meet(k), "block long, place int, query_id long, vec_id long, score long")
