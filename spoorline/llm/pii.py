@@ -72,6 +72,13 @@ RUN = re.compile(
     re.I,
 )
 PART = re.compile(rf"(?P<word>{WORD})|(?P<digits>[0-9]+)|(?P<plus>plus)|(?P<dot>dot|point)|(?P<dash>dash|hyphen|minus)|(?P<gap>[ \t]+)|(?P<mark>.)", re.I)
+# Letters taken for digits.
+LETTER_DIGITS = {"O": "0", "o": "0", "I": "1", "l": "1"}
+#: Shapes in which they are, and the fewest true digits of each.
+LETTERED = (
+    (re.compile(r"(?<![A-Za-z0-9])[0-9OoIl]{3,5}(?:[ -]?[0-9OoIl]{3,5}){2,5}+(?![A-Za-z0-9])"), 10),
+    (re.compile(r"(?<![A-Za-z0-9.])[0-9OoIl]{1,3}(?:\.[0-9OoIl]{1,3}){3}(?![A-Za-z0-9.])"), 3),
+)
 AT = r"[ \t]*[\[({<][ \t]*(?:at|@)[ \t]*[\])}>][ \t]*|[ \t]+(?:at|@)[ \t]+"
 DOT = r"[ \t]*[\[({<][ \t]*(?:dot|\.)[ \t]*[\])}>][ \t]*|[ \t]+dot[ \t]+"
 AT_SIGN = re.compile(rf"(?<=[A-Za-z0-9])(?:{AT}|@)(?=[A-Za-z0-9])", re.I)
@@ -223,6 +230,17 @@ def digits_for_words(text: Aligned) -> Aligned:
     return Aligned.joined(text, edits) if edits else text
 
 
+def digits_for_letters(text: Aligned) -> Aligned:
+    """Letters that look like digits become digits in what is otherwise a card or an address."""
+    edits = []
+    for pattern, least in LETTERED:
+        for found in pattern.finditer(text.text):
+            own = found[0]
+            if len(DIGITS.sub("", own)) >= least:
+                edits += [(found.start() + k, found.start() + k + 1, LETTER_DIGITS[c]) for k, c in enumerate(own) if c in LETTER_DIGITS]
+    return Aligned.joined(text, sorted(set(edits))) if edits else text
+
+
 def signs_for_words(text: Aligned) -> Aligned:
     """``name at host dot org`` and its bracketed forms become addresses."""
     edits, done, own = [], 0, text.text
@@ -264,7 +282,7 @@ def find(text: str | None) -> list[tuple[str, int, int, bool]]:
     text = text or ""
     base = identifiers(text)
     spans = [(s, k, e, True) for s, k, e in base]
-    normal = signs_for_words(digits_for_words(plain_characters(Aligned(text))))
+    normal = signs_for_words(digits_for_letters(digits_for_words(plain_characters(Aligned(text)))))
     if hasattr(normal, "source"):
         taken = {k: sorted((s, e) for s, kk, e in base if kk == k) for k in range(len(KINDS))}
         for start, kind, end in identifiers(normal.text):

@@ -70,6 +70,9 @@ def test_base_on_documents(spark):
         ("call plus four nine one five one two three four five six seven now", "phone", "plus four nine one five one two three four five six seven"),
         ("host one nine two dot one six eight dot one dot seven up", "ip", "one nine two dot one six eight dot one dot seven"),
         ("host 192\u200b.168.1\u200b.7 up", "ip", "192\u200b.168.1\u200b.7"),
+        ("card 4lll 1111 1111 l111 end", "card", "4lll 1111 1111 l111"),
+        ("host l92.168.O.1 up", "ip", "l92.168.O.1"),
+        ("call +1 (zero one seven) five five five-7713 now", "phone", "+1 (zero one seven) five five five-7713"),
     ],
 )
 def test_disguises_map_back(text, kind, source):
