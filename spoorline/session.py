@@ -6,6 +6,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,7 +40,31 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = _local_root()
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
+
+
+_made: ContextVar[list[str] | None] = ContextVar("scratch tables of a job", default=None)
+
+
+@contextmanager
+def releasing(spark: SparkSession):
+    """Delete the scratch tables made inside, at the end.
+
+    For a whole job, its final write included: frames that read scratch tables do not
+    outlive them.
+    """
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for path in made:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 @functools.cache
