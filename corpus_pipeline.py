@@ -15,8 +15,9 @@ from spoorline.llm import bpe, contamination, language, neardup, pii
 from spoorline.llm.shipping import shipped
 from spoorline.session import stored
 
-#: A text is rejected if no language makes up this share of it.
-LEAST_SHARE = 0.5
+#: A text is rejected if no language makes up this share of it: a text with quotations in
+#: two other languages stays, a jumble of four or more goes.
+LEAST_SHARE = 1 / 3
 
 
 def tokenizer_path() -> str:
