@@ -23,7 +23,6 @@ the named columns are read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +37,6 @@ from pyspark.sql import types as T
 from spoorline.llm.text import mix
 from spoorline.session import stored
 
-TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 END, BEGIN = (xxhash.xxh3_64_intdigest(b"", seed=s) for s in (1, 2))
 #: Characters of a block, and requested n-grams that are summed in one task.
 BLOCK_CHARS = 6 << 20
@@ -49,8 +46,9 @@ CLASSES = 16
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def tokens(text: str | None) -> list[str]:
-    return TOKEN.findall((text or "").translate(LOWER))
+def tokens(text: str | None) -> list[bytes]:
+    """Words in UTF-8: bytes change case and split at ASCII letters and spaces only."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
 def fold(doc_id: Column) -> Column:
@@ -78,7 +76,7 @@ def tokenised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return {END: 0, BEGIN: 1}, [0, 0], [], [], [], [], 0
 
     known, classes, ids, held, sizes, found, chars = start()
-    local: dict[str, int] = {}
+    local: dict[bytes, int] = {}
 
     def block() -> pd.DataFrame:
         return pd.DataFrame(
@@ -98,7 +96,7 @@ def tokenised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc_id, out, text in zip(batch["doc_id"], batch["held"], batch["text"], strict=True):
             own = tokens(text)
             for w in set(own).difference(local):
-                h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+                h = xxhash.xxh3_64_intdigest(w)
                 if h not in known:
                     known[h] = len(known)
                     classes.append(min(len(w), CLASSES - 1))
@@ -202,23 +200,32 @@ def summed(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 class Automaton:
-    """States, arcs and failure arcs for the n-grams of a block."""
+    """States, arcs and failure arcs for the n-grams of a block.
+
+    State 0 has no context and an arc for every word. An arc of the longest n-grams
+    leads where the shorter context's arc for the same word leads, so it holds its
+    weight only.
+    """
 
     def __init__(self, block: Block, counts: list[np.ndarray], model: dict):
-        order, n = len(counts), len(block.tokens)
+        order = len(counts)
         self.width = len(block.words)
         total, distinct, texts = model["tokens"], model["distinct"], model["texts"]
         unigram = (counts[0] + 1) / (total + distinct + 1)
         prob = unigram[block.grams[0][2]]
-        #: Occurrences in training, and state, of the context before each token.
-        context = np.where(block.depth > 0, np.roll(counts[0][block.grams[0][2]], 1), texts)
-        offsets = np.cumsum([2, *(len(c) for c in counts)])  # state 0: no context, 1: the beginning
+        offsets = np.cumsum([2, *(len(c) for c in counts)])  # state 1: the beginning
         state = np.where(counts[0] > 0, offsets[0] + np.arange(len(counts[0])), 0)
         words = block.tokens[block.grams[0][1]]
-        arcs = [(words.astype(np.int64), np.log10(unigram), state)]
+        root, leads = np.zeros(self.width), np.zeros(self.width, np.int64)
+        root[words], leads[words] = np.log10(unigram), state
+        self.root, self.leads = root.tolist(), leads.tolist()
         fail_to, fail_weight = np.zeros(offsets[-1], np.int64), np.zeros(offsets[-1])
-        before = np.where(block.depth > 0, np.roll(state[block.grams[0][2]], 1), 1 if texts else 0)
+        #: Occurrences in training, and state, of the context before each token.
+        context = np.where(block.depth > 0, np.roll(counts[0][block.grams[0][2]], 1), texts)
         after = state[block.grams[0][2]]
+        before = np.where(block.depth > 0, np.roll(after, 1), 1 if texts else 0)
+        self.arcs: dict[int, tuple[float, int]] = {}
+        self.last: dict[int, float] = {}
         for k in range(2, order + 1):
             _, first, at, _ = block.grams[k - 1]
             has = at >= 0
@@ -227,37 +234,50 @@ class Automaton:
             count = np.where(has, counts[k - 1][at], 0)
             fail_weight[before[known]] = np.log10(weight[known])
             longer = np.where(known, (1 - weight) * count / np.maximum(context, 1) + weight * prob, prob)
-            use = first[(counts[k - 1] > 0)]
-            shorter = after
-            own = np.where(counts[k - 1] > 0, offsets[k - 1] + np.arange(len(counts[k - 1])), 0)
+            seen = counts[k - 1] > 0
+            use = first[seen]
+            keys = (before[use] * self.width + block.tokens[use]).tolist()
+            weights = np.log10(longer[use]).tolist()
+            if k == order:
+                self.last = dict(zip(keys, weights))
+                break
+            own = np.where(seen, offsets[k - 1] + np.arange(len(seen)), 0)
+            fail_to[own[seen]] = after[use]
             after = np.where(has & (count > 0), own[at], after)
-            target = after if k < order else shorter
-            arcs.append((before[use] * self.width + block.tokens[use], np.log10(longer[use]), target[use]))
-            if k < order:
-                fail_to[own[counts[k - 1] > 0]] = shorter[first[counts[k - 1] > 0]]
-                grown = np.roll(after, 1)
-                context = np.where(block.depth > 0, np.roll(count, 1), 0)
-                context = np.where(np.roll(has, 1) & (block.depth > 0), context, 0)
-                before = np.where(block.depth > 0, grown, before)
+            self.arcs.update(zip(keys, zip(weights, after[use].tolist())))
+            inside = block.depth > 0
+            context = np.where(inside & np.roll(has, 1), np.roll(count, 1), 0)
+            before = np.where(inside, np.roll(after, 1), before)
             prob = longer
         self.start = 1 if texts else 0
-        self.arcs: dict[int, tuple[float, int]] = {}
-        for key, weight, target in arcs:
-            self.arcs.update(zip(key.tolist(), zip(weight.tolist(), target.tolist())))
         self.fail_to, self.fail_weight = fail_to.tolist(), fail_weight.tolist()
 
     def score(self, words: list[int]) -> float:
         """The log10 probability of a text: one pass, one state."""
-        arcs, width, fail_to, fail_weight = self.arcs, self.width, self.fail_to, self.fail_weight
+        last, arcs, root, leads = self.last, self.arcs, self.root, self.leads
+        width, fail_to, fail_weight = self.width, self.fail_to, self.fail_weight
         state, total = self.start, 0.0
         for word in words:
-            arc = arcs.get(state * width + word)
-            while arc is None:
-                total += fail_weight[state]
-                state = fail_to[state]
+            found = None
+            if state:
+                found = last.get(state * width + word)
+                if found is not None:
+                    total += found
+                    state = fail_to[state]
+            while state:
                 arc = arcs.get(state * width + word)
-            total += arc[0]
-            state = arc[1]
+                if arc is not None:
+                    if found is None:
+                        total += arc[0]
+                    state = arc[1]
+                    break
+                if found is None:
+                    total += fail_weight[state]
+                state = fail_to[state]
+            else:
+                if found is None:
+                    total += root[word]
+                state = leads[word]
         return total
 
 

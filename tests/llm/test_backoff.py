@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from spoorline.llm import backoff
 
 SF = "/root/testdata/sf0.001"
-BEGIN, END = "<begin of text>", "<end of text>"  # no words: they hold spaces
+BEGIN, END = b"<begin of text>", b"<end of text>"  # no words: they hold spaces
 
 
 def brute(docs, held, order):
