@@ -8,11 +8,11 @@ which for texts without repeated shingles is their Jaccard similarity.
 
 Equal texts are one. ``BANDS`` bands of ``BAND_ROWS`` registers put texts of
 similarity 0.8 into a common bucket but for 5 in a million. A bucket is searched first
-from its smallest text: those pairs are verified exactly, and linked texts grow into
-classes. Only buckets that then hold several classes are looked at again, and only
-pairs across classes, so a bucket of copies costs its size. Buckets that are large even
-then are divided by a second band; texts of similarity 0.8 share more than one but for
-8 in 100,000.
+from its most central text, the one whose buckets are fullest: those pairs are verified
+exactly, and linked texts grow into classes, so a bucket of copies costs its size. Only
+buckets that then hold several classes are looked at again, in blocks, and only for
+pairs across classes that share no earlier bucket; a task that has linked two classes
+does not compare them further, and hands on links, not pairs.
 
 Defined results: the smallest doc_id names a class; a null or empty text, or one
 without a word, is alike to equal ones only (null and empty are equal); a text shorter
@@ -36,11 +36,14 @@ from spoorline.session import stored
 
 BANDS = 40
 BAND_ROWS = 6
-#: Texts of several classes in a bucket from which a second band divides it.
-LARGE_BUCKET = 200
+#: Texts of a bucket of several classes that are compared with as many others in a task.
+BLOCK = 512
+#: Rows that such a task gets together, of small buckets many.
+TASK_ROWS = 4096
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
-OTHER = np.uint64(0xD6E8FEB86659FD93)
+#: Arrivals that are drawn at once.
+DRAWS = 1 << 15
 
 
 def weighted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -49,28 +52,47 @@ def weighted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return found, counts / max(1, counts.sum())
 
 
-def signature(elements: np.ndarray, weights: np.ndarray, registers: int) -> np.ndarray:
-    """The first arrival's element in every register."""
-    first = np.full(registers, np.inf)
-    winner = np.zeros(registers, dtype=np.uint64)
-    times = np.zeros(len(elements))
-    begin = 0
+def signatures(texts: list[tuple[np.ndarray, np.ndarray]], registers: int) -> np.ndarray:
+    """The first arrival's element in every register of every text, a row a text.
+
+    Texts of like size are drawn together, which does not change what each draws.
+    """
+    out = np.zeros((len(texts), registers), dtype=np.uint64)
+    wanted = 1.2 * registers * (np.log(registers) + 1)  # arrivals that fill nearly all registers
+    order = sorted((k for k in range(len(texts)) if len(texts[k][0])), key=lambda k: len(texts[k][0]))
+    while order:
+        size = len(texts[order[0]][0])
+        count = max(1, round(wanted / size))
+        take = max(1, DRAWS // (size * count))
+        group, order = order[:take], order[take:]
+        out[group] = _first_arrivals([texts[k] for k in group], registers, count)
+    return out
+
+
+def _first_arrivals(texts: list[tuple[np.ndarray, np.ndarray]], registers: int, count: int) -> np.ndarray:
+    elements, weights = (np.concatenate(part) for part in zip(*texts, strict=True))
+    text = np.repeat(np.arange(len(texts)), [len(t[0]) for t in texts])
+    first = np.full(len(texts) * registers, np.inf)
+    winner = np.zeros(len(first), dtype=np.uint64)
+    times, begin = np.zeros(len(elements)), 0
     while len(elements):
-        count = max(1, 2 * registers // len(elements))
         steps = np.arange(begin + 1, begin + count + 1, dtype=np.uint64) * STEP
         draws = mix(elements[:, None] + steps)
-        waits = -np.log(((draws >> np.uint64(11)) + 0.5) * 2.0**-53) / weights[:, None]
+        # the upper bits are the waiting time, the lower ones the register
+        waits = -np.log(((draws >> np.uint64(24)) + 0.5) * 2.0**-40) / weights[:, None]
         arrivals = times[:, None] + np.cumsum(waits, axis=1)
-        places = (mix(draws ^ OTHER) % np.uint64(registers)).astype(np.int64)
-        sooner = arrivals < first[places]
-        at, place = arrivals[sooner], places[sooner]
-        own = np.broadcast_to(elements[:, None], arrivals.shape)[sooner]
-        order = np.argsort(-at, kind="stable")  # of several, the soonest is written last
-        first[place[order]], winner[place[order]] = at[order], own[order]
-        times, begin = arrivals[:, -1], begin + count
-        alive = times < first.max()
-        elements, weights, times = elements[alive], weights[alive], times[alive]
-    return winner
+        places = ((draws & np.uint64(0xFFFFFF)) * np.uint64(registers)) >> np.uint64(24)
+        places = places.astype(np.int64) + (text * registers)[:, None]
+        row, column = np.nonzero(arrivals < first[places])
+        at, place = arrivals[row, column], places[row, column]
+        order = np.argsort(-at)  # of several, the soonest is written last
+        place = place[order]
+        first[place], winner[place] = at[order], elements[row[order]]
+        last = arrivals[:, -1]
+        alive = last < first.reshape(-1, registers).max(axis=1)[text]
+        elements, weights, times, text = elements[alive], weights[alive], last[alive], text[alive]
+        begin, count = begin + count, 1
+    return winner.reshape(-1, registers)
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -93,18 +115,13 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def bands(texts: pd.Series) -> pd.Series:
     """Column function: the bucket of a text in every band; none without a word."""
-    out = []
-    for text in texts:
-        elements, weights = weighted(text)
-        if not len(elements):
-            out.append([])
-            continue
-        own = signature(elements, weights, BANDS * BAND_ROWS).reshape(BANDS, BAND_ROWS)
-        total = np.arange(1, BANDS + 1, dtype=np.uint64)
-        for k in range(BAND_ROWS):
-            total = mix(total * STEP + own[:, k])
-        out.append(total.view(np.int64).tolist())
-    return pd.Series(out, dtype=object)
+    own = [weighted(t) for t in texts]
+    drawn = signatures(own, BANDS * BAND_ROWS).reshape(-1, BANDS, BAND_ROWS)
+    total = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), drawn.shape[:2])
+    for k in range(BAND_ROWS):
+        total = mix(total * STEP + drawn[:, :, k])
+    rows = total.view(np.int64).tolist()
+    return pd.Series([row if len(t[0]) else [] for row, t in zip(rows, own, strict=True)], dtype=object)
 
 
 def text_key() -> Column:
@@ -122,15 +139,14 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     return stored(own.groupBy("key").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "texts")
 
 
-def contents(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(key, text) of the texts that occur in ``pairs``."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    ends = ends.join(texts.select("key", id_text(F.col("doc_id"))), "key")
-    found = docs.select(text_key(), id_text(F.col("doc_id")), "text").join(ends, ["key", "did"])
+def contents(docs: DataFrame, texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, text) of the distinct texts with the given keys."""
+    wanted = keys.select("key").distinct().join(texts.select("key", id_text(F.col("doc_id"))), "key")
+    found = docs.select(text_key(), id_text(F.col("doc_id")), "text").join(wanted, ["key", "did"])
     return stored(found.dropDuplicates(["key", "did"]).select("key", "text"), "contents")
 
 
-def verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+def verified(text: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts are that similar."""
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,50 +161,107 @@ def verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame, threshold: flo
 
         for batch in batches:
             keep = [
-                probability_jaccard(of(a, s), of(b, t)) >= threshold - 1e-9
+                similar(of(a, s), of(b, t), threshold)
                 for a, b, s, t in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True)
             ]
             yield batch.loc[keep, ["a", "b"]]
 
-    text = contents(docs, texts, pairs)
     both = pairs.join(text.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(text.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
     return stored(both.mapInPandas(verify, "a binary, b binary"), "links")
 
 
-def across_classes(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different classes that share a bucket and were not compared yet."""
-    own = members.join(labels, "key", "left").select("band", "key", "leader", F.coalesce("label", "key").alias("label"))
-    own = stored(own, "members")
+def similar(a, b, threshold: float) -> bool:
+    """Whether two weighted texts are that similar; most that are not show it at once."""
+    if not len(a[0]) or not len(b[0]):
+        return False
+    at = np.searchsorted(a[0], b[0])
+    at[at == len(a[0])] = 0
+    hit = a[0][at] == b[0]
+    # no term exceeds the shingle's own share in either text
+    if b[1][hit].sum() < threshold - 1e-9 or a[1][at[hit]].sum() < threshold - 1e-9:
+        return False
+    return probability_jaccard(a, b) >= threshold - 1e-9
+
+
+def _linker(threshold: float):
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        """Links between classes in pairs of blocks, several of which come together."""
+        codes = pd.factorize(rows["label"])[0]
+        parent = list(range(codes.max() + 1))
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        bands = np.array(rows["bands"].tolist())
+        keys, texts = rows["key"].tolist(), rows["text"].tolist()
+        band, block, left, right = (rows[c].to_numpy() for c in ("band", "block", "left", "right"))
+        order = np.lexsort((right, left, band))
+        same = (np.diff(band[order]) == 0) & (np.diff(left[order]) == 0) & (np.diff(right[order]) == 0)
+        memo: dict[bytes, tuple] = {}
+
+        def of(i: int):
+            if keys[i] not in memo:
+                memo[keys[i]] = weighted(texts[i])
+            return memo[keys[i]]
+
+        out = []
+        for part in np.split(order, np.flatnonzero(~same) + 1):
+            within, bucket = left[part[0]] == right[part[0]], band[part[0]]
+            a_side, b_side = part[block[part] == left[part[0]]], part[block[part] == right[part[0]]]
+            for k, x in enumerate(a_side):
+                others = b_side[k + 1 :] if within else b_side
+                others = others[codes[others] != codes[x]]
+                if not len(others):
+                    continue
+                shared = bands[others] == bands[x]
+                here = bands[others, shared.argmax(axis=1)] == bucket  # else an earlier bucket has the pair
+                others, count = others[here], shared[here].sum(axis=1)
+                for y in others[np.argsort(-count, kind="stable")].tolist():
+                    a, b = root(codes[x]), root(codes[y])
+                    if a != b and similar(of(x), of(y), threshold):
+                        parent[max(a, b)] = min(a, b)
+                        out.append((keys[x], keys[y]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return link
+
+
+def links_across(members: DataFrame, labels: DataFrame, texts: DataFrame, text: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between classes that share a bucket, beside those of its first text."""
+    own = members.where("first <> key").join(labels, "key", "left")
+    own = stored(own.select("band", "key", F.coalesce("label", "key").alias("label")), "members")
     mixed = own.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
-    mixed = mixed.where("low <> high")
-    rest = stored(own.join(mixed.select("band", "n"), "band"), "mixed")
-    small = rest.where(F.col("n") <= LARGE_BUCKET).select("band", "key", "leader", "label")
-    large = rest.where(F.col("n") > LARGE_BUCKET).join(texts.select("key", F.explode("bands").alias("second")), "key")
-    large = large.where("second <> band").select(F.xxhash64("band", "second").alias("band"), "key", "leader", "label")
-    found = []
-    for part in (small, large):
-        a = part.select("band", F.col("key").alias("a"), F.col("label").alias("la"), F.col("leader").alias("lead"))
-        b = part.select("band", F.col("key").alias("b"), F.col("label").alias("lb"))
-        pairs = a.join(b, "band").where("a < b AND la <> lb AND a <> lead")
-        found.append(pairs.select("a", "b"))
-    return stored(found[0].union(found[1]).distinct(), "pairs")
+    mixed = stored(mixed.where("low <> high").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), "n"), "mixed")
+    rows = mixed.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
+    rest = own.join(mixed.drop("n"), "band").withColumn("block", F.pmod(F.xxhash64("key", "band"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    met = rest.withColumn("other", other).withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
+    whole = texts.select("key", "bands").join(text, "key")
+    met = met.join(whole, "key").select("band", "left", "right", "block", "key", "label", "bands", "text")
+    task = F.pmod(F.xxhash64("band", "left", "right"), F.lit(max(1, rows // TASK_ROWS)))
+    return stored(met.groupBy(task).applyInPandas(_linker(threshold), "a binary, b binary"), "links")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """``(texts, labels)``: the distinct texts, and the class of those that have others."""
     texts = distinct_texts(docs)
     buckets = texts.select(F.explode("bands").alias("band"), "key")
-    leaders = buckets.groupBy("band").agg(F.min("key").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = stored(buckets.join(leaders.select("band", "leader"), "band"), "members")
-    stars = stored(members.where("leader <> key").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
-    links = verified(docs, texts, stars, threshold)
+    full = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stored(buckets.join(full, "band"), "members")
+    central = shared.groupBy("key").agg(F.sum("n").alias("central"))
+    leaders = shared.join(central, "key").groupBy("band").agg(F.max(F.struct("central", "key"))["key"].alias("first"))
+    members = stored(shared.select("band", "key").join(leaders, "band"), "members")
+    stars = members.where("first <> key").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    stars = stored(stars.distinct(), "pairs")
+    text = contents(docs, texts, members)
+    links = verified(text, stars, threshold)
     labels = components(links)
-    more = across_classes(members, labels, texts)
-    if not more.isEmpty():
-        links = links.union(verified(docs, texts, more, threshold))
-        labels = components(links)
-    return texts, labels
+    links = links.union(links_across(members, labels, texts, text, threshold))
+    return texts, components(links)
 
 
 def class_table(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

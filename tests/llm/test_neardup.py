@@ -70,7 +70,10 @@ def test_signature_estimates_the_similarity():
         b = altered(rng, a, 3)
         true = brute_similarity(a, b)
         assert neardup.probability_jaccard(neardup.weighted(a), neardup.weighted(b)) == pytest.approx(true)
-        equal = np.mean(neardup.signature(*neardup.weighted(a), 4000) == neardup.signature(*neardup.weighted(b), 4000))
+        own = [neardup.weighted(t) for t in (a, b, "", "other words", a * 3)]
+        drawn = neardup.signatures(own, 4000)
+        assert (neardup.signatures(own[1:2], 4000)[0] == drawn[1]).all()  # by itself as with others
+        equal = np.mean(drawn[0] == drawn[1])
         assert equal == pytest.approx(true, abs=0.04)
 
 
@@ -79,9 +82,9 @@ def test_unit_weights_give_jaccard():
     assert neardup.probability_jaccard(neardup.weighted(a), neardup.weighted(b)) == pytest.approx(4 / 6)
 
 
-@pytest.mark.parametrize(("seed", "large"), [(1, 200), (2, 3)])
-def test_classes_match_brute_force(spark, rows, monkeypatch, seed, large):
-    monkeypatch.setattr(neardup, "LARGE_BUCKET", large)
+@pytest.mark.parametrize(("seed", "block"), [(1, 512), (2, 3)])
+def test_classes_match_brute_force(spark, rows, monkeypatch, seed, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     docs = corpus(seed)
     found = neardup.classified(spark.createDataFrame(docs, "doc_id long, text string"))
     assert rows(found, "doc_id", "class_id", "class_docs") == sorted(brute_classes(docs), key=repr)
