@@ -3,8 +3,9 @@
 Plain identifiers are found on the text as it stands. A chain of transducers then
 rewrites disguises: look-alike characters, digits spelled as words, and ``at`` and
 ``dot`` written out. Each keeps, for every output character, the source characters it
-stands for, so a span found on the normalised text maps back. Found spans that overlap
-no plain one of their kind are added.
+stands for, so a span found on the normalised text maps back. Plain spans always stay;
+a mapped-back span is added unless a plain one of its kind contains it, so a fragment
+of a disguised identifier does not hide the whole. Redaction covers the union.
 
 Words for ``at`` and ``dot`` count only together, in the shape of an address, and
 spelled digits only in a run, so ordinary prose gives nothing.
@@ -289,7 +290,7 @@ def find(text: str | None) -> list[tuple[str, int, int, bool]]:
             s, e = normal.back(start, end)
             near = taken[kind]
             k = bisect_right(near, (s, len(text) + 1))
-            if not (k and near[k - 1][1] > s or k < len(near) and near[k][0] < e):
+            if not (k and near[k - 1][1] >= e):
                 spans.append((s, kind, e, False))
     return [(KINDS[k], s, e, plain) for s, k, e, plain in sorted(spans)]
 

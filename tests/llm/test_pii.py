@@ -80,6 +80,28 @@ def test_disguises_map_back(text, kind, source):
     assert (kind, source) in found
 
 
+@pytest.mark.parametrize(
+    ("kind", "source", "fragment"),
+    [
+        ("email", "jоhn@example.com", "hn@example.com"),
+        ("email", "john@mail.exаmple.com", "john@mail.ex"),
+        ("email", "jоhn@mail.exаmple.com", "hn@mail.ex"),
+        ("phone", "+49 151 234 56 seven eight", "+49 151 234 56"),
+        ("ip", "192.168.1.1\u200b7", "192.168.1.1"),
+    ],
+)
+def test_a_plain_fragment_does_not_hide_the_whole(kind, source, fragment):
+    text = f"see {source}, please"
+    found = [(k, text[s:e], plain) for k, s, e, plain in pii.find(text)]
+    assert (kind, source, False) in found and (kind, fragment, True) in found
+    assert pii.redacted(text) == f"see [{kind.upper()}], please"
+
+
+def test_what_a_plain_span_contains_is_not_added():
+    text = "é mail john@example.com\u200b or call +49 151 234 56 78 now"
+    assert [(text[s:e], plain) for _, s, e, plain in pii.find(text)] == [("john@example.com", True), ("+49 151 234 56 78", True)]
+
+
 @pytest.mark.parametrize(
     "text",
     ["meet at example.com", "one of the two at three dot", "at dot at dot", "a at b. dot c", "I am at home. Dot came", "two three", "© 2020 – all at once"],
