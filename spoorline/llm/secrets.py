@@ -1,6 +1,9 @@
 """Secrets in texts: candidates by shape, false positives removed by a random forest.
 
-A candidate is a long run of key characters. Its features are its length, transitions
+A candidate is a long run of key characters, a value of any length and any characters
+behind a credential's name, or the user part of a URL (its password if there is one). A
+quoted value goes to the closing quote, any other to the next space, without the marks
+that close it. Its features are its length, transitions
 between character classes, the share of places at which a word of the corpus begins,
 whether it sits in a path, and the words around it. Findings that are labelled beyond
 doubt - a value assigned to a credential's name, against plain words, plain numbers and
@@ -30,7 +33,19 @@ from spoorline.session import stored
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
 #: Characters looked at on both sides of a candidate.
 AROUND = 40
-CREDENTIAL = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer)\W{0,5}$"
+NAMES = r"token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer"
+CREDENTIAL = rf"(?i)({NAMES})\W{{0,5}}$"
+#: A run that holds the name itself, as in ``token=...``.
+NAMED_WITHIN = rf"(?i)({NAMES})=+[^=]"
+#: A credential's name, with what parts it from the value, the value, and what follows.
+NAMED_VALUE = (
+    rf"(?is)({NAMES})(?=[\s\"'`)\]}}:=>|-])(?=([\"'`)\]}}]{{0,2}}\s*+(?:(?:->|[:=>|]{{1,3}})\s*+)?[\"'`(\[{{<]?)"
+    rf"((?<=\")[^\"\n]+(?=\")|(?<=')[^'\n]+(?=')|(?<=`)[^`\n]+(?=`)|(?<=>)[^<\n]+(?=</)|(?<=[\s\"'`)\]}}:=>|(\[{{<])[^\s\"'`]\S*)(.{{0,{AROUND}}}))"
+)
+#: The same for the user part of a URL.
+URL_VALUE = rf"(?is)(://)(?=((?:[^\s/:@\"<>]*:)?+)([^\s/@\"<>][^\s/\"<>]*)(@.{{0,{AROUND}}}))"
+#: Marks that close what is around an unquoted value.
+CLOSING = ".,;\"'`)]}>"
 DIGEST = r"(?i)(sha-?\d*|md5|digest|checksum|commit|revision|etag|uuid|guid|hash)\W{0,5}$"
 ISSUED = r"^(AKIA|ASIA|ghp_|gho_|xox[abp]-|sk_live_|AIza|eyJ)"
 LONGEST_WORD, SHORTEST_WORD = 8, 3
@@ -41,19 +56,51 @@ FEATURES = [
 TREES, DEPTH, SEED = 24, 6, 11
 
 
-def findings(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, start, end, value, left, right): every candidate of every text."""
-    own = docs.select("doc_id", "text").where(F.col("text").rlike(CANDIDATE)).withColumn("row", F.monotonically_increasing_id())
-    rest = F.split("text", CANDIDATE, -1)
-    pairs = F.arrays_zip(rest.alias("gap"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("value"), F.slice(F.split("text", CANDIDATE, -1), 2, 1 << 30).alias("after"))
-    each = own.select("row", "doc_id", F.posexplode(pairs).alias("k", "f")).where("f.value IS NOT NULL")
-    each = each.select(
-        "row", "doc_id", "k", "f.value", F.length("f.gap").alias("gap"), F.length("f.value").alias("size"),
-        F.right("f.gap", F.lit(AROUND)).alias("left"), F.left("f.after", F.lit(AROUND)).alias("right"),
+def _runs() -> Column:
+    """Runs of key characters, each with the text before it."""
+    gaps = F.split("text", CANDIDATE, -1)
+    found = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("value"), F.slice(gaps, 2, 1 << 30).alias("after"))
+    return F.transform(
+        F.filter(found, lambda f: f["value"].isNotNull()),
+        lambda f, k: F.struct(
+            F.lit(0).alias("kind"), k.alias("k"), (F.length(f["gap"]) + F.length(f["value"])).alias("step"), (-F.length(f["value"])).alias("ahead"), f["value"].alias("value"),
+            F.right(f["gap"], F.lit(AROUND)).alias("left"), F.left(f["after"], F.lit(AROUND)).alias("right"),
+        ),
     )
-    run = Window.partitionBy("row").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum(F.col("gap") + F.col("size")).over(run)
-    return each.withColumn("end", end).select("row", "k", "doc_id", (F.col("end") - F.col("size")).alias("start"), "end", "value", "left", "right")
+
+
+def _behind(pattern: str, kind: int) -> Column:
+    """Values behind what a pattern reads; its groups are that, the marks between, the value and the rest."""
+    parts = [F.regexp_extract_all("text", F.lit(pattern), F.lit(g)).alias(n) for g, n in enumerate(("name", "marks", "value", "rest"), 1)]
+    found = F.arrays_zip(F.split("text", pattern, -1).alias("gap"), *parts)
+
+    def one(f: Column, k: Column) -> Column:
+        closed = f["marks"].rlike("[\"'`>]$") & (F.left(f["rest"], F.lit(1)) == F.right(f["marks"], F.lit(1))) | f["marks"].rlike(">$") & f["rest"].startswith("</") | F.lit(kind == 2)
+        value = F.when(closed, f["value"]).otherwise(F.rtrim(f["value"], F.lit(CLOSING)))
+        rest = F.concat(F.substring(f["value"], F.length(value) + 1, F.lit(AROUND)), f["rest"])
+        return F.struct(
+            F.lit(kind).alias("kind"), k.alias("k"), (F.length(f["gap"]) + F.length(f["name"])).alias("step"), F.length(f["marks"]).alias("ahead"), value.alias("value"),
+            F.right(F.concat(f["gap"], f["name"], f["marks"]), F.lit(AROUND)).alias("left"), F.left(rest, F.lit(AROUND)).alias("right"),
+        )
+
+    return F.transform(F.filter(found, lambda f: f["value"].isNotNull()), one)
+
+
+def findings(docs: DataFrame) -> DataFrame:
+    """(row, k, doc_id, start, end, value, left, right): every candidate of every text.
+
+    A value behind a name or in a URL is a candidate of its own unless a run contains it.
+    """
+    ways = [(CANDIDATE, _runs()), (NAMED_VALUE, _behind(NAMED_VALUE, 1)), (URL_VALUE, _behind(URL_VALUE, 2))]
+    own = docs.select("doc_id", "text").where(F.greatest(*(F.col("text").rlike(p) for p, _ in ways))).withColumn("row", F.monotonically_increasing_id())
+    each = own.select("row", "doc_id", F.explode(F.flatten(F.array_compact(F.array(*(F.when(F.col("text").rlike(p), found) for p, found in ways))))).alias("f")).select("row", "doc_id", "f.*")
+    before = Window.partitionBy("row", "kind").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.withColumn("start", F.sum("step").over(before) + F.col("ahead")).withColumn("end", F.col("start") + F.length("value")).where("value <> ''")
+    runs = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    same = Window.partitionBy("row", "start", "end").orderBy("kind", "k")
+    each = each.withColumns({"reach": F.max(F.when(F.col("kind") == 0, F.col("end"))).over(runs), "copy": F.row_number().over(same)})
+    each = each.where("kind = 0 OR copy = 1 AND (reach IS NULL OR reach < end)")
+    return each.select("row", (F.col("kind").cast("long") * (1 << 40) + F.col("k")).alias("k"), "doc_id", "start", "end", "value", "left", "right")
 
 
 def dictionary(docs: DataFrame, words: int) -> DataFrame:
@@ -68,6 +115,10 @@ def _share(pattern: str, text: Column) -> Column:
     return F.regexp_count(text, F.lit(pattern)) / F.greatest(F.length(text), F.lit(1))
 
 
+def _named() -> Column:
+    return F.col("left").rlike(CREDENTIAL) | F.col("value").rlike(NAMED_WITHIN)
+
+
 def featured(found: DataFrame, words: DataFrame) -> DataFrame:
     """Findings with the numbers that the forest sees."""
     value, left, right = F.col("value"), F.col("left"), F.col("right")
@@ -91,7 +142,7 @@ def featured(found: DataFrame, words: DataFrame) -> DataFrame:
             "coverage": F.coalesce(F.col("covered"), F.lit(0)) / F.length(value),
             "in_path": flag(left.rlike(r"(://|[./\\])\S*$") | right.rlike(r"^[./\\]\S")),
             "slashes": _share("/", value),
-            "named": flag(left.rlike(CREDENTIAL)),
+            "named": flag(_named()),
             "digested": flag(left.rlike(DIGEST)),
             "issued": flag(value.rlike(ISSUED)),
             "quoted": flag(left.rlike("[\"'`]$")),
@@ -106,8 +157,9 @@ def labels() -> Column:
     """1 and 0 for findings that are beyond doubt, null for all others."""
     mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
     plain = F.col("value").rlike("^([A-Za-z=_/-]+|[0-9=/_-]+)$")
-    named = F.col("left").rlike(CREDENTIAL)
-    return F.when(mixed & (named | F.col("value").rlike(ISSUED)), 1.0).when(~named & (plain | F.col("left").rlike(DIGEST)), 0.0)
+    named = _named()
+    prose = F.col("left").rlike(r"\w\s+$") & F.col("value").rlike(r"^[A-Za-z]?[a-z]{0,14}[!?:]*$")
+    return F.when(mixed & (named | F.col("value").rlike(ISSUED)), 1.0).when(prose | ~named & (plain | F.col("left").rlike(DIGEST)), 0.0)
 
 
 def judged(docs: DataFrame, label: Column | None = None, sample: int = 20_000, words: int = 5_000) -> DataFrame:

@@ -18,6 +18,36 @@ def test_candidates_and_positions(spark, rows):
     assert rows(secrets.findings(docs), "doc_id", "start", "end", "value") == expected and expected
 
 
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ('é password = "hunter2!x" and', "hunter2!x"),
+        ("pwd: S3cr.t#9, then", "S3cr.t#9"),
+        ("at postgres://u:pw@host/db now", "pw"),
+        ("at postgres://u:p@w:1@host/db now", "p@w:1"),
+        ("at https://tok3n@host now", "tok3n"),
+        ('{"passwd": "a b c", "x": 1}', "a b c"),
+        ("<password>h.u$2</password>", "h.u$2"),
+        ("password token=x.y", "x.y"),
+        ("PWD=$x!", "$x!"),
+        ("PWD=" + "a.b" * 20_000, "a.b" * 20_000),
+        ("password: abcdefghijklmnop!xyz9", "abcdefghijklmnop!xyz9"),
+    ],
+)
+def test_values_by_context(spark, text, value):
+    found = secrets.findings(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert value in {r.value for r in found}
+    for r in found:
+        assert text[r.start : r.end] == r.value and text[: r.start].endswith(r.left) and text[r.end :].startswith(r.right)
+
+
+def test_short_secrets_stay_and_prose_goes(spark):
+    rows = [(k, f'the password = "h{k}.x!{k % 7}" is set, a token of thanks, the secret was kept') for k in range(100, 300)]
+    found = secrets.judged(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    verdict = {(r.value, r.is_secret) for r in found}
+    assert ("h150.x!3", True) in verdict and ("of", False) in verdict and ("was", False) in verdict
+
+
 def test_forest_on_held_out_findings(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     held = F.pmod(F.col("doc_id"), F.lit(3)) == 0
