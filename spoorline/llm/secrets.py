@@ -10,9 +10,10 @@ doubt - a value assigned to a credential's name, against plain words, plain numb
 named digests - train a forest, which then judges every finding. Labels may also be
 given. All of it is DataFrame and MLlib work.
 
-Sizes that are bounded by a parameter: the labelled findings that train (``sample``,
-the ones with the smallest hash) and the corpus dictionary (``dictionary``, the words
-in most texts). Everything else covers all rows.
+The corpus dictionary holds the words, of any length, of at least a given share of the
+texts (``share``), so it does not depend on the size of the corpus. The size bounded by
+a parameter is the labelled findings that train (``sample``, the ones with the smallest
+hash). Everything else covers all rows.
 
 Defined results: a null or empty text has no findings; repeated rows have theirs each;
 null ids are kept; findings without labels of both kinds to learn from have a null
@@ -48,7 +49,11 @@ URL_VALUE = rf"(?is)(://)(?=((?:[^\s/:@\"<>]*:)?+)([^\s/@\"<>][^\s/\"<>]*)(@.{{0
 CLOSING = ".,;\"'`)]}>"
 DIGEST = r"(?i)(sha-?\d*|md5|digest|checksum|commit|revision|etag|uuid|guid|hash)\W{0,5}$"
 ISSUED = r"^(AKIA|ASIA|ghp_|gho_|xox[abp]-|sk_live_|AIza|eyJ)"
-LONGEST_WORD, SHORTEST_WORD = 8, 3
+SHORTEST_WORD = 3
+#: Letters of a word that are joined at once.
+PIECE = 12
+#: Characters of a value that are cut into pieces at once.
+BLOCK = 1_000
 FEATURES = [
     "size", "digits", "uppers", "symbols", "class_changes", "case_changes", "vowel_changes", "coverage",
     "in_path", "slashes", "named", "digested", "issued", "quoted", "assigned", "wordy_left", "wordy_right",
@@ -103,12 +108,38 @@ def findings(docs: DataFrame) -> DataFrame:
     return each.select("row", (F.col("kind").cast("long") * (1 << 40) + F.col("k")).alias("k"), "doc_id", "start", "end", "value", "left", "right")
 
 
-def dictionary(docs: DataFrame, words: int) -> DataFrame:
-    """The words that occur in most texts."""
-    own = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
-    each = docs.select(F.explode(own).alias("word")).where(F.length("word").between(SHORTEST_WORD, LONGEST_WORD))
+def dictionary(docs: DataFrame, share: float) -> DataFrame:
+    """The words of at least this share of the texts; letters next to digits are no word."""
+    own = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
+    each = docs.select(F.explode(own).alias("word")).where(F.col("word").rlike(rf"^\p{{L}}{{{SHORTEST_WORD},}}$"))
     counted = each.groupBy("word").agg(F.count("*").alias("n"))
-    return counted.orderBy(F.desc("n"), "word").limit(words).select("word")
+    return counted.where(F.col("n") >= share * docs.where("text IS NOT NULL").count()).select("word")
+
+
+def covered(found: DataFrame, words: DataFrame) -> DataFrame:
+    """(value, covered): the number of places of each distinct value at which a word begins.
+
+    Words of up to PIECE letters are joined as they are, longer ones by their first PIECE
+    letters and then compared in full, so the pieces grow with the value's length only.
+    """
+    values = found.select(F.sha2("value", 256).alias("id"), "value").distinct()
+    own, over = (F.regexp_extract_all("value", F.lit(rf"(?s)(.{{1,{BLOCK}}})(?=(.{{0,{PIECE - 1}}}))"), F.lit(g)) for g in (1, 2))
+    blocks = values.select("id", F.length("value").alias("size"), F.posexplode(F.arrays_zip(own.alias("own"), over.alias("over"))).alias("b", "f"))
+    blocks = blocks.select("id", "size", "b", F.length("f.own").alias("n"), F.concat("f.own", "f.over").alias("text"))
+    ahead = F.transform(
+        F.sequence(F.lit(1), F.col("n")),
+        lambda k: F.struct((F.col("b") * BLOCK + k).alias("at"), F.regexp_extract(F.lower(F.substring("text", k, F.lit(PIECE))), r"^\p{L}*", 0).alias("ahead")),
+    )
+    each = blocks.select("id", "size", F.explode(F.filter(ahead, lambda p: F.length(p["ahead"]) >= SHORTEST_WORD)).alias("p")).select("id", "size", "p.*")
+    sizes = F.sequence(F.lit(SHORTEST_WORD), F.length("ahead"))
+    pieces = each.select("id", "at", F.explode(F.transform(sizes, lambda n: F.left("ahead", n))).alias("piece"))
+    short = pieces.join(words.where(F.length("word") <= PIECE), F.col("piece") == F.col("word")).select("id", "at")
+    longer = words.where(F.length("word") > PIECE).withColumn("piece", F.left("word", F.lit(PIECE)))
+    fits = (F.col("ahead") == F.col("piece")) & (F.col("at") + F.length("word") - 1 <= F.col("size"))
+    maybe = each.where(F.length("ahead") == PIECE).join(longer, fits).select("id", "at", "word")
+    full = maybe.join(values, "id").where(F.lower(F.expr("substring(value, at, length(word))")) == F.col("word")).select("id", "at")
+    counted = short.unionByName(full).groupBy("id").agg(F.countDistinct("at").alias("covered"))
+    return values.join(counted, "id").select("value", "covered")
 
 
 def _share(pattern: str, text: Column) -> Column:
@@ -122,14 +153,8 @@ def _named() -> Column:
 def featured(found: DataFrame, words: DataFrame) -> DataFrame:
     """Findings with the numbers that the forest sees."""
     value, left, right = F.col("value"), F.col("left"), F.col("right")
-    sizes = F.array(*map(F.lit, range(SHORTEST_WORD, LONGEST_WORD + 1)))
-    pieces = found.select("row", "k", "value", F.explode(sizes).alias("n"))
-    places = F.sequence(F.lit(1), F.greatest(F.length("value") - F.col("n") + 1, F.lit(1)))
-    pieces = pieces.select("row", "k", "n", "value", F.explode(places).alias("at"))
-    pieces = pieces.select("row", "k", "at", F.lower(F.substring("value", F.col("at"), F.col("n"))).alias("word"))
-    covered = pieces.join(words, "word").groupBy("row", "k").agg(F.countDistinct("at").alias("covered"))
     flag = lambda c: c.cast("double")
-    out = found.join(covered, ["row", "k"], "left")
+    out = found.join(covered(found, words), "value", "left")
     return out.withColumns(
         {
             "size": F.log2(F.length(value)),
@@ -162,13 +187,13 @@ def labels() -> Column:
     return F.when(mixed & (named | F.col("value").rlike(ISSUED)), 1.0).when(prose | ~named & (plain | F.col("left").rlike(DIGEST)), 0.0)
 
 
-def judged(docs: DataFrame, label: Column | None = None, sample: int = 20_000, words: int = 5_000) -> DataFrame:
+def judged(docs: DataFrame, label: Column | None = None, sample: int = 20_000, share: float = 1e-4) -> DataFrame:
     """Every finding with its label, the forest's score and whether it is a secret.
 
     ``label`` is 1, 0 or null, over doc_id, start, end, value, left and right.
     """
     found = stored(findings(docs), "findings")
-    own = featured(found, dictionary(docs, words)).withColumn("label", labels() if label is None else label)
+    own = featured(found, stored(dictionary(docs, share), "words")).withColumn("label", labels() if label is None else label)
     own = stored(own, "features")
     known = own.where("label IS NOT NULL").orderBy(F.xxhash64("value", "left", "start"), "row", "k").limit(sample)
     vector = VectorAssembler(inputCols=FEATURES, outputCol="features")

@@ -48,6 +48,23 @@ def test_short_secrets_stay_and_prose_goes(spark):
     assert ("h150.x!3", True) in verdict and ("of", False) in verdict and ("was", False) in verdict
 
 
+def test_dictionary_keeps_every_frequent_word_of_any_length(spark):
+    texts = [" ".join("w" + "".join(chr(97 + int(c)) for c in f"{k:05d}") for k in range(6_000)) + " Internationalisierungsstrategie"] * 2 + ["a1bcd2 rare"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(9, None)], "doc_id long, text string")
+    words = {r.word for r in secrets.dictionary(docs, 0.5).collect()}
+    assert len(words) == 6_001 and "internationalisierungsstrategie" in words and "rare" not in words
+    assert {r.word for r in secrets.dictionary(docs, 1e-4).collect()} == words | {"rare"}
+
+
+def test_places_at_which_words_begin(spark):
+    words = ["the", "then", "internationalisierung", "internationalisierungen", "national", "q" * 30]
+    values = ["xTheN9the_internationalisierung", "internationalisierunx", "Q" * 40, "9" * 994 + "internationalisierung", "0123", "ab", "the"]
+    found = spark.createDataFrame([(v,) for v in values * 2], "value string")
+    own = {r.value: r.covered for r in secrets.covered(found, spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+    expected = {v: sum(any(v.lower().startswith(w, k) for w in words) for k in range(len(v))) for v in values}
+    assert own == {v: n for v, n in expected.items() if n}
+
+
 def test_forest_on_held_out_findings(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     held = F.pmod(F.col("doc_id"), F.lit(3)) == 0
