@@ -12,8 +12,8 @@ given. All of it is DataFrame and MLlib work.
 
 The corpus dictionary holds the words, of any length, of at least a given share of the
 texts (``share``), so it does not depend on the size of the corpus. The size bounded by
-a parameter is the labelled findings that train (``sample``, the ones with the smallest
-hash). Everything else covers all rows.
+a parameter is the labelled findings that train (``sample``, of each label the distinct
+ones with the smallest hash). Everything else covers all rows.
 
 Defined results: a null or empty text has no findings; repeated rows have theirs each;
 null ids are kept; findings without labels of both kinds to learn from have a null
@@ -187,6 +187,15 @@ def labels() -> Column:
     return F.when(mixed & (named | F.col("value").rlike(ISSUED)), 1.0).when(prose | ~named & (plain | F.col("left").rlike(DIGEST)), 0.0)
 
 
+def training(own: DataFrame, sample: int) -> DataFrame:
+    """Of each label the ``sample`` distinct findings with the smallest hash, with the number of their copies."""
+    key = ["value", "left", "right", "label"]
+    known = own.where("label IS NOT NULL").withColumn("label", F.col("label").cast("double"))
+    distinct = known.groupBy(*key).agg(F.count("*").alias("copies"), *(F.any_value(c).alias(c) for c in FEATURES))
+    drawn = [distinct.where(F.col("label") == y).orderBy(F.xxhash64(*key), *key).limit(sample) for y in (0.0, 1.0)]
+    return drawn[0].unionByName(drawn[1])
+
+
 def judged(docs: DataFrame, label: Column | None = None, sample: int = 20_000, share: float = 1e-4) -> DataFrame:
     """Every finding with its label, the forest's score and whether it is a secret.
 
@@ -195,7 +204,7 @@ def judged(docs: DataFrame, label: Column | None = None, sample: int = 20_000, s
     found = stored(findings(docs), "findings")
     own = featured(found, stored(dictionary(docs, share), "words")).withColumn("label", labels() if label is None else label)
     own = stored(own, "features")
-    known = own.where("label IS NOT NULL").orderBy(F.xxhash64("value", "left", "start"), "row", "k").limit(sample)
+    known = stored(training(own, sample), "training")
     vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
     kinds = {r[0] for r in known.select("label").distinct().collect()}
     if kinds == {0.0, 1.0}:

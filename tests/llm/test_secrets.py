@@ -83,6 +83,16 @@ def test_false_positives_go_and_secrets_stay(spark):
     assert not verdict[(1001, "internationalisierungsstrategie")] and not verdict[(1002, "1234567890123456789")]
 
 
+def test_training_sample_has_both_labels_and_no_copies(spark):
+    rows = [("copy", "l", "r", 0.0)] * 500 + [(f"v{k}", "l", "r", 0.0) for k in range(50)] + [("key", "l", "r", 1.0), ("odd", "l", "r", None)]
+    own = spark.createDataFrame(rows, "value string, left string, right string, label double")
+    own = own.withColumns({c: F.lit(0.5) for c in secrets.FEATURES})
+    found = [(r.value, r.label, r.copies) for r in secrets.training(own, 1_000).collect()]
+    assert len(found) == 52 and ("copy", 0.0, 500) in found and ("key", 1.0, 1) in found
+    few = secrets.training(own, 10).collect()
+    assert [r.label for r in few].count(0.0) == 10 and [r.label for r in few].count(1.0) == 1
+
+
 def test_nulls_repeats_long_texts_and_clashing_columns(spark):
     key = "0123456789abcdef" * 2
     rows = [(1, None, "x", 1), (2, "", "y", 2), (None, f"é token={key}", "z", 3), (4, key, "q", 4), (4, key, "q", 4), (5, "a" * 50_000, "l", 5)]
