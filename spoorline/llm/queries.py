@@ -171,3 +171,24 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spoorline.llm import secrets
 
     return secrets.judged(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoorline.llm import runs
+
+    seed = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    found = table(spark, sf_dir, "documents").select("doc_id", runs.analysed("text", seed).alias("found"))
+    found = found.select("doc_id", "found.runs", "found.collapsed")
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
+    return found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.start")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.period")).alias("period"),
+        F.expr("1000 * longest.length div longest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
