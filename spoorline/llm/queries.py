@@ -188,7 +188,7 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (-F.col("longest.start")).alias("start"),
         F.col("longest.length").alias("length"),
         (-F.col("longest.period")).alias("period"),
-        F.expr("1000 * longest.length div longest.period").alias("exponent_milli"),
+        F.expr("1000 * longest.length div -longest.period").alias("exponent_milli"),
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
