@@ -192,3 +192,15 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoorline.llm import packing
+
+    cut = packing.pieces(spark, tokenizer_path("byte_bpe_50k.json"), "text")
+    digested = F.transform(
+        cut,
+        lambda p: F.struct(p["piece"].alias("piece"), p["start"].alias("start"), p["length"].alias("length"), F.crc32(p["ids"]).alias("ids_crc32")),
+    )
+    return packing.sequences(table(spark, sf_dir, "documents").select("doc_id", F.inline(digested)))
