@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spoorline.llm.shipping import shipped
+from spoorline.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {}
@@ -204,3 +205,11 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda p: F.struct(p["piece"].alias("piece"), p["start"].alias("start"), p["length"].alias("length"), F.crc32(p["ids"]).alias("ids_crc32")),
     )
     return packing.sequences(table(spark, sf_dir, "documents").select("doc_id", F.inline(digested)))
+
+
+@query
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoorline.llm import repair
+
+    rows = repair.damaged(table(spark, sf_dir, "conversations"))
+    return repair.summaries(stored(repair.segments(rows), "repaired"))
