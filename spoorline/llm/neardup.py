@@ -17,7 +17,7 @@ does not compare them further, and hands on links, not pairs.
 Defined results: the smallest doc_id names a class; a null or empty text, or one
 without a word, is alike to equal ones only (null and empty are equal); a text shorter
 than five words is one shingle; repeated rows are copies; null ids are kept. Only the
-named columns are read, and ``deduplicated`` keeps them all.
+named columns are read, and ``deduplicated`` keeps them all, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spoorline.llm.components import components
-from spoorline.llm.text import THRESHOLD, mix, shingle_hashes, words
+from spoorline.llm.text import THRESHOLD, mix, named, shingle_hashes, unused, words
 from spoorline.session import stored
 
 BANDS = 40
@@ -292,7 +292,7 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, the one with the smallest id, with all its columns."""
     keep = class_table(docs, threshold).select("keep.key", "keep.did").distinct()
-    keep = keep.select(F.col("key").alias("_class_key"), F.col("did").alias("_class_did"))
-    own = docs.withColumns({"_class_key": text_key(), "_class_did": id_text(F.col("doc_id"))})
-    kept = own.join(keep, ["_class_key", "_class_did"], "left_semi")
-    return kept.dropDuplicates(["_class_key", "_class_did"]).drop("_class_key", "_class_did")
+    key, did = unused("class_key", docs), unused("class_did", docs)
+    own = docs.withColumns({key: text_key(), did: id_text(F.col("doc_id"))})
+    kept = own.join(keep.select(F.col("key").alias(key), F.col("did").alias(did)), [key, did], "left_semi")
+    return kept.dropDuplicates([key, did]).select(*named(docs))

@@ -89,19 +89,15 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def _shingles_sql(relation: str, key: str) -> str:
-    """Distinct five-word shingles of each text; a shorter text is one shingle."""
-    return f"""
-    SELECT DISTINCT {key}, unnest(list_transform(range(1, greatest(len(w) - 3, 2)),
-                                                 lambda i: array_to_string(w[i:i + 4], ' '))) AS shingle
-    FROM (SELECT {key}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {relation})
-    WHERE len(w) > 0"""
-
-
+_WORDS_SQL = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 ORACLES["op7_decontaminate"] = f"""
-WITH d AS ({_shingles_sql("documents", "doc_id")}), b AS ({_shingles_sql("benchmark", "item_id")}),
+WITH i AS (SELECT item_id, w, least(len(w), 5) AS n FROM (SELECT DISTINCT item_id, {_WORDS_SQL} AS w FROM benchmark) WHERE len(w) > 0),
+     b AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) AS shingle FROM i),
+     widths AS (SELECT DISTINCT n FROM i),
+     d AS (SELECT DISTINCT doc_id, n, unnest(list_transform(range(1, greatest(len(w) - n + 2, 1)), lambda k: array_to_string(w[k:k + n - 1], ' '))) AS shingle
+           FROM (SELECT doc_id, {_WORDS_SQL} AS w FROM documents), widths),
      sizes AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id),
-     shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (shingle) GROUP BY doc_id, item_id)
+     shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (n, shingle) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_shared, n_item FROM shared JOIN sizes USING (item_id) WHERE 5 * n_shared >= 4 * n_item
 """
 

@@ -6,6 +6,8 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Words of a shingle, and the similarity from which texts count as near.
 SHINGLE_WORDS = 5
@@ -59,3 +61,16 @@ def shingle_texts(own: list[str], size: int = SHINGLE_WORDS) -> set[tuple[str, .
         return set()
     size = min(size, len(own))
     return set(zip(*(own[k : len(own) - size + 1 + k] for k in range(size)), strict=True))
+
+
+def unused(name: str, frame: DataFrame) -> str:
+    """A column name that the frame does not have."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def named(frame: DataFrame) -> list[Column]:
+    """All columns of a frame, whatever characters their names have."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in frame.columns]

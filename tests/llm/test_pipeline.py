@@ -55,8 +55,11 @@ def test_run_matches_brute_force(spark, rows):
 
 def test_stages_keep_the_columns_and_clean_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("score", F.lit("x")).withColumn("_extra", F.lit(1))
+    docs = docs.withColumns({c: F.lit(c) for c in ("_language", "language", "class_key", "_class_key", "class_did", "key", "a.b")})
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, SF).columns == docs.columns
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns
+        assert kept.where("language = 'language' AND _language = '_language' AND class_key = 'class_key' AND `a.b` = 'a.b'").count() == kept.count() > 0
         assert stage(spark, docs.limit(0), SF).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0
 
