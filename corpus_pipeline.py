@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spoorline.llm import bpe, contamination, language, neardup, pii
 from spoorline.llm.shipping import shipped
+from spoorline.llm.text import named, unused
 from spoorline.session import stored
 
 #: A text is rejected if no language makes up this share of it: a text with quotations in
@@ -35,9 +36,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if not languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     predict = language.predictor(languages, model, spark)
-    judged = docs.withColumn("_language", predict("text"))
-    kept = (F.col("_language.lang") != language.UNKNOWN) & (F.col("_language.score") >= LEAST_SHARE)
-    return judged.where(kept).drop("_language")
+    found = unused("language", docs)
+    judged = docs.withColumn(found, predict("text"))
+    kept = (F.col(f"{found}.lang") != language.UNKNOWN) & (F.col(f"{found}.score") >= LEAST_SHARE)
+    return judged.where(kept).select(*named(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
