@@ -2,13 +2,17 @@
 
 A candidate is a long run of key characters, a value of any length and any characters
 behind a credential's name, or the user part of a URL (its password if there is one). A
-quoted value goes to the closing quote, any other to the next space, without the marks
-that close it. Its features are its length, transitions
+quoted value goes to the closing quote, any other to the next space or the next name with
+its mark, without the marks that close it, so that values together are no longer than the
+text. Its features are its length, transitions
 between character classes, the share of places at which a word of the corpus begins,
 whether it sits in a path, and the words around it. Findings that are labelled beyond
 doubt - a value assigned to a credential's name, against plain words, plain numbers and
 named digests - train a forest, which then judges every finding. Labels may also be
-given. All of it is DataFrame and MLlib work.
+given. Each finding trains twice: as it is, and without what is around it (``bare``), so
+that the forest also learns what secrets look like where no name, digest or issuer tells,
+and does more than repeat the rule that made its labels. All of it is DataFrame and MLlib
+work.
 
 The corpus dictionary holds the words, of any length, of at least a given share of the
 texts (``share``), so it does not depend on the size of the corpus. The size bounded by
@@ -38,10 +42,13 @@ NAMES = r"token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|priva
 CREDENTIAL = rf"(?i)({NAMES})\W{{0,5}}$"
 #: A run that holds the name itself, as in ``token=...``.
 NAMED_WITHIN = rf"(?i)({NAMES})=+[^=]"
+#: Where the next name with its mark begins, an unquoted value ends.
+NEXT_NAME = rf"(?:{NAMES})(?:[\"'`)\]}}:=>|]|->)"
 #: A credential's name, with what parts it from the value, the value, and what follows.
 NAMED_VALUE = (
     rf"(?is)({NAMES})(?=[\s\"'`)\]}}:=>|-])(?=([\"'`)\]}}]{{0,2}}\s*+(?:(?:->|[:=>|]{{1,3}})\s*+)?[\"'`(\[{{<]?)"
-    rf"((?<=\")[^\"\n]+(?=\")|(?<=')[^'\n]+(?=')|(?<=`)[^`\n]+(?=`)|(?<=>)[^<\n]+(?=</)|(?<=[\s\"'`)\]}}:=>|(\[{{<])[^\s\"'`]\S*)(.{{0,{AROUND}}}))"
+    rf"((?<=\")[^\"\n]+(?=\")|(?<=')[^'\n]+(?=')|(?<=`)[^`\n]+(?=`)|(?<=>)(?:(?!{NEXT_NAME})[^<\n])++(?=</)"
+    rf"|(?<=[\s\"'`)\]}}:=>|(\[{{<])[^\s\"'`](?:(?!{NEXT_NAME})\S)*+)(.{{0,{AROUND}}}))"
 )
 #: The same for the user part of a URL.
 URL_VALUE = rf"(?is)(://)(?=((?:[^\s/:@\"<>]*:)?+)([^\s/@\"<>][^\s/\"<>]*)(@.{{0,{AROUND}}}))"
@@ -58,6 +65,8 @@ FEATURES = [
     "size", "digits", "uppers", "symbols", "class_changes", "case_changes", "vowel_changes", "coverage",
     "in_path", "slashes", "named", "digested", "issued", "quoted", "assigned", "wordy_left", "wordy_right",
 ]
+#: Features that tell what labels are made of, or what is around a finding.
+EVIDENCE, SURROUNDINGS = ["named", "digested", "issued", "quoted", "assigned"], ["wordy_left", "wordy_right"]
 TREES, DEPTH, SEED = 24, 6, 11
 
 
@@ -196,6 +205,12 @@ def training(own: DataFrame, sample: int) -> DataFrame:
     return drawn[0].unionByName(drawn[1])
 
 
+def bare(known: DataFrame) -> DataFrame:
+    """The findings as if they stood in any text, without a name or mark beside them."""
+    any_share = {c: F.pmod(F.xxhash64(F.lit(c), "value", "left", "right"), F.lit(1000)) / 1000 for c in SURROUNDINGS}
+    return known.withColumns({c: F.lit(0.0) for c in EVIDENCE} | any_share)
+
+
 def judged(docs: DataFrame, label: Column | None = None, sample: int = 20_000, share: float = 1e-4) -> DataFrame:
     """Every finding with its label, the forest's score and whether it is a secret.
 
@@ -209,7 +224,7 @@ def judged(docs: DataFrame, label: Column | None = None, sample: int = 20_000, s
     kinds = {r[0] for r in known.select("label").distinct().collect()}
     if kinds == {0.0, 1.0}:
         forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
-        scored = forest.fit(vector.transform(known)).transform(vector.transform(own))
+        scored = forest.fit(vector.transform(known.unionByName(bare(known)))).transform(vector.transform(own))
         scored = scored.withColumn("score", vector_to_array("probability")[1])
     else:
         scored = own.withColumn("score", F.lit(None).cast("double"))

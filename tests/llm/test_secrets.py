@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -18,6 +19,140 @@ def test_candidates_and_positions(spark, rows):
     assert rows(secrets.findings(docs), "doc_id", "start", "end", "value") == expected and expected
 
 
+NAMES = re.compile(secrets.NAMES, re.I)
+
+
+def names_at(text, k):
+    """Every way in which a credential's name stands at a place, in the order of the list."""
+    for one in secrets.NAMES.split("|"):
+        if found := re.compile(one, re.I).match(text, k):
+            yield found.end()
+
+
+def next_name(text, k):
+    return any(text[e : e + 1] and text[e] in "\"'`)]}:=>|" or text.startswith("->", e) for e in names_at(text, k))
+
+
+def values_at(text, e):
+    """(start, end) of a value behind the marks that may follow a name: all ways, the preferred first."""
+    quotes = 0
+    while quotes < 2 and text[e + quotes : e + quotes + 1] and text[e + quotes] in "\"'`)]}":
+        quotes += 1
+    for q in range(quotes, -1, -1):
+        k = e + q
+        while k < len(text) and text[k].isspace():
+            k += 1
+        ways = [k + 2] if text.startswith("->", k) else []
+        signs = 0
+        while signs < 3 and text[k + signs : k + signs + 1] and text[k + signs] in ":=>|":
+            signs += 1
+        ways += [k + n for n in range(signs, 0, -1)]
+        spaced = []
+        for w in ways:
+            while w < len(text) and text[w].isspace():
+                w += 1
+            spaced.append(w)
+        for w in [*spaced, k]:
+            opened = w < len(text) and text[w] in "\"'`([{<"
+            for v in [w + 1, w] if opened else [w]:
+                before = text[v - 1]
+                for quote in "\"'`":
+                    end = text.find(quote, v)
+                    if before == quote and end > v and "\n" not in text[v:end]:
+                        yield e, v, end
+                end = v
+                while before == ">" and end < len(text) and text[end] not in "<\n" and not next_name(text, end):
+                    end += 1
+                if end > v and text.startswith("</", end):
+                    yield e, v, end
+                if v < len(text) and (before.isspace() or before in "\"'`)]}:=>|([{<") and not text[v].isspace() and text[v] not in "\"'`":
+                    end = v + 1
+                    while end < len(text) and not text[end].isspace() and not next_name(text, end):
+                        end += 1
+                    yield e, v, end
+
+
+def longhand(text):
+    """All candidates by looking at every place of a text."""
+    runs = [(m.start(), m.end()) for m in re.finditer(secrets.CANDIDATE, text)]
+    others, k = [], 0
+    while k < len(text):
+        done = None
+        for e in names_at(text, k):
+            if e < len(text) and (text[e].isspace() or text[e] in "\"'`)]}:=>|-"):
+                if done := next(values_at(text, e), None):
+                    break
+        if not done:
+            k += 1
+            continue
+        e, v, end = done
+        opener = text[v - 1] if v > e else ""
+        closed = opener in ("\"", "'", "`", ">") and (text[end : end + 1] == opener or opener == ">" and text.startswith("</", end))
+        if not closed:
+            while end > v and text[end - 1] in secrets.CLOSING:
+                end -= 1
+        others.append((v, end))
+        k = e
+    for m in re.finditer(r"://((?:[^\s/:@\"<>]*:)?+)([^\s/@\"<>][^\s/\"<>]*)@", text):
+        others.append((m.start(2), m.end(2)))
+    kept = {(v, end) for v, end in others if end > v and not any(a <= v and end <= b for a, b in runs)}
+    return sorted((a, b, text[a:b]) for a, b in {*runs, *kept})
+
+
+def test_candidates_equal_a_search_of_every_place(spark):
+    rng, texts = random.Random(8), []
+    parts = ["token", "Password", "pwd", "api_key", "auth", "secret", "=", ":", "->", " ", " ", "\n", "\"", "'", "`", "<b>", "</b>", ">", "x1!", "a.b", "hunter2", "zz", ")", "(", "}", "|", "://", "@", "/", "u:p", "abcdefgh12345678XY", "é"]
+    for _ in range(3000):
+        texts.append("".join(rng.choices(parts, k=rng.randint(1, 14))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {}
+    for r in secrets.findings(docs).collect():
+        found.setdefault(r.doc_id, []).append((r.start, r.end, r.value))
+    for k, text in enumerate(texts):
+        assert sorted(found.get(k, [])) == longhand(text), text
+    assert len(found) > 1000
+
+
+@pytest.mark.parametrize("unit", ["token:x!;", "token)x!", "token>x!", "pwd=a", "://u:p@"])
+def test_values_together_are_no_longer_than_the_text(spark, unit):
+    text = unit * (1_000_000 // len(unit))
+    found = secrets.findings(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    n, total = found.agg(F.count("*"), F.sum(F.length("value"))).first()
+    assert n > 0 and total <= len(text)
+
+
+def test_secrets_without_a_name_and_digests_with_one(spark):
+    """What the labels do not tell: of either kind none has a label, or one with its reason hidden."""
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
+    docs, kinds = [], {}
+    for k, r in enumerate(spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()):
+        value, shown = draw(letters, 32), rng.choice(["api_key = \"%s\"", "token: %s", "secret = %s"])
+        if k % 8 == 3:
+            shown = "%s"
+            kinds[value] = "nameless secret"
+        elif k % 8 == 4:
+            value, shown = draw("0123456789abcdef", rng.choice([40, 64])), rng.choice(["sha256: %s", "commit %s", "md5 = %s"])
+            kinds[value] = "named digest"
+        elif k % 8 == 5:
+            value, shown = "-".join(rng.choices(["report", "annual", "final", "draft", "summary", "index"], k=4)), "see %s"
+            kinds[value] = "slug"
+        elif k % 8 > 5:
+            value, shown = "", "%s"
+        words = (r.text or "").split(" ")
+        at = rng.randrange(len(words) + 1)
+        docs.append((k, " ".join([*words[:at], shown % value, *words[at:]])))
+    share = {}
+    for r in secrets.judged(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        if r.value in kinds:
+            share.setdefault(kinds[r.value], []).append(r.is_secret)
+    assert len(share["nameless secret"]) > 100 and len(share["named digest"]) > 100
+    assert sum(share["nameless secret"]) >= 0.95 * len(share["nameless secret"])
+    assert sum(share["named digest"]) <= 0.02 * len(share["named digest"])
+    assert sum(share["slug"]) <= 0.02 * len(share["slug"])
+
+
 @pytest.mark.parametrize(
     ("text", "value"),
     [
