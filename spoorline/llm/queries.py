@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spoorline.llm.shipping import shipped
-from spoorline.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {}
@@ -208,4 +207,4 @@ def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spoorline.llm import repair
 
     rows = repair.damaged(table(spark, sf_dir, "conversations"))
-    return repair.summaries(stored(repair.segments(rows), "repaired"))
+    return repair.summaries(repair.segments(rows))

@@ -367,7 +367,7 @@ def segments(rows: DataFrame) -> DataFrame:
     ``rows`` has conv_id, turn, role, text and copies, how often a row stands there (0: it
     only tells of its conversation). Most conversations are one stretch (``whole``).
     """
-    digest = F.sha2("text", 256).alias("digest")
+    digest = F.unhex(F.sha2("text", 256)).alias("digest")
     rows = rows.groupBy("conv_id", "turn", "role", "text").agg(F.sum("copies").alias("copies")).select("*", digest)
     place = F.struct(F.col("turn").alias("turn"))
     again = rows.where("copies > 0").groupBy("conv_id", "role", "digest").agg(F.min(place).alias("least"), F.max(place).alias("most"))
@@ -420,7 +420,7 @@ def segments(rows: DataFrame) -> DataFrame:
     through = _mapped(ends.select("at", "codes").join(behind, "at"), _through, [*_long("at"), four("leaves")])
     borders = ends.select("conv_id", "at", "rows", "first_role", "last_role", "first_turn", "last_turn").join(through, "at")
     before = _mapped(_in_order(borders, F.asc("at")), _before, _long("at", "state", "meets", "again"))
-    mended = _mapped(ends.join(behind, "at").join(before, "at"), _mended, [*stats, *result])
+    mended = stored(_mapped(ends.join(behind, "at").join(before, "at"), _mended, [*stats, *result]), "mended")
     return found.where("whole").select(names).union(mended)
 
 
