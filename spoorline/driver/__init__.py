@@ -6,6 +6,7 @@ from spoorline.driver import (  # noqa: F401
     files,
     jobs,
     retrieval,
+    sequences,
     summaries,
     truth,
 )
