@@ -58,27 +58,23 @@ def round_exact(c: str | Column, decimals: int) -> Column:
     Spark's ``round`` works on the shortest decimal text and rounds half up, which
     differs for values such as 0.00015. Only the fraction is rounded: it is split into
     two parts that multiply without error, so the distance to the tie has the right
-    sign. Whole part and rounded digits are then joined as decimals, which gives the
-    nearest double. From 2^52 on a double has no fraction.
+    sign. Whole part and rounded digits then give the nearest double: as a quotient of
+    two whole doubles while these are exact, else as a sum, where a double's neighbours
+    are too far apart for the last step to matter. Infinities and NaN stay.
     """
     given = _as_column(c).cast("double")
     x = F.abs(given)
-    whole = F.floor(F.when(x < 2.0**52, x)).cast("double")
-    part = x - whole
     scale = F.lit(float(10**decimals))
+    part = F.nanvl(x % F.lit(1.0), F.lit(0.0))
+    whole = x - part
     head = part.cast("float").cast("double")
-    tail = part - head
-    below = F.floor(part * scale).cast("double")
-    past_tie = ((head * scale - below) - F.lit(0.5)) + tail * scale
-    is_odd = F.pmod(below if decimals else whole, F.lit(2.0)) == 1.0
-    up = (past_tie > 0) | ((past_tie == 0) & is_odd)
-    digits = below + F.when(up, 1.0).otherwise(0.0)
-    unit = F.lit(10**-decimals).cast(f"decimal({decimals + 1},{decimals})")
-    exact = whole.cast("decimal(17,0)") + digits.cast("decimal(8,0)") * unit
-    # the quotient of two whole doubles is the nearest double as well, and cheaper
-    joined = F.when(x < 1e9, (whole * scale + digits) / scale).otherwise(exact.cast("double"))
-    joined = F.when(given < 0, -joined).otherwise(joined)
-    return F.when(F.isnan(x) | (x >= 2.0**52), given).otherwise(joined)
+    scaled = part * scale
+    below = scaled - scaled % F.lit(1.0)
+    past_tie = ((head * scale - below) - F.lit(0.5)) + (part - head) * scale
+    is_odd = (below if decimals else whole) % F.lit(2.0) == 1.0
+    digits = below + ((past_tie > 0) | ((past_tie == 0) & is_odd)).cast("double")
+    joined = F.when(x < 1e9, (whole * scale + digits) / scale).otherwise(whole + digits / scale)
+    return F.signum(given) * joined
 
 
 def fixed_point(c: str | Column, decimals: int) -> Column:

@@ -25,6 +25,34 @@ def _other_format(content: Column) -> Column:
 
 # First bytes of a JPEG that nearly always hold all that is asked for.
 HEAD_BYTES = 1 << 16
+# Segments of a JPEG looked at to learn whether they do.
+HEAD_SEGMENTS = 10
+# The markers of a JPEG's frame header, which holds its size.
+_FRAME_MARKERS = [f"FF{m:02X}" for m in range(0xC0, 0xD0) if m not in (0xC4, 0xC8, 0xCC)]
+
+
+def _frame_in_head(content: Column) -> Column:
+    """Whether a JPEG's first segments lead to its frame header within the first bytes."""
+
+    def onward(at: Column) -> Column:
+        # a one-element array binds the value, so that it is computed once a step
+        start = F.transform(F.array(at), lambda k: F.struct(k.alias("at"), F.hex(F.substring(content, k, F.lit(4))).alias("hex")))
+        return F.element_at(
+            F.transform(
+                start,
+                lambda s: F.when(F.left(s["hex"], F.lit(4)).isin(_FRAME_MARKERS), s["at"]).when(
+                    s["hex"].startswith("FF") & (F.length(s["hex"]) == 8),
+                    s["at"] + 2 + F.conv(F.substring(s["hex"], 5, 4), 16, 10).cast("int"),
+                ),
+            ),
+            1,
+        )
+
+    at = F.lit(3)
+    for _ in range(HEAD_SEGMENTS):
+        at = onward(at)
+    marker = F.left(F.hex(F.substring(content, at, F.lit(2))), F.lit(4))
+    return F.coalesce(marker.isin(_FRAME_MARKERS) & (at + 9 <= HEAD_BYTES), F.lit(False))
 
 
 def _png_header(content: Column) -> Column:
@@ -56,17 +84,19 @@ def validate_images(files: DataFrame) -> DataFrame:
     content = F.col("content")
     jpeg, png = _starts(content, "FFD8FF"), _starts(content, "89504E470D0A1A0A")
     timed = png & F.contains(content, F.lit(b"eXIf"))
-    files = files.withColumn(
-        "_head", image_header(F.when(jpeg, F.substring(content, 1, HEAD_BYTES)))
+    short = F.length(content) <= HEAD_BYTES
+    looked_at = (
+        F.when(jpeg & short, content)
+        .when(jpeg & _frame_in_head(content), F.substring(content, 1, HEAD_BYTES))
+        .when(jpeg | timed, content)
     )
-    more = timed | (jpeg & F.col("_head").isNull() & (F.length(content) > HEAD_BYTES))
-    files = files.withColumn("_whole", image_header(F.when(more, content)))
-    header = F.when(timed, F.col("_whole")).when(png, _png_header(content))
+    files = files.withColumn("_read", image_header(looked_at))
+    header = F.when(png & ~timed, _png_header(content)).otherwise(F.col("_read"))
     checked = files.select(
         file_name("path").alias("file"),
         F.coalesce("length", F.length(content).cast("bigint")).alias("_bytes"),
         _other_format(content).alias("_other"),
-        header.otherwise(F.coalesce("_head", "_whole")).alias("_header"),
+        header.alias("_header"),
     )
     width, height = F.col("_header.width"), F.col("_header.height")
     size = F.concat(width.cast("string"), F.lit("×"), height.cast("string"))
