@@ -223,7 +223,7 @@ def predict_embed(spark, sf_dir):
         return encode
 
     images = _with_gaps(spark, sf_dir)
-    out = models.embed(images, make, "embedding", width=64)
+    out = models.embed_or_fail(images, make, "embedding", width=64)
     return out.select(
         "image_id",
         F.get("embedding", F.lit(0)).cast("double").alias("first"),
@@ -250,6 +250,6 @@ def predict_boxes(spark, sf_dir):
 
         return lambda vectors: [find(v) for v in vectors]
 
-    make = models.first_loadable(("first", absent), ("second", present))
-    out = models.detect_boxes(_with_gaps(spark, sf_dir), make, "embedding")
+    make = models.agreed(spark, ("first", absent), ("second", present))
+    out = models.detect_or_fail(_with_gaps(spark, sf_dir), make, "embedding")
     return out.select("image_id", "box_id", "class_id", round4("conf").alias("conf"), "backend")

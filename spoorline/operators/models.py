@@ -13,12 +13,14 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spoorline import schemas
 from spoorline.operators import detectors
+from spoorline.session import stored
+from spoorline.shipping import ship
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -27,27 +29,23 @@ class UnreadableImage(Exception):
     """What a model raises for an image that cannot be decoded."""
 
 
-#: A batch from this size on in which nothing can be read is taken for a broken model.
-SUSPICIOUS_BATCH = 8
+class NothingReadable(RuntimeError):
+    """A model read none of the images that a whole job gave it."""
 
 
 def _guarded(run: Callable, rows, size: int, errors: tuple[type[Exception], ...]) -> list:
     """Results of a batch, None for each image that raises one of ``errors``.
 
-    Any other exception ends the job, and so does a batch without one readable image.
+    A batch in which an image cannot be read is run again in halves, so the readable rest
+    takes a few calls. Any other exception ends the job.
     """
     try:
         return list(run(rows))
-    except errors as problem:
-        found = []
-        for i in range(size):
-            try:
-                found.append(list(run(rows[i : i + 1]))[0])
-            except errors:
-                found.append(None)
-        if size >= SUSPICIOUS_BATCH and all(f is None for f in found):
-            raise RuntimeError(f"the model read none of {size} images") from problem
-        return found
+    except errors:
+        if size == 1:
+            return [None]
+        half = size // 2
+        return [*_guarded(run, rows[:half], half, errors), *_guarded(run, rows[half:], size - half, errors)]
 
 
 def embed(
@@ -62,8 +60,10 @@ def embed(
 
     ``width`` is the vector length when the input column is itself a vector. A null
     input, or one for which the model raises one of ``errors``, gets a null embedding,
-    the mark of an unreadable image; count these with ``unreadable``.
+    the mark of an unreadable image; count these with ``unreadable``, or store the result
+    with ``embed_or_fail``, which ends a job whose model could read nothing.
     """
+    ship(df.sparkSession)
     encode = predict_batch_udf(
         _marking(make, errors),
         return_type=T.ArrayType(T.FloatType()),
@@ -117,6 +117,28 @@ def unreadable(embedded: DataFrame, column: str = "content") -> DataFrame:
     )
 
 
+def _verdict(counted: DataFrame, watch: Observation, purpose: str) -> DataFrame:
+    """The rows, stored; an error if ``watch`` saw failed images and none that was read.
+
+    Images are counted while they are written, so the verdict falls on the totals of the
+    job and does not depend on batches or partitions.
+    """
+    done = stored(counted, purpose)
+    found = watch.get
+    if found["failed"] and not found["read"]:
+        raise NothingReadable(f"the model read none of {found['failed']} images")
+    return done
+
+
+def embed_or_fail(df: DataFrame, make: Callable, column: str = "content", **options) -> DataFrame:
+    """``embed``, stored without the input column; an error if no image could be read."""
+    watch, vector = Observation(), F.col("embedding")
+    given = F.col(column).isNotNull()
+    read, failed = F.count_if(given & vector.isNotNull()), F.count_if(given & vector.isNull())
+    counted = embed(df, make, column, **options).observe(watch, read.alias("read"), failed.alias("failed"))
+    return _verdict(counted if column == "embedding" else counted.drop(column), watch, "embedded")
+
+
 DETECTED = T.StructType(
     schemas.RAW_BOXES.fields + [T.StructField("backend", T.StringType())]
 )
@@ -137,7 +159,37 @@ def detect_boxes(
     without content, or for which the detector raises one of ``errors``, has no boxes;
     with ``show_unreadable`` the latter give one row without a box.
     """
-    names = DETECTED.fieldNames()
+    rows = _detected(df, make, column, batch_size, errors)
+    return _shown(rows, show_unreadable)
+
+
+def detect_or_fail(
+    df: DataFrame, make: Callable, column: str = "content", show_unreadable: bool = False, **options
+) -> DataFrame:
+    """``detect_boxes``, stored; an error if no image could be read."""
+    watch, outcome = Observation(), F.col("outcome")
+    # an image that was read has a first box, or a row that tells of none
+    read = F.count_if((F.col("box_id") == 0) | (outcome == "empty"))
+    rows = _detected(df, make, column, **options)
+    counted = rows.observe(watch, read.alias("read"), F.count_if(outcome == "unreadable").alias("failed"))
+    return _shown(_verdict(counted, watch, "detected"), show_unreadable)
+
+
+def _shown(rows: DataFrame, show_unreadable: bool) -> DataFrame:
+    kept = ["box", "unreadable"] if show_unreadable else ["box"]
+    return rows.filter(F.col("outcome").isin(kept)).drop("outcome")
+
+
+def _detected(
+    df: DataFrame,
+    make: Callable,
+    column: str = "content",
+    batch_size: int = 64,
+    errors: tuple[type[Exception], ...] = (UnreadableImage,),
+) -> DataFrame:
+    """Boxes, and a row for each image that has none or could not be read."""
+    ship(df.sparkSession)
+    names = [*DETECTED.fieldNames(), "outcome"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         detector, backend = make()
@@ -148,31 +200,89 @@ def detect_boxes(
                 found = _guarded(detector, contents, len(contents), errors)
                 rows = []
                 for image_id, boxes in zip(part["image_id"], found):
-                    if boxes is not None:
-                        rows += [(image_id, i, *box, backend) for i, box in enumerate(boxes)]
-                    elif show_unreadable:
-                        rows.append((image_id, *[None] * (len(names) - 2), backend))
+                    if boxes:
+                        rows += [(image_id, i, *box, backend, "box") for i, box in enumerate(boxes)]
+                    else:
+                        outcome = "unreadable" if boxes is None else "empty"
+                        rows.append((image_id, *[None] * (len(names) - 3), backend, outcome))
                 yield pd.DataFrame(rows, columns=names)
 
     readable = df.select("image_id", column).filter(F.col(column).isNotNull())
-    return readable.mapInPandas(run, DETECTED)
+    return readable.mapInPandas(run, T.StructType([*DETECTED.fields, T.StructField("outcome", T.StringType())]))
 
 
-def first_loadable(*backends: tuple[str, Callable]) -> Callable:
-    """A ``make`` that tries named model loaders in turn and tells which one held."""
+def first_loadable(
+    *backends: tuple[str, Callable], missing: tuple[type[Exception], ...] = (ImportError,)
+) -> Callable:
+    """A ``make`` that tries named model loaders in turn and tells which one held.
+
+    Only ``missing`` means that a backend is not installed; a loader that fails in any
+    other way ends the job. Each worker chooses for itself: where executors may differ,
+    use ``agreed``.
+    """
 
     def make():
         problems = []
         for name, load in backends:
             try:
                 return load(), name
-            except Exception as problem:  # noqa: BLE001 - any load failure means the next one
+            except missing as problem:
                 problems.append(f"{name}: {problem}")
         raise RuntimeError("no backend could be loaded; " + "; ".join(problems))
 
     return make
 
 
+def pinned(name: str, load: Callable) -> Callable:
+    """A ``make`` of one backend, which fails where that cannot be loaded."""
+
+    def make():
+        return load(), name
+
+    return make
+
+
+PROBE = "backend string, loads boolean, problem string"
+
+
+def agreed(
+    spark: SparkSession,
+    *backends: tuple[str, Callable],
+    missing: tuple[type[Exception], ...] = (ImportError,),
+    tasks: int | None = None,
+) -> Callable:
+    """A ``make`` of the first backend that loads wherever it is tried, the same for a whole job.
+
+    A barrier stage of as many tasks as run at once (``tasks``) tries every loader at the
+    same time, so that no executor is passed over; with dynamic allocation, which has no
+    barrier stages, plain tasks do. An executor that joins later and lacks the backend
+    ends the job: one result never mixes detectors.
+    """
+    ship(spark)
+    count = tasks or spark.sparkContext.defaultParallelism
+    dynamic = spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true"
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name, load in backends if len(batch) else ():
+                try:
+                    load()
+                    rows.append((name, True, None))
+                except missing as problem:
+                    rows.append((name, False, str(problem)))
+            yield pd.DataFrame(rows, columns=["backend", "loads", "problem"])
+
+    tried = spark.range(0, count, 1, count).mapInPandas(probe, PROBE, barrier=not dynamic)
+    # one row a backend
+    found = tried.groupBy("backend").agg(F.bool_and("loads").alias("loads"), F.max("problem").alias("problem"))
+    by_name = {r.backend: r for r in found.collect()}
+    for name, load in backends:
+        if by_name[name].loads:
+            return pinned(name, load)
+    raise RuntimeError("no backend loads everywhere; " + "; ".join(f"{n}: {by_name[n].problem}" for n, _ in backends))
+
+
 @dataclass(frozen=True)
 class Pipeline:
     """What a named pipeline keeps of its detector's raw output, and how."""

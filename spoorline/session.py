@@ -28,9 +28,11 @@ def local_session(cores: int | str = "*", app: str = "spoorline") -> SparkSessio
     )
 
 
-def scratch_dir(spark: SparkSession, purpose: str) -> str:
+def scratch_dir(spark: SparkSession, purpose: str, kept: bool = False) -> str:
     """A new folder for intermediate tables, on storage every executor can see.
 
+    ``releasing`` deletes it with the job that made it, unless it is to be ``kept``.
+
     The cluster names its shared folder in ``spark.checkpoint.dir``. Only a local
     session without that setting (a unit test) gets a folder of its own machine; on
     a cluster the executors would each write to their own disk, so that is an error.
@@ -41,7 +43,7 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = _local_root()
     path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-    if (made := _made.get()) is not None:
+    if not kept and (made := _made.get()) is not None:
         made.append(path)
     return path
 

@@ -1,3 +1,8 @@
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -209,9 +214,13 @@ def test_unreadable_images_get_no_vector(spark):
 
         return encode
 
-    many = files.union(files).union(files).coalesce(1)
-    with pytest.raises(Exception, match="read none of"):
-        models.embed(many, broken, errors=(OSError,)).collect()
+    for batch in (1, 3, 8, 64):
+        with pytest.raises(models.NothingReadable, match="read none of 10 images"):
+            models.embed_or_fail(files, broken, batch_size=batch, errors=(OSError,))
+        kept = models.embed_or_fail(files, encoder, batch_size=batch, errors=(OSError,))
+        assert kept.columns == ["image_id", "embedding"]
+        assert {r.image_id for r in kept.collect() if r.embedding is None} == {"i0", "i3", "i6", "i9", "none"}
+    assert models.embed_or_fail(files.limit(0), broken, errors=(OSError,)).count() == 0
 
     def detector():
         def find(contents):
@@ -225,6 +234,86 @@ def test_unreadable_images_get_no_vector(spark):
     shown = models.detect_boxes(files, detector, show_unreadable=True)
     assert shown.filter("box_id IS NULL").count() == 4
 
+    def blind():
+        def find(contents):
+            raise models.UnreadableImage
+
+        return find, "blind"
+
+    def empty():
+        def find(contents):
+            if any(bytes(c) != b"ok" for c in contents):
+                raise models.UnreadableImage
+            return [[]] * len(contents)
+
+        return find, "empty"
+
+    for batch in (1, 3, 8, 64):
+        assert models.detect_or_fail(files, detector, batch_size=batch).count() == 6
+        with pytest.raises(models.NothingReadable, match="read none of 10 images"):
+            models.detect_or_fail(files, blind, batch_size=batch)
+        assert models.detect_or_fail(files, empty, batch_size=batch).count() == 0
+    assert models.detect_or_fail(files, detector, show_unreadable=True).count() == 10
+
+
+def test_a_batch_is_split_around_what_cannot_be_read():
+    calls = []
+
+    def run(batch):
+        calls.append(len(batch))
+        if 700 in batch:
+            raise OSError
+        return batch
+
+    found = models._guarded(run, list(range(1024)), 1024, (OSError,))
+    assert found == [None if k == 700 else k for k in range(1024)] and len(calls) < 30
+
+
+def test_executors_agree_on_a_backend(spark, tmp_path):
+    """One task finds the primary not installed, as an executor without it would."""
+    mark = str(tmp_path / "taken")
+
+    def sometimes():
+        import os
+
+        try:
+            os.close(os.open(mark, os.O_CREAT | os.O_EXCL))
+        except FileExistsError:
+            return lambda contents: [[]] * len(contents)
+        raise ImportError("not installed here")
+
+    def everywhere():
+        return lambda contents: [[(16, 0.5, 0, 0, 1, 1)]] * len(contents)
+
+    def broken():
+        raise ValueError("damaged weights")
+
+    make = models.agreed(spark, ("primary", sometimes), ("spare", everywhere), tasks=4)
+    files = spark.createDataFrame([(f"i{n}", bytearray(b"x")) for n in range(40)], "image_id string, content binary")
+    assert {r.backend for r in models.detect_boxes(files.repartition(8), make).collect()} == {"spare"}
+    make = models.agreed(spark, ("primary", sometimes), ("spare", everywhere), tasks=4)
+    assert make()[1] == "primary"
+    with pytest.raises(Exception, match="damaged weights"):
+        models.agreed(spark, ("primary", broken), ("spare", everywhere))
+    with pytest.raises(ValueError, match="damaged weights"):
+        models.first_loadable(("primary", broken), ("spare", everywhere))()
+
+
+def test_models_run_from_another_folder(tmp_path):
+    """Workers get the package with the job, wherever the driver found it."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+from spoorline.driver import QUERIES
+from spoorline.session import local_session
+spark = local_session(2, "elsewhere")
+for name in ("predict_embed", "predict_boxes"):
+    print(name, QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "predict_embed True" in done.stdout and "predict_boxes True" in done.stdout, done.stderr[-2000:]
+
 
 def test_missing_vectors_stay_missing(spark):
     df = spark.createDataFrame(
