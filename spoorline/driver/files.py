@@ -323,6 +323,14 @@ def validation_summary(spark, sf_dir):
 @query(f"WITH {CHECKED} SELECT * FROM validated")
 def ingest_stream(spark, sf_dir):
     """The event table read as a stream of files, validated and stored."""
+    output = scratch_dir(spark, "ingest")
+    run = ingest.ingest_stream(_arriving(spark, sf_dir), f"{output}/table", f"{output}/checkpoint")
+    run.awaitTermination()
+    return ingest.read_ingested(spark, f"{output}/table")
+
+
+def _arriving(spark, sf_dir, times=1):
+    """The event table as a stream of uploads, each sent so many times."""
     schema = table(spark, sf_dir, "events").schema
     # A pattern, because a file stream takes folders and patterns only.
     source = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
@@ -338,7 +346,20 @@ def ingest_stream(spark, sf_dir):
         (440 + F.col("user_id") % 89).alias("height"),
         "ts",
     )
+    if times > 1:
+        rows = rows.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(times)))).drop("again")
+    return uploads(rows)
+
+
+@query(f"""WITH {CHECKED}
+SELECT accepted, file, format, resolution, timestamp, size_kb, reason FROM validated""")
+def ingest_tables(spark, sf_dir):
+    """Every upload sent twice; accepted and rejected ones in tables of their own."""
     output = scratch_dir(spark, "ingest")
-    run = ingest.ingest_stream(uploads(rows), f"{output}/table", f"{output}/checkpoint")
-    run.awaitTermination()
-    return ingest.read_ingested(spark, f"{output}/table")
+    accepted, rejected = f"{output}/accepted", f"{output}/rejected"
+    files = _arriving(spark, sf_dir, times=2)
+    ingest.ingest_tables(files, accepted, rejected, f"{output}/checkpoint").awaitTermination()
+    taken = ingest.read_accepted(spark, accepted).withColumn("accepted", F.lit(True))
+    refused = ingest.read_rejected(spark, rejected).withColumn("accepted", F.lit(False))
+    both = taken.unionByName(refused, allowMissingColumns=True)
+    return both.select("accepted", "file", "format", "resolution", "timestamp", "size_kb", "reason")

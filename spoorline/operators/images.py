@@ -1,5 +1,7 @@
 """Validation of arriving image files."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,9 +75,11 @@ def _png_header(content: Column) -> Column:
     )
 
 
-def validate_images(files: DataFrame) -> DataFrame:
+def validate_images(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Checks files with ``path``, ``length`` and ``content``; drops the bytes.
 
+    Other columns of the files stay only if ``keep`` names them.
+
     A JPEG or PNG of at least 640x480 is accepted and shows its format, size,
     time and size in KB. Any other file gets a reason. Works on a stream too.
     A PNG without capture time is read by expressions; of a JPEG the first bytes travel
@@ -97,6 +101,7 @@ def validate_images(files: DataFrame) -> DataFrame:
         F.coalesce("length", F.length(content).cast("bigint")).alias("_bytes"),
         _other_format(content).alias("_other"),
         header.alias("_header"),
+        *keep,
     )
     width, height = F.col("_header.width"), F.col("_header.height")
     size = F.concat(width.cast("string"), F.lit("×"), height.cast("string"))
@@ -117,4 +122,5 @@ def validate_images(files: DataFrame) -> DataFrame:
         F.when(accepted, time).alias("timestamp"),
         F.when(accepted, round_exact(F.col("_bytes") / 1024, 1)).alias("size_kb"),
         reason.alias("reason"),
+        *keep,
     )

@@ -1,4 +1,6 @@
+import os
 import struct
+from datetime import datetime, timedelta, timezone
 
 import pytest
 
@@ -153,3 +155,81 @@ def test_stream_equals_batch_and_counts_files_once(spark, folder, tmp_path, rows
     again = ingest.image_file_stream(spark, folder, files_per_batch=5)
     ingest.ingest_stream(again, output, checkpoint).awaitTermination()
     assert ingest.read_ingested(spark, output).count() == len(READ) + 1
+
+
+@pytest.fixture
+def uploads(spark, tmp_path):
+    """Adds batches of uploads, a file of rows (name, bytes, seconds) each, and streams them."""
+    place = tmp_path / "uploads"
+    place.mkdir()
+    count = []
+
+    def add(*rows):
+        start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+        data = [(f"in/{n}", len(d), bytearray(d), start + timedelta(seconds=s)) for n, d, s in rows]
+        frame = spark.createDataFrame(data, "path string, length long, content binary, sent timestamp")
+        frame.coalesce(1).write.mode("append").parquet(str(place))
+        newest = max((f for f in place.glob("*.parquet") if f not in count), key=lambda f: f.stat().st_mtime)
+        count.append(newest)
+        os.utime(newest, (1_700_000_000 + len(count), 1_700_000_000 + len(count)))
+
+    def stream():
+        schema = "path string, length long, content binary, sent timestamp"
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(place))
+
+    return add, stream
+
+
+def places(tmp_path):
+    return [str(tmp_path / name) for name in ("accepted", "rejected", "checkpoint")]
+
+
+def test_two_tables_of_first_uploads(spark, uploads, tmp_path, rows):
+    add, stream = uploads
+    good, other, bad = png(800, 600), png(900, 700), png(10, 10)
+    add(("a.png", good, 0), ("a.png", good, 1), ("b.png", bad, 2), ("c.png", good, 3))
+    add(("a.png", good, 50), ("a.png", other, 51), ("b.png", bad, 52), ("d.gif", b"GIF89a..", 53))
+    accepted, rejected, checkpoint = places(tmp_path)
+    ingest.ingest_tables(stream(), accepted, rejected, checkpoint, "60 seconds", "sent").awaitTermination()
+    assert rows(ingest.read_accepted(spark, accepted), "file", "resolution", "batch") == [
+        ("a.png", "800×600", 0), ("a.png", "900×700", 1), ("c.png", "800×600", 0)]
+    assert rows(ingest.read_rejected(spark, rejected), "file", "batch") == [("b.png", 0), ("d.gif", 1)]
+    # a file that comes again long after its first upload is a new one
+    add(("x.png", good, 500))
+    ingest.ingest_tables(stream(), accepted, rejected, checkpoint, "60 seconds", "sent").awaitTermination()
+    add(("a.png", good, 520), ("x.png", good, 521))
+    ingest.ingest_tables(stream(), accepted, rejected, checkpoint, "60 seconds", "sent").awaitTermination()
+    found = rows(ingest.read_accepted(spark, accepted), "file", "resolution")
+    assert found == [("a.png", "800×600"), ("a.png", "800×600"), ("a.png", "900×700"), ("c.png", "800×600"), ("x.png", "800×600")]
+
+
+def test_a_batch_run_again_leaves_each_row_once(spark, uploads, tmp_path, rows, monkeypatch):
+    add, stream = uploads
+    add(("a.png", png(800, 600), 0), ("b.png", png(10, 10), 1))
+    accepted, rejected, checkpoint = places(tmp_path)
+    write, calls = ingest.write_batch, []
+
+    def failing(frame, path, number):
+        calls.append(path)
+        if len(calls) == 2:
+            raise OSError("killed between the two writes")
+        write(frame, path, number)
+
+    monkeypatch.setattr(ingest, "write_batch", failing)
+    with pytest.raises(Exception, match="killed between"):
+        ingest.ingest_tables(stream(), accepted, rejected, checkpoint, arrived="sent").awaitTermination()
+    assert ingest.read_accepted(spark, accepted).count() == 1 and ingest.read_rejected(spark, rejected).count() == 0
+    ingest.ingest_tables(stream(), accepted, rejected, checkpoint, arrived="sent").awaitTermination()
+    assert calls[2:4] == [accepted, rejected]
+    assert rows(ingest.read_accepted(spark, accepted), "file") == [("a.png",)]
+    assert rows(ingest.read_rejected(spark, rejected), "file") == [("b.png",)]
+
+
+def test_files_without_a_time_arrive_with_their_batch(spark, folder, tmp_path):
+    accepted, rejected, checkpoint = places(tmp_path)
+    files = ingest.image_file_stream(spark, folder, files_per_batch=5)
+    ingest.ingest_tables(files, accepted, rejected, checkpoint).awaitTermination()
+    found = {r.file for r in ingest.read_accepted(spark, accepted).collect()}
+    reasons = {r.file: r.reason for r in ingest.read_rejected(spark, rejected).collect()}
+    assert found | set(reasons) == set(READ) and not found & set(reasons)
+    assert reasons == {n: r for n, r in REASONS.items() if n in READ}
