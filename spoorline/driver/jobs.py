@@ -8,7 +8,7 @@ from spoorline.driver.retrieval import OWN, TOP1
 from spoorline.driver.truth import _COUNT_ACCURACY, ENRICHED, ERRORS, rounded_accuracy
 from spoorline.driver.views import view
 from spoorline.plans import jobs
-from spoorline.session import scratch_dir
+from spoorline.session import scratch_dir, stored
 from spoorline.sources import sinks, tables
 
 
@@ -79,6 +79,84 @@ def detect_files(spark, sf_dir):
     )
 
 
+def _csv_in_order(spark, sf_dir):
+    """The gallery's metadata as CSV files, in the order of ``seq``."""
+    path, images = scratch_dir(spark, "metadata"), _gallery(spark, sf_dir)
+    rows = images.repartitionByRange(4, "seq").sortWithinPartitions("seq")
+    rows.drop("seq", "embedding").write.option("header", True).csv(path)
+    return path
+
+
+def _archive(spark, sf_dir):
+    """A listing in which every third image lies in a searched folder, others under the root."""
+    name = F.concat("image_id", F.lit(".jpg"))
+    own = F.when(F.col("seq") % 3 == 0, F.concat(F.lit("/archive/one/"), name))
+    path = own.otherwise(F.concat(F.lit("/study/"), "local_image_path"))
+    return _gallery(spark, sf_dir).select(path.alias("path"))
+
+
+_FOUND = """CASE WHEN g.seq % 3 = 0 THEN concat('/archive/one/', o.image_id, '.jpg')
+              ELSE concat('/study/', g.local_image_path) END"""
+
+
+@query(f"""WITH {OWN}, {LOCALISED_BOXES}
+SELECT {_RECORD.replace("g.local_image_path AS", _FOUND + " AS")}
+FROM own o JOIN v_gallery g ON o.image_id = g.image_id
+JOIN localised_boxes l ON o.image_id = l.image_id
+WHERE o.rn <= 15 AND o.species_label = '7'""")
+def detect_csv(spark, sf_dir):
+    """As users run it: metadata from CSV in file order, paths looked up, records stored."""
+    return jobs.detect_stored(
+        spark,
+        _csv_in_order(spark, sf_dir),
+        _gallery(spark, sf_dir),
+        view(spark, sf_dir, "v_prompts"),
+        boxes(spark, sf_dir),
+        "bioclip_yolo",
+        "7",
+        scratch_dir(spark, "detections"),
+        files=_archive(spark, sf_dir),
+        root="/study",
+        directories=["/archive/one"],
+    )
+
+
+@query("""SELECT image_id, species_label,
+  CAST(row_number() OVER (ORDER BY seq) - 1 AS BIGINT) AS seq FROM v_gallery""")
+def images_in_file_order(spark, sf_dir):
+    """Every image with its place in the CSV files, read in many small splits."""
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    path = _csv_in_order(spark, sf_dir)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = tables.read_images(spark, path, ordered=True)
+        return stored(rows.select("image_id", "species_label", "seq"), "placed")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+@query(f"""WITH {TOP1},
+first AS (SELECT *, row_number() OVER (PARTITION BY species_label ORDER BY seq) AS place
+          FROM v_gallery),
+rated AS (SELECT t.true_species, t.correct FROM top1 t JOIN first g ON t.image_id = g.image_id
+          WHERE g.place <= 40)
+SELECT true_species, count(*) AS images, count(*) FILTER (correct) AS correct
+FROM rated GROUP BY true_species""")
+def evaluate_csv(spark, sf_dir):
+    """From CSV to stored evaluation rows; heads of labels are the first rows of the files."""
+    done = jobs.evaluate_stored(
+        spark,
+        _csv_in_order(spark, sf_dir),
+        _gallery(spark, sf_dir),
+        view(spark, sf_dir, "v_prompts"),
+        scratch_dir(spark, "evaluation"),
+        per_species=40,
+    )
+    return done.rows.groupBy("true_species").agg(
+        F.count("*").alias("images"), F.count_if("correct").alias("correct")
+    )
+
+
 @query(f"""WITH {OWN}, {LOCALISED_BOXES},
 chosen AS (SELECT image_id FROM own WHERE rn <= 40 AND species_label = '4'),
 found AS (
@@ -150,19 +228,17 @@ _WIDE = ", ".join(
 )
 
 
-@query(f"""WITH {TOP1},
-first AS (SELECT *, row_number() OVER (PARTITION BY species_label ORDER BY seq) AS place
-          FROM v_gallery)
+@query(f"""WITH {TOP1}
 SELECT t.image_id,
        CASE g.seq % 4 WHEN 0 THEN concat('/study/', g.local_image_path)
             ELSE concat('/archive/one/', t.image_id, '.jpg') END AS image_path,
        t.true_species, t.predicted_species, t.correct, t.top1_score, t.true_species_score,
        g.site_id AS camera_id, g.latitude, g.longitude, {_WIDE}
-FROM top1 t JOIN first g ON t.image_id = g.image_id JOIN scores s ON t.image_id = s.image_id
-WHERE g.place <= 30 AND g.seq % 4 < 2
+FROM top1 t JOIN v_gallery g ON t.image_id = g.image_id JOIN scores s ON t.image_id = s.image_id
+WHERE g.seq % 4 < 2
 GROUP BY ALL""")
 def evaluate_files(spark, sf_dir):
-    """The whole evaluation: heads per label, paths found in a listing, wide scores."""
+    """The whole evaluation: every image, paths found in a listing, wide scores."""
     images, name = _gallery(spark, sf_dir), F.concat("image_id", F.lit(".jpg"))
     listing = images.select(
         F.when(F.col("seq") % 4 == 0, F.concat(F.lit("/study/"), "local_image_path"))
@@ -174,7 +250,6 @@ def evaluate_files(spark, sf_dir):
         images,
         view(spark, sf_dir, "v_prompts"),
         listing,
-        per_species=30,
         root="/study",
         directories=["/archive/one", "/archive/two"],
     )

@@ -124,19 +124,18 @@ def detect_stored(
     files: DataFrame | None = None,
     root: str = "",
     directories: Sequence[str] = (),
-    order: str = "image_id",
 ) -> DataFrame:
     """One pipeline on one label from stored metadata to stored detections.
 
     ``vectors`` holds image_id and embedding; an image without one is unreadable. Paths
-    are resolved when a file listing is given. ``order`` names the metadata column that
-    orders rows. A label without images writes nothing. Returns what was stored.
+    are resolved when a file listing is given. Rows count in the order of the files. A
+    label without images writes nothing. Returns what was stored.
     """
-    every = tables.read_images(spark, images_path, fmt).withColumn("seq", F.col(order))
-    images = tables.read_species(spark, images_path, species, files, root, directories, fmt)
-    images = images.withColumn("seq", F.col(order)).join(
-        vectors.select("image_id", "embedding"), "image_id", "left"
+    every = tables.read_images(spark, images_path, fmt, ordered=True)
+    images = tables.read_species(
+        spark, images_path, species, files, root, directories, fmt, ordered=True
     )
+    images = images.join(vectors.select("image_id", "embedding"), "image_id", "left")
     truth = every.select("image_id", "species_label", "seq")
     found = detect(images, prompts, raw, truth, pipeline, species, top_n)
     sinks.write_detections(found, output)
@@ -270,6 +269,31 @@ def summarise_evaluation(
     return Evaluation(rows, accuracy, by_species, confused, page)
 
 
+def evaluate_stored(
+    spark: SparkSession,
+    images_path: str,
+    vectors: DataFrame,
+    prompts: DataFrame,
+    output: str,
+    fmt: str = "csv",
+    per_species: int | None = None,
+    files: DataFrame | None = None,
+    root: str = "",
+    directories: Sequence[str] = (),
+) -> Evaluation:
+    """The evaluation from stored metadata to stored rows, summarised from what was stored.
+
+    ``vectors`` holds image_id and embedding. The first images of a label are those that
+    stand first in the files.
+    """
+    images = tables.read_images(spark, images_path, fmt, ordered=True)
+    images = images.join(vectors.select("image_id", "embedding"), "image_id", "left")
+    rows = evaluation_rows(images, prompts, files, per_species, False, root, directories)
+    sinks.write_evaluation(rows, output)
+    targets = [species for block in prompt_blocks(prompts) for species in block.species]
+    return summarise_evaluation(tables.read_evaluation(spark, output), targets, output)
+
+
 @dataclass(frozen=True)
 class ModelEvaluation:
     rows: DataFrame

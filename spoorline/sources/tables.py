@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,12 +53,38 @@ def published(spark: SparkSession, path: str) -> str:
     return f"{path.rstrip('/')}/{version.strip()}"
 
 
+def in_file_order(rows: DataFrame, fmt: str, seq: str = "seq") -> DataFrame:
+    """Rows as they are read, with their place in the table: files by path, then rows as in the file.
+
+    Places are 0, 1, 2, ... whatever the size of the splits. Parquet tells a row's number
+    in its file; of other formats each split's rows are numbered as they are read. What
+    lies before comes from a count of rows a file, or a split, in one more pass without
+    columns; that small table is the only thing put in order. A read whose splits do not
+    fit the count (the files changed meanwhile) fails.
+    """
+    file = F.col("_metadata.file_path")
+    if fmt == "parquet":
+        at, own = F.lit(0).cast("long"), F.col("_metadata.row_index")
+    else:
+        at, own = F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+    placed = rows.select("*", file.alias("_file"), at.alias("_at"), own.alias("_row"))
+    splits = placed.groupBy("_file", "_at").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    earlier = Window.orderBy("_file", "_at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    inside = F.col("_row") - F.col("_first")
+    place = F.when(inside.between(0, F.col("_n") - 1), F.col("_before") + inside)
+    wrong = F.raise_error(F.lit("files changed while they were read")).cast("long")
+    numbered = placed.join(splits, ["_file", "_at"], "left")
+    return numbered.select(*rows.columns, F.coalesce(place, wrong).alias(seq))
+
+
 def read_images(
-    spark: SparkSession, path: str, fmt: str = "csv", enriched: bool = False
+    spark: SparkSession, path: str, fmt: str = "csv", enriched: bool = False, ordered: bool = False
 ) -> DataFrame:
-    """Image metadata with a declared schema; ids stay text."""
+    """Image metadata with a declared schema; ids stay text. ``ordered`` adds ``seq``, the table order."""
     schema = schemas.ENRICHED_IMAGES if enriched else schemas.IMAGES
-    return _read(spark, published(spark, path), schema, fmt)
+    rows = _read(spark, published(spark, path), schema, fmt)
+    return in_file_order(rows, fmt) if ordered else rows
 
 
 def read_species(
@@ -69,9 +95,10 @@ def read_species(
     root: str = "",
     directories: Sequence[str] = (),
     fmt: str = "csv",
+    ordered: bool = False,
 ) -> DataFrame:
     """Images of one label, with paths resolved when a file listing is given."""
-    images = filter_species(read_images(spark, path, fmt), species)
+    images = filter_species(read_images(spark, path, fmt, ordered=ordered), species)
     return images if files is None else resolve_paths(images, files, root, directories)
 
 

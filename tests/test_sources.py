@@ -201,3 +201,26 @@ def test_files_and_reports(spark, tmp_path, plan):
         "section int, rank double, name string, text string").repartition(4)
     sinks.write_report(lines, report)
     assert files.read_report(spark, report) == "first\nsecond\nthird\n\nlast"
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_file_order_is_the_same_for_any_split_size(spark, tmp_path, fmt):
+    path = str(tmp_path / "images")
+    ids = spark.range(0, 3000, 1, 3)
+    given = {"image_id": F.col("id").cast("string"), "species_label": F.when(F.col("id") % 3 == 0, "zebra").otherwise("eland")}
+    frame = ids.select(*[given.get(t.name, F.col("id").cast(t.dataType)).alias(t.name) for t in schemas.IMAGES])
+    frame.write.option("header", True).option("parquet.block.size", 4096).format(fmt).save(path)
+    kept, found = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+    try:
+        for size in ("3000", "17000", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            images = tables.read_images(spark, path, fmt, ordered=True)
+            found.append({r.image_id: r.seq for r in images.collect()})
+            zebras = tables.read_species(spark, path, "zebra", fmt=fmt, ordered=True).collect()
+            assert {r.image_id: r.seq for r in zebras} == {i: s for i, s in found[-1].items() if int(i) % 3 == 0}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert found[0] == found[1] == found[2] == {str(k): k for k in range(3000)}
+    empty = str(tmp_path / "none")
+    frame.limit(0).write.option("header", True).format(fmt).save(empty)
+    assert tables.read_images(spark, empty, fmt, ordered=True).count() == 0
