@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +45,10 @@ TASK_ROWS = 4096
 STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Arrivals that are drawn at once.
 DRAWS = 1 << 15
+#: Texts whose shingles a worker holds at once.
+TEXTS_AT_ONCE = 512
+#: Texts whose shingles a verifying task remembers.
+VERIFIED_AT_ONCE = 32
 
 
 def weighted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -112,16 +117,23 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1 / (upper[common] / v[common] + lower[common] / w[common])).sum())
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def bands(texts: pd.Series) -> pd.Series:
-    """Column function: the bucket of a text in every band; none without a word."""
+def _buckets(texts: list[str | None]) -> list[list[int]]:
     own = [weighted(t) for t in texts]
     drawn = signatures(own, BANDS * BAND_ROWS).reshape(-1, BANDS, BAND_ROWS)
     total = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), drawn.shape[:2])
     for k in range(BAND_ROWS):
         total = mix(total * STEP + drawn[:, :, k])
     rows = total.view(np.int64).tolist()
-    return pd.Series([row if len(t[0]) else [] for row, t in zip(rows, own, strict=True)], dtype=object)
+    return [row if len(t[0]) else [] for row, t in zip(rows, own, strict=True)]
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def bands(texts: pd.Series) -> pd.Series:
+    """Column function: the bucket of a text in every band; none without a word."""
+    found: list[list[int]] = []
+    for k in range(0, len(texts), TEXTS_AT_ONCE):
+        found += _buckets(texts.iloc[k : k + TEXTS_AT_ONCE].tolist())
+    return pd.Series(found, dtype=object)
 
 
 def text_key() -> Column:
@@ -149,26 +161,25 @@ def contents(docs: DataFrame, texts: DataFrame, keys: DataFrame) -> DataFrame:
 def verified(text: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts are that similar."""
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
 
-        def of(key: bytes, text: str):
+        def of(key: bytes, text: pa.Scalar):
             if key not in memo:
-                if len(memo) >= 64:
+                if len(memo) >= VERIFIED_AT_ONCE:
                     memo.clear()
-                memo[key] = weighted(text)
+                memo[key] = weighted(text.as_py())
             return memo[key]
 
         for batch in batches:
-            keep = [
-                similar(of(a, s), of(b, t), threshold)
-                for a, b, s, t in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True)
-            ]
-            yield batch.loc[keep, ["a", "b"]]
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            texts_a, texts_b = batch.column("text_a"), batch.column("text_b")
+            keep = [similar(of(a[k], texts_a[k]), of(b[k], texts_b[k]), threshold) for k in range(len(a))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(text.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(text.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-    return stored(both.mapInPandas(verify, "a binary, b binary"), "links")
+    return stored(both.mapInArrow(verify, "a binary, b binary"), "links")
 
 
 def similar(a, b, threshold: float) -> bool:

@@ -15,7 +15,7 @@ THRESHOLD = 0.8
 
 WORD = re.compile(r"[^\W_]+")
 #: Word hashes that a worker remembers.
-MEMO_SIZE = 400_000
+MEMO_SIZE = 150_000
 
 
 class WordHashes(dict):
