@@ -308,14 +308,25 @@ def text_report(spark, sf_dir):
     return lines.select("section", "rank", "text")
 
 
-@query("""SELECT pipeline, count(*) AS n,
+QUARTILES = """SELECT pipeline, count(*) AS n,
   round(min(detection_quality), 6) AS lowest,
   round(quantile_cont(detection_quality, 0.25), 6) AS lower_quartile,
   round(quantile_cont(detection_quality, 0.5), 6) AS median,
   round(quantile_cont(detection_quality, 0.75), 6) AS upper_quartile,
   round(max(detection_quality), 6) AS highest
-FROM v_detections GROUP BY pipeline""")
+FROM v_detections GROUP BY pipeline"""
+
+
+@query(QUARTILES)
 def quality_box_stats(spark, sf_dir):
+    """Qualities are fractions of 997 here, so a pipeline has few different ones."""
+    out = aggregates.quality_box_stats(view(spark, sf_dir, "v_detections"), few_values=True)
+    return out.withColumns({c: F.round(c, 6) for c in aggregates.QUARTILE_NAMES})
+
+
+@query(QUARTILES)
+def quality_box_slices(spark, sf_dir):
+    """The same for values of which there may be as many as rows."""
     out = aggregates.quality_box_stats(view(spark, sf_dir, "v_detections"))
     return out.withColumns({c: F.round(c, 6) for c in aggregates.QUARTILE_NAMES})
 

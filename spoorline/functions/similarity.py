@@ -4,6 +4,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -85,17 +86,15 @@ def best_of_prompts(prompt_vectors: list[np.ndarray], names: list[str]):
     the best column is kept. The first of equal prompts wins. Null vectors give null.
     """
     blocks = [unit_rows(v) for v in prompt_vectors]
-    place: dict[str, int] = {}
-    for i, name in enumerate(names):
-        place.setdefault(name, i)
     ends = np.cumsum([0, *(len(b) for b in blocks)])
 
     @F.arrow_udf(BEST)
     def best(vectors: pa.Array, labels: pa.Array) -> pa.Array:
         present = vectors.is_valid().to_numpy(zero_copy_only=False)
         rows = _vector_rows(vectors, blocks[0].shape[1])
-        at = [place.get(v, -1) for v in labels.filter(vectors.is_valid()).to_pylist()]
-        wanted = np.array(at, dtype=np.int64)
+        species = pa.array(names, pa.string())
+        at = pc.index_in(labels.filter(vectors.is_valid()).cast(pa.string()), value_set=species)
+        wanted = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         top, first, own = (np.full(len(rows), np.nan) for _ in range(3))
         for begin, end, block in zip(ends, ends[1:], blocks):
             products = np.round(rows @ block.T, DECIMALS)
@@ -106,10 +105,11 @@ def best_of_prompts(prompt_vectors: list[np.ndarray], names: list[str]):
             top[better], first[better] = value[better], here[better] + begin
             inside = np.flatnonzero((wanted >= begin) & (wanted < end))
             own[inside] = products[inside, wanted[inside] - begin]
-        chosen = [None if np.isnan(f) else names[int(f)] for f in first]
+        none = np.isnan(first)
+        chosen = pa.array(np.where(none, 0, first).astype(np.int64), mask=none)
         columns = [
             pa.array(top, mask=np.isnan(top)),
-            pa.array(chosen, type=pa.string()),
+            species.take(chosen),
             pa.array(own, mask=np.isnan(own)),
         ]
         packed = pa.StructArray.from_arrays(columns, names=BEST.fieldNames())
@@ -119,6 +119,43 @@ def best_of_prompts(prompt_vectors: list[np.ndarray], names: list[str]):
     return best
 
 
+# Scores that are handed on at once.
+SCORES_AT_ONCE = 1 << 16
+
+
+def scores_by_block(blocks: list[tuple[list[str], list[int], np.ndarray]], keep: list[str]):
+    """``mapInArrow`` function: rows with a vector to rows with each prompt's label, order and score.
+
+    A batch is read once and multiplied by one block of prompts after another, a bounded
+    number of scores at a time.
+    """
+    blocks = [(names, ords, unit_rows(vectors)) for names, ords, vectors in blocks]
+    width = blocks[0][2].shape[1]
+
+    def scored(batches):
+        for batch in batches:
+            rows = _vector_rows(batch.column("embedding"), width)
+            kept = batch.select(keep)
+            for names, ords, prompts in blocks:
+                step = max(1, SCORES_AT_ONCE // len(names))
+                for k in range(0, len(rows), step):
+                    products = np.round(rows[k : k + step] @ prompts.T, DECIMALS)
+                    image = np.repeat(np.arange(k, k + len(products)), len(names))
+                    prompt = pa.array(np.tile(np.arange(len(names)), len(products)))
+                    flat = products.ravel()
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *kept.take(pa.array(image)).columns,
+                            pa.array(names, pa.string()).take(prompt),
+                            pa.array(ords, pa.int64()).take(prompt),
+                            pa.array(flat, mask=np.isnan(flat)),
+                        ],
+                        names=[*keep, "species", "ord", "score"],
+                    )
+
+    return scored
+
+
 def cosine_to_own_prompt(prompt_vectors: np.ndarray):
     """Arrow UDF: vector and prompt row number to the cosine of the two.
 

@@ -84,7 +84,9 @@ def fixed_point(c: str | Column, decimals: int) -> Column:
     """
     c = _as_column(c)
     shown = F.format_string(f"%.{decimals}f", round_exact(c, decimals))
-    return F.when(c.isNotNull(), shown)
+    # no text for a null; a condition around the text would keep Spark from sharing its
+    # parts. The longest double takes 309 digits before the point.
+    return F.left(shown, F.when(c.isNotNull(), F.lit(400)))
 
 
 def pct(fraction: str | Column, decimals: int = 1) -> Column:

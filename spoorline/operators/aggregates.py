@@ -328,22 +328,29 @@ _SLICES = 4096
 
 
 def quality_box_stats(
-    detections: DataFrame, column: str = "detection_quality", by: str = "pipeline"
+    detections: DataFrame,
+    column: str = "detection_quality",
+    by: str = "pipeline",
+    few_values: bool = False,
 ) -> DataFrame:
     """Exact quartiles of a score per group, linear between neighbours.
 
     An exact percentile aggregate would hold one group's values in one task.
-    Instead equal values collapse to a count, and these counts are stored: the
-    detections are read once. Slices between a group's lowest and highest value are
+    Instead equal values collapse to a count where they are. ``few_values`` states that a
+    group has a bounded number of different values, as a score of four decimals does
+    (10,001); their counts are then put in order as they are. Otherwise the counts are
+    stored, so that the detections are read once. Slices between a group's lowest and highest value are
     counted, those that contain a wanted rank are cut once more, and only the narrow
     slices left over are ordered, each on its own.
     """
-    counts = stored(
+    counts = (
         detections.filter(F.col(column).isNotNull())
         .groupBy(by, F.col(column).alias("_v"))
-        .agg(F.count("*").alias("_n")),
-        "value-counts",
+        .agg(F.count("*").alias("_n"))
     )
+    if few_values:
+        return _quartiles_of_counts(counts, by)
+    counts = stored(counts, "value-counts")
     ends = counts.groupBy(by).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
     width = F.greatest(F.col("_high") - F.col("_low"), F.lit(2.0**-1000)) / _SLICES
     last = F.lit(_SLICES - 1)
@@ -388,6 +395,22 @@ def quality_box_stats(
     return totals.join(ranked, by).select(by, "n", *columns)
 
 
+def _quartiles_of_counts(counts: DataFrame, by: str) -> DataFrame:
+    """``quality_box_stats`` from counts of few values: those at the wanted ranks, in one pass."""
+    group = Window.partitionBy(by)
+    upto = F.sum("_n").over(group.orderBy("_v"))
+    placed = counts.select(by, "_v", "_n", upto.alias("_to"), F.sum("_n").over(group).alias("n"))
+    columns, values = [], []
+    for name, p in zip(QUARTILE_NAMES, QUARTILES):
+        at = F.lit(p) * (F.col("n") - 1)
+        for rank, end in ((F.floor(at), "low"), (F.ceil(at), "high")):
+            inside = (rank < F.col("_to")) & (rank >= F.col("_to") - F.col("_n"))
+            values.append(F.max(F.when(inside, F.col("_v"))).alias(f"{name}_{end}"))
+        low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
+        columns.append((low + (high - low) * (at - F.floor(at))).alias(name))
+    return placed.groupBy(by, "n").agg(*values).select(by, "n", *columns)
+
+
 def _slices_with_ranks(
     counts: DataFrame, wanted: DataFrame, keys: list[str], slice_column: str
 ) -> DataFrame:

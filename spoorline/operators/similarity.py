@@ -10,12 +10,14 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spoorline.functions.similarity import (
     best_of_prompts,
     cosine,
     cosine_to_own_prompt,
     cosine_to_prompts,
+    scores_by_block,
 )
 from spoorline.functions.text import round4
 from spoorline.operators.ranking import top_n_per_group
@@ -48,13 +50,12 @@ def prompt_blocks(prompts: Prompts, block_prompts: int = BLOCK_PROMPTS) -> list[
     """
     if isinstance(prompts, list):
         return prompts
-    n, own = prompts.agg(F.count("*"), F.count_distinct("ord")).first()
-    if n != own:
-        raise ValueError("prompts need an ord each, without repeats or nulls")
-    if n > MAX_PROMPTS:
+    rows = prompts.select("species", "ord", "embedding").orderBy("ord").limit(MAX_PROMPTS + 1).collect()
+    if len(rows) > MAX_PROMPTS:
         raise ValueError(f"more than {MAX_PROMPTS} prompts")
-    rows = prompts.select("species", "ord", "embedding").orderBy("ord").collect()
-    parts = [rows[k : k + block_prompts] for k in range(0, n, block_prompts)]
+    if len({r.ord for r in rows} - {None}) < len(rows):
+        raise ValueError("prompts need an ord each, without repeats or nulls")
+    parts = [rows[k : k + block_prompts] for k in range(0, len(rows), block_prompts)]
     return [
         PromptBlock(
             [r.species for r in part],
@@ -87,11 +88,22 @@ def score_all(
 ) -> DataFrame:
     """Every readable image with every prompt: ``species``, ``ord``, ``score``.
 
-    The prompts travel with the task, so this is a projection and not a join.
+    The prompts travel with the task, so this is a projection and not a join, and the
+    vectors are read once, however many blocks of prompts there are.
     """
     keep = keep or ["image_id"]
+    blocks = prompt_blocks(prompts, block_prompts)
+    if not blocks:
+        raise ValueError("the prompt table is empty")
+    readable = images.filter(F.col("embedding").isNotNull())
+    if len(blocks) > 1 and engine == "arrow":
+        own = readable.select(*keep, "embedding")
+        score = [T.StructField("species", T.StringType()), T.StructField("ord", T.LongType()), T.StructField("score", T.DoubleType())]
+        schema = T.StructType([own.schema[c] for c in keep] + score)
+        parts = [(b.species, b.ords, b.vectors) for b in blocks]
+        return own.mapInArrow(scores_by_block(parts, keep), schema).withColumn("ord", F.col("ord").cast("int"))
     parts = []
-    for block in prompt_blocks(prompts, block_prompts):
+    for block in blocks:
         names = F.array(
             *[
                 F.struct(F.lit(s).alias("species"), F.lit(o).alias("ord"))
@@ -99,14 +111,11 @@ def score_all(
             ]
         )
         parts.append(
-            images.filter(F.col("embedding").isNotNull())
-            .select(*keep, _scores(block, engine).alias("_scores"))
+            readable.select(*keep, _scores(block, engine).alias("_scores"))
             .select(*keep, F.posexplode("_scores").alias("_at", "score"))
             .select(*keep, F.get(names, F.col("_at")).alias("_name"), "score")
             .select(*keep, "_name.species", "_name.ord", "score")
         )
-    if not parts:
-        raise ValueError("the prompt table is empty")
     return reduce(DataFrame.unionAll, parts)
 
 

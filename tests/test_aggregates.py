@@ -199,12 +199,13 @@ def test_quartiles_of_hot_and_skewed_values(spark):
     }
     rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("ties", None)]
     df = spark.createDataFrame(rows, "pipeline string, detection_quality double")
-    got = {r.pipeline: r for r in aggregates.quality_box_stats(df).collect()}
-    for group, values in groups.items():
-        want = np.quantile(values, aggregates.QUARTILES)
-        assert got[group].n == len(values)
-        found = [got[group][n] for n in aggregates.QUARTILE_NAMES]
-        assert np.allclose(found, want, rtol=0, atol=1e-12)
+    for few in (False, True):
+        got = {r.pipeline: r for r in aggregates.quality_box_stats(df, few_values=few).collect()}
+        for group, values in groups.items():
+            want = np.quantile(values, aggregates.QUARTILES)
+            assert got[group].n == len(values)
+            found = [got[group][n] for n in aggregates.QUARTILE_NAMES]
+            assert np.allclose(found, want, rtol=0, atol=1e-12)
 
 
 def test_dataset_overview(spark, detections):
