@@ -9,7 +9,7 @@ from spoorline.driver.truth import _COUNT_ACCURACY, ENRICHED, ERRORS, rounded_ac
 from spoorline.driver.views import view
 from spoorline.plans import jobs
 from spoorline.session import scratch_dir, stored
-from spoorline.sources import sinks, tables
+from spoorline.sources import files, sinks, tables
 
 
 def _gallery(spark, sf_dir):
@@ -403,3 +403,72 @@ def enrich_job(spark, sf_dir):
     sinks.write_enriched_images(done.images, path, "parquet")
     stored = tables.read_images(spark, path, "parquet", enriched=True)
     return stored.select("image_id", "ground_truth_count", "ground_truth_count_num")
+
+
+def _annotation_documents(spark, sf_dir):
+    """The annotations as JSON documents of up to 1,000, one a line, in their order."""
+    path = scratch_dir(spark, "annotations")
+    rows = view(spark, sf_dir, "v_annotations").select(
+        F.floor(F.col("seq") / 1000).alias("part"), "seq", F.struct("image_id", "count", "standing").alias("a")
+    )
+    entries = F.array_sort(F.collect_list(F.struct("seq", "a")))
+    documents = rows.groupBy("part").agg(F.transform(entries, lambda e: e["a"]).alias("annotations"))
+    documents.repartitionByRange(4, "part").sortWithinPartitions("part").select("annotations").write.json(path)
+    return path
+
+
+def _enriched_from_files(spark, sf_dir):
+    path = scratch_dir(spark, "metadata")
+    images = view(spark, sf_dir, "v_images").drop("seq")
+    sinks.write_enriched_images(images, path)
+    return jobs.enrich_stored(spark, path, _annotation_documents(spark, sf_dir), lines=True)
+
+
+@query(f"""WITH {ENRICHED}
+SELECT image_id, ground_truth_count, ground_truth_count_num FROM enriched""")
+def enrich_files(spark, sf_dir):
+    """From CSV metadata and JSON annotations to the next version of the CSV."""
+    done = _enriched_from_files(spark, sf_dir)
+    return done.images.select("image_id", "ground_truth_count", "ground_truth_count_num")
+
+
+@query(f"""WITH {ENRICHED}
+SELECT count(ground_truth_count) AS matched, count(*) AS total,
+       round(1e-9 + 100.0 * count(ground_truth_count) / count(*), 4) AS match_pct FROM enriched""")
+def enrich_files_match_rate(spark, sf_dir):
+    """Matches as counted while the metadata was written."""
+    return _enriched_from_files(spark, sf_dir).match_rate.withColumn("match_pct", round4("match_pct"))
+
+
+def _compared_files(spark, sf_dir):
+    path = scratch_dir(spark, "comparison")
+    runs = view(spark, sf_dir, "v_detections").groupBy("pipeline").agg((F.count("*") * 0.125).alias("elapsed_s"))
+    raw = {"bioclip_sam": view(spark, sf_dir, "v_masks"), "bioclip_yolo": boxes(spark, sf_dir), "bioclip_megadetector": boxes(spark, sf_dir)}
+    metadata, images = _csv_in_order(spark, sf_dir), _gallery(spark, sf_dir)
+    return path, jobs.compare_stored(spark, metadata, images, view(spark, sf_dir, "v_prompts"), raw, runs, "4", path, top_n=40)
+
+
+@query(f"""WITH {OWN},
+chosen AS (SELECT image_id, round(1e-9 + CASE WHEN high > low THEN (score - low) / (high - low) ELSE 1 END, 4) AS confidence
+           FROM own WHERE rn <= 40 AND species_label = '4')
+SELECT image_id, pipeline, confidence, concat('images/', image_id, '.jpg') AS image_path
+FROM chosen, (VALUES ('bioclip_sam'), ('bioclip_yolo'), ('bioclip_megadetector')) p(pipeline)""")
+def compare_merged(spark, sf_dir):
+    """The comparison's merged CSV, read back."""
+    path, _ = _compared_files(spark, sf_dir)
+    merged = tables.read_detections_csv(spark, f"{path}/merged")
+    return merged.select("image_id", "pipeline", "confidence", "image_path")
+
+
+@query(f"""WITH {OWN}
+SELECT CAST(1 AS INT) AS line, 'Pipeline 1 Comparison Report  |  Species: 4' AS text
+UNION ALL
+SELECT 4, printf('%-28s %13s %14s %8s', 'Metric', 'BioCLIP+SAM', 'BioCLIP+YOLO', 'SAM 3')
+UNION ALL
+SELECT 6, printf('%-28s %13s %14s %8s', 'Images processed', n, n, n)
+FROM (SELECT CAST(count(*) AS VARCHAR) AS n FROM own WHERE rn <= 40 AND species_label = '4')""")
+def compare_page(spark, sf_dir):
+    """Title, headings and first metric of the comparison's stored page."""
+    path, _ = _compared_files(spark, sf_dir)
+    page = files.read_report(spark, f"{path}/report").splitlines()
+    return spark.createDataFrame([(k, page[k]) for k in (1, 4, 6)], "line int, text string")

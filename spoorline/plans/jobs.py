@@ -7,7 +7,7 @@ what they return. Images carry ``seq`` (table order) and ``embedding``.
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from spoorline import fixed_values as fixed
@@ -21,7 +21,7 @@ from spoorline.operators.similarity import (
     top1_species,
     with_own_score,
 )
-from spoorline.session import stored
+from spoorline.session import releasing, stored
 from spoorline.sources import sinks, tables
 
 
@@ -137,8 +137,9 @@ def detect_stored(
     )
     images = images.join(vectors.select("image_id", "embedding"), "image_id", "left")
     truth = every.select("image_id", "species_label", "seq")
-    found = detect(images, prompts, raw, truth, pipeline, species, top_n)
-    sinks.write_detections(found, output)
+    with releasing(spark):
+        found = detect(images, prompts, raw, truth, pipeline, species, top_n)
+        sinks.write_detections(found, output)
     return tables.read_detections(spark, output, pipeline, species)
 
 
@@ -178,6 +179,40 @@ def compare_pipelines(
     )
 
 
+def compare_stored(
+    spark: SparkSession,
+    images_path: str,
+    vectors: DataFrame,
+    prompts: DataFrame,
+    raw: dict[str, DataFrame],
+    runs: DataFrame,
+    species: str,
+    output: str,
+    fmt: str = "csv",
+    top_n: int = fixed.DEFAULT_TOP_N,
+) -> Comparison:
+    """The comparison from stored metadata to its stored outputs.
+
+    Under ``output`` go ``detections`` (by pipeline and species), ``merged`` (the union as
+    CSV) and ``report`` (the page). What is returned reads them; the job's scratch tables
+    are gone.
+    """
+    images = tables.read_images(spark, images_path, fmt, ordered=True)
+    images = images.join(vectors.select("image_id", "embedding"), "image_id", "left")
+    truth = images.select("image_id", "species_label", "seq")
+    place = output.rstrip("/")
+    with releasing(spark):
+        done = compare_pipelines(images, prompts, raw, truth, runs, species, top_n)
+        sinks.write_detections(done.detections, f"{place}/detections")
+    found = tables.read_detections(spark, f"{place}/detections", species=species)
+    found = found.filter(F.col("pipeline").isin(list(raw)))
+    metrics = aggregates.pipeline_comparison(found, runs)
+    page = reports.comparison_report(metrics, species)
+    sinks.write_merged(found, f"{place}/merged")
+    sinks.write_report(page, f"{place}/report")
+    return Comparison(found, metrics, joins.overlays_by_image(found, seq="detection_id"), page)
+
+
 @dataclass(frozen=True)
 class Evaluation:
     rows: DataFrame
@@ -387,6 +422,29 @@ class Enrichment:
     distribution: DataFrame
 
 
+def enrich_stored(
+    spark: SparkSession,
+    images_path: str,
+    annotations_path: str,
+    fmt: str = "csv",
+    lines: bool = False,
+) -> Enrichment:
+    """From stored metadata and annotation documents to the next version of the metadata.
+
+    Images and annotations are read once: matches are counted while the new version is
+    written, and the common counts come from its one column. Returns what was stored.
+    """
+    images = tables.read_images(spark, images_path, fmt)
+    enriched = joins.enrich_ground_truth(images, tables.read_annotations(spark, annotations_path, lines))
+    watch = Observation()
+    matched = F.count("ground_truth_count").alias("matched")
+    sinks.write_enriched_images(enriched.observe(watch, matched, F.count("*").alias("total")), images_path, fmt)
+    found = spark.range(1).select(*[F.lit(watch.get[c]).cast("long").alias(c) for c in ("matched", "total")])
+    rate = found.withColumn("match_pct", measures.rate_pct(F.col("matched"), F.col("total")))
+    done = tables.read_images(spark, images_path, fmt, enriched=True)
+    return Enrichment(done, rate, aggregates.count_distribution(done))
+
+
 def enrich_images(images: DataFrame, annotations: DataFrame, seq: str = "pos") -> Enrichment:
     """Images with ground-truth counts, how many matched, and the common counts."""
     enriched = joins.enrich_ground_truth(images, annotations, seq)

@@ -77,12 +77,12 @@ def _local_root() -> str:
     return root
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
+def stored(df: DataFrame, purpose: str, kept: bool = False) -> DataFrame:
     """The rows written to a new scratch table and read back.
 
     For results that several later steps read: the work runs once, and a lost
-    executor costs a re-read.
+    executor costs a re-read. ``kept`` as in ``scratch_dir``.
     """
-    path = scratch_dir(df.sparkSession, purpose)
+    path = scratch_dir(df.sparkSession, purpose, kept)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -325,3 +325,33 @@ def test_missing_vectors_stay_missing(spark):
     got = {r.image_id: r.embedding for r in
            models.embed(df, encoder, "content", width=2).collect()}
     assert got == {"a": [2.0, 3.0], "b": None}
+
+
+def test_jobs_on_stored_tables_leave_no_scratch(spark, images, prompts, boxes, tmp_path, monkeypatch):
+    from spoorline import session
+
+    root = tmp_path / "scratch"
+    root.mkdir()
+    monkeypatch.setattr(session, "_local_root", lambda: str(root))
+    metadata, output = str(tmp_path / "images"), str(tmp_path / "out")
+    images.coalesce(1).sortWithinPartitions("seq").select(*schemas.IMAGES.fieldNames()).write.option("header", True).csv(metadata)
+    found = jobs.detect_stored(spark, metadata, images, prompts, boxes, "bioclip_yolo", "zebra", output, top_n=3)
+    assert {r.image_id for r in found.collect()} == {"i1", "i2"}
+    masks = spark.createDataFrame([("i1", 0, 0.4)], schemas.RAW_MASKS)
+    runs = spark.createDataFrame([("bioclip_sam", 8.0)], schemas.PIPELINE_RUNS)
+    raw = {"bioclip_sam": masks, "bioclip_yolo": boxes}
+    place = str(tmp_path / "compared")
+    done = jobs.compare_stored(spark, metadata, images, prompts, raw, runs, "zebra", place, top_n=2)
+    assert list(root.iterdir()) == []
+    assert done.detections.count() == 4 == tables.read_detections_csv(spark, f"{place}/merged").count()
+    assert {r.pipeline: r.localised for r in done.metrics.collect()}["bioclip_yolo"] == 2
+
+
+def test_enrichment_reads_its_files_once(spark, images, tmp_path):
+    metadata, documents = str(tmp_path / "images"), tmp_path / "annotations.json"
+    sinks.write_enriched_images(images.select(*schemas.IMAGES.fieldNames()), metadata)
+    documents.write_text('{"annotations": [{"image_id": "i1", "count": "3"}, {"image_id": "i1", "count": "11-50"}, {"image_id": "i4"}]}')
+    done = jobs.enrich_stored(spark, metadata, str(documents))
+    assert tuple(done.match_rate.first()) == (2, 7, pytest.approx(200 / 7))
+    assert {r.image_id: r.ground_truth_count for r in done.images.collect() if r.ground_truth_count} == {"i1": "11-50", "i4": "1"}
+    assert [tuple(r) for r in done.distribution.collect()] == [("1", 1), ("11-50", 1)]
