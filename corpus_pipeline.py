@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from spoorline.llm import bpe, contamination, language, neardup, pii
 from spoorline.llm.shipping import shipped
 from spoorline.llm.text import named, unused
-from spoorline.session import stored
+from spoorline.session import releasing, stored
 
 #: A text is rejected if no language makes up this share of it: a text with quotations in
 #: two other languages stays, a jumble of four or more goes.
@@ -87,5 +87,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with releasing(spark):  # what the stage stored on its way
+            docs = stored(stage(spark, docs, sf_dir), name, kept=True)
     return STAGES[-1][1](spark, docs, sf_dir)
