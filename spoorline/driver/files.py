@@ -126,6 +126,68 @@ def list_files(spark, sf_dir):
     return listed.select(folder, F.regexp_extract("path", "[.]([a-z]+)$", 1).alias("kind")).distinct()
 
 
+def _overlay_files(spark, sf_dir):
+    """A folder with an overlay file for each image, by pipeline and site; the text names the image."""
+    folder = scratch_dir(spark, "overlays")
+    rows = view(spark, sf_dir, "v_detections").select("pipeline", "camera_id", "image_id")
+
+    def write(batches):
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder if ":/" in folder else f"file://{folder}")
+        for batch in batches:
+            for pipeline, camera, image in zip(*(c.to_pylist() for c in batch.columns)):
+                place = f"{root}/{pipeline}/{camera}"
+                system.create_dir(place)
+                with system.open_output_stream(f"{place}/{image}_overlay.jpg") as out:
+                    out.write(image.encode())
+            yield batch.slice(0, 0)
+
+    rows.mapInArrow(write, rows.schema).foreach(lambda row: None)
+    return folder
+
+
+_OVERLAY_FILES = """overlays AS (
+  SELECT concat(pipeline, '/', camera_id, '/', image_id, '_overlay.jpg') AS name, pipeline, camera_id, image_id
+  FROM v_detections)
+"""
+
+
+@query(f"WITH {_OVERLAY_FILES} SELECT name, length(image_id) AS length FROM overlays")
+def list_tree(spark, sf_dir):
+    """Every file of a tree, listed by the executors."""
+    folder = _overlay_files(spark, sf_dir)
+    listed = files.list_tree(spark, folder, "*_overlay.jpg")
+    return listed.select(F.regexp_extract("path", "([^/]*/[^/]*/[^/]*)$", 1).alias("name"), "length")
+
+
+@query(f"""WITH {_OVERLAY_FILES}
+SELECT name FROM overlays WHERE pipeline = 'bioclip_sam' ORDER BY name LIMIT 25""")
+def list_overlays(spark, sf_dir):
+    """The first overlays of a pipeline by name."""
+    folder = _overlay_files(spark, sf_dir)
+    first = files.list_overlays(spark, f"{folder}/bioclip_sam", 25, by_tasks=True)
+    return first.select(F.regexp_extract("path", "([^/]*/[^/]*/[^/]*)$", 1).alias("name"))
+
+
+@query(f"""WITH {_OVERLAY_FILES}
+SELECT pipeline, count(*) AS overlays, sum(length(image_id)) AS bytes FROM overlays GROUP BY pipeline""")
+def read_inventory(spark, sf_dir):
+    """A listing kept as a table and read in its place."""
+    path = scratch_dir(spark, "inventory")
+    files.write_inventory(files.list_tree(spark, _overlay_files(spark, sf_dir)), path)
+    pipeline = F.regexp_extract("path", "([^/]*)/[^/]*/[^/]*$", 1).alias("pipeline")
+    kept = files.read_inventory(spark, path).groupBy(pipeline)
+    return kept.agg(F.count("*").alias("overlays"), F.sum("length").alias("bytes"))
+
+
+@query(f"WITH {_OVERLAY_FILES} SELECT image_id, length(image_id) AS length FROM overlays WHERE pipeline = 'bioclip_yolo'")
+def read_image_files(spark, sf_dir):
+    """Files with their bytes."""
+    found = files.read_image_files(spark, f"{_overlay_files(spark, sf_dir)}/bioclip_yolo", "*_overlay.jpg")
+    return found.select(F.col("content").cast("string").alias("image_id"), "length")
+
+
 @query(f"SELECT {_IMAGES} FROM v_images WHERE species_label = 'view'")
 def images_of_species(spark, sf_dir):
     """One label out of a stored Parquet table; the filter reaches the scan."""

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spoorline import schemas
-from spoorline.sources import files, sinks, tables
+from spoorline.sources import files, listing, sinks, tables
 
 IMAGE_ROWS = [
     ("007", "images/007.jpg", "zebra", "2010-07-20 06:14:06", "S1", -2.5, 34.5, "kopje"),
@@ -224,3 +224,46 @@ def test_file_order_is_the_same_for_any_split_size(spark, tmp_path, fmt):
     empty = str(tmp_path / "none")
     frame.limit(0).write.option("header", True).format(fmt).save(empty)
     assert tables.read_images(spark, empty, fmt, ordered=True).count() == 0
+
+
+def test_tasks_list_a_tree(spark, tmp_path, rows):
+    root = tmp_path / "tree"
+    for folder in ("", "a", "a/b", "a/b/c", "empty", "_hidden", ".git"):
+        (root / folder).mkdir(exist_ok=True)
+    for name in ("top.jpg", "a/one.jpg", "a/b/two.jpg", "a/b/c/three.JPG", "a/.dot.jpg", "_hidden/x.jpg", ".git/y.jpg", "a/none.jpg"):
+        (root / name).write_bytes(b"" if "none" in name else name.encode())
+    (root / "a/cycle").symlink_to(root)
+    (root / "a/broken.jpg").symlink_to(root / "nowhere")
+    (root / "a/linked.jpg").symlink_to(root / "top.jpg")
+    expected = {"top.jpg": 7, "a/one.jpg": 9, "a/b/two.jpg": 11, "a/none.jpg": 0, "a/linked.jpg": 7}
+
+    def names(listed):
+        return {r.path.removeprefix(f"{root}/"): r.length for r in listed.collect()}
+
+    assert names(files.list_tree(spark, str(root), "*.jpg")) == expected
+    assert names(files.list_tree(spark, f"file://{root}/")) == {**expected, "a/b/c/three.JPG": 15}
+    assert names(files.list_tree(spark, str(root), "t*.[jJ]??")) == {"top.jpg": 7, "a/b/two.jpg": 11, "a/b/c/three.JPG": 15}
+    assert files.list_tree(spark, str(root / "empty")).collect() == []
+    with pytest.raises(FileNotFoundError):
+        files.list_tree(spark, str(root / "missing"))
+    # a lister of one's own, and Arrow's, which serves stores with a URI
+    deep = files.list_tree(spark, str(root), entries=lambda f: [("d", 0, True)] if f.count("/d") < 3 else [("f", 5, False)])
+    assert [tuple(r) for r in deep.collect()] == [(f"{root}/d/d/d/f", 5)]
+    found = sorted(listing.entries_of(f"file://{root}/a/b"))
+    assert found == [("c", 0, True), ("two.jpg", 11, False)]
+    assert list(listing.entries_of(f"file://{root}/missing")) == list(listing.entries_of(f"{root}/missing")) == []
+
+
+def test_a_listing_by_tasks_equals_the_drivers(spark, tmp_path, rows):
+    for site in range(30):
+        folder = tmp_path / "overlays" / f"S{site % 7}" / str(site)
+        folder.mkdir(parents=True)
+        for k in range(site):
+            (folder / f"{k}_overlay.jpg").write_bytes(b"x" * (k + 1))
+    path = str(tmp_path / "overlays")
+    assert rows(files.list_tree(spark, path, "*_overlay.jpg")) == rows(files.list_files(spark, path, "*_overlay.jpg"))
+    by_tasks = files.list_overlays(spark, path, 40, by_tasks=True).collect()
+    assert by_tasks == files.list_overlays(spark, path, 40).collect() and len(by_tasks) == 40
+    for fmt in ("csv", "parquet"):
+        files.write_inventory(files.list_tree(spark, path), str(tmp_path / fmt), fmt)
+        assert rows(files.read_inventory(spark, str(tmp_path / fmt), fmt)) == rows(files.list_files(spark, path))
