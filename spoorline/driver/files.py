@@ -231,6 +231,22 @@ def detections_roundtrip(spark, sf_dir):
     return tables.read_all_detections(spark, path, "error")
 
 
+@query(f"{_DETECTIONS} WHERE image_id IN ('7', '77', '777')")
+def detections_of_images(spark, sf_dir):
+    """The stored detections of a few images, by skipping the rest."""
+    path = scratch_dir(spark, "detections")
+    sinks.write_detections(_stored_detections(spark, sf_dir), path)
+    return tables.read_detections(spark, path, image_ids=["7", "77", "777"])
+
+
+@query(f"SELECT {_IMAGES} FROM v_images WHERE species_label = 'error'")
+def images_clustered(spark, sf_dir):
+    """One label out of metadata stored in ranges of label and image."""
+    path = scratch_dir(spark, "images")
+    sinks.write_clustered(view(spark, sf_dir, "v_images").select(*_IMAGES.split(", ")), path)
+    return tables.read_species(spark, path, "error", fmt="parquet")
+
+
 @query(_DETECTIONS)
 def detections_csv_roundtrip(spark, sf_dir):
     path = scratch_dir(spark, "merged")

@@ -2,8 +2,9 @@
 
 import time
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 from spoorline import schemas
 from spoorline.sources.tables import POINTER, published
@@ -13,18 +14,64 @@ def write_detections(detections: DataFrame, path: str) -> None:
     """Store detections by pipeline and species, replacing only what they cover.
 
     The rebalance hint lets adaptive execution gather small folders into few
-    files and split a large one over many tasks. No rows write nothing.
+    files and split a large one over many tasks. No rows write nothing. Within a file
+    rows are in the order of ``image_id``, which also has a Bloom filter, so that
+    reading a few images skips the row groups without them.
     """
     rows = detections.select(*schemas.DETECTIONS.fieldNames())
+    spread = rows.hint("rebalance", "pipeline", "species")
     (
-        rows.hint("rebalance", "pipeline", "species")
-        .write.mode("overwrite")
+        _with_blooms(spread.sortWithinPartitions("pipeline", "species", "image_id"), ["image_id"])
+        .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("pipeline", "species")
         .parquet(path)
     )
 
 
+def _with_blooms(rows: DataFrame, columns: Sequence[str]) -> DataFrameWriter:
+    """A writer of Parquet with a Bloom filter, as large as the row group needs, on each column."""
+    writer = rows.write.option("parquet.bloom.filter.adaptive.enabled", True)
+    for column in columns:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", True)
+    return writer
+
+
+def write_clustered(
+    rows: DataFrame, path: str, by: Sequence[str] = ("species_label", "image_id"), lookup: Sequence[str] = ("image_id",)
+) -> None:
+    """Store rows as Parquet in ranges of ``by``, with Bloom filters on ``lookup``.
+
+    Reading one label, or one image, then skips the row groups without it. The last of
+    ``by`` should tell rows apart, so that a label with most rows is cut into many ranges.
+    The order of the rows is not kept: store ``seq`` where it is needed.
+    """
+    ranges = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    _with_blooms(ranges, lookup).mode("overwrite").parquet(path)
+
+
+def write_bucketed(
+    rows: DataFrame, table: str, path: str, buckets: int, key: str = "image_id"
+) -> DataFrame:
+    """Store rows as a table in buckets by image and read it back.
+
+    Joins and aggregates by ``key`` over tables of one bucket count then shuffle none of
+    them. A task joins a whole bucket: of a table in which one image holds a large part
+    of the rows, keep the images' last rows only, or leave it without buckets, where
+    adaptive execution splits such an image.
+    """
+    (
+        rows.repartition(buckets, key)
+        .write.mode("overwrite")
+        .bucketBy(buckets, key)
+        .sortBy(key)
+        .format("parquet")
+        .option("path", path)
+        .saveAsTable(table)
+    )
+    return rows.sparkSession.table(table)
+
+
 def _csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 

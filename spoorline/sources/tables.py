@@ -103,9 +103,16 @@ def read_species(
 
 
 def read_detections(
-    spark: SparkSession, path: str, pipeline: str | None = None, species: str | None = None
+    spark: SparkSession,
+    path: str,
+    pipeline: str | None = None,
+    species: str | None = None,
+    image_ids: Sequence[str] = (),
 ) -> DataFrame:
-    """Stored detections; both filters select folders. No table gives no rows."""
+    """Stored detections. No table gives no rows.
+
+    The first two filters select folders; ``image_ids`` skips row groups without those images.
+    """
     if not path_exists(spark, path):
         return spark.createDataFrame([], schemas.DETECTIONS)
     rows = spark.read.schema(schemas.DETECTIONS).parquet(path).select(
@@ -115,6 +122,8 @@ def read_detections(
         rows = rows.filter(F.col("pipeline") == pipeline)
     if species is not None:
         rows = rows.filter(F.col("species") == species)
+    if image_ids:
+        rows = rows.filter(F.col("image_id").isin(list(image_ids)))
     return rows
 
 

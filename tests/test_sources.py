@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spoorline import schemas
+from spoorline.operators import joins
 from spoorline.sources import files, listing, sinks, tables
 
 IMAGE_ROWS = [
@@ -267,3 +268,60 @@ def test_a_listing_by_tasks_equals_the_drivers(spark, tmp_path, rows):
     for fmt in ("csv", "parquet"):
         files.write_inventory(files.list_tree(spark, path), str(tmp_path / fmt), fmt)
         assert rows(files.read_inventory(spark, str(tmp_path / fmt), fmt)) == rows(files.list_files(spark, path))
+
+
+def _rows_scanned(frame):
+    frame.collect()
+    leaves = frame._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.size()))
+
+
+def test_reading_one_label_or_image_skips_row_groups(spark, tmp_path, rows):
+    hadoop = spark._jsc.hadoopConfiguration()
+    kept = hadoop.get("parquet.block.size")
+    hadoop.set("parquet.block.size", "4096")
+    try:
+        ids = spark.range(0, 8000, 1, 4).select(F.sha2(F.col("id").cast("string"), 256).alias("image_id"), "id")
+        label = F.when(F.col("id") % 50 == 0, "zebra").when(F.col("id") % 3 == 0, "eland").otherwise("topi")
+        images = ids.select("image_id", label.alias("species_label"), "id")
+        path, stored = str(tmp_path / "images"), str(tmp_path / "detections")
+        sinks.write_clustered(images, path)
+        given = {"image_id": F.col("image_id"), "species": label, "pipeline": F.lit("bioclip_sam")}
+        sinks.write_detections(ids.select(*[given.get(t.name, F.lit(None).cast(t.dataType)).alias(t.name) for t in schemas.DETECTIONS]), stored)
+    finally:
+        hadoop.set("parquet.block.size", kept) if kept else hadoop.unset("parquet.block.size")
+    back = spark.read.parquet(path)
+    assert rows(back) == rows(images)
+    zebras = back.filter("species_label = 'zebra'")
+    assert zebras.count() == 160 and _rows_scanned(zebras) < 1000
+    one = images.filter("id = 4321").first().image_id
+    assert _rows_scanned(back.filter(F.col("image_id") == one)) < 1000
+    found = tables.read_detections(spark, stored, image_ids=[one])
+    assert [r.image_id for r in found.collect()] == [one] and _rows_scanned(found) < 1000
+    assert tables.read_detections(spark, stored).count() == 8000
+
+
+def test_tables_in_buckets_join_without_a_shuffle(spark, tmp_path, rows, plan):
+    ids = spark.range(0, 3000, 1, 3)
+    image = F.col("id").cast("string").alias("image_id")
+    detections = ids.select(image, F.lit("zebra").alias("species"), F.col("id").alias("n"))
+    truth = ids.filter("id % 3 > 0").select(
+        F.col("id").cast("string").alias("image_id"), F.when(F.col("id") % 2 == 0, "zebra").otherwise("topi").alias("species_label"), F.col("id").alias("seq"))
+    annotations = truth.select("image_id", F.lit("2").alias("count"), F.col("seq").alias("pos"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = {
+            name: sinks.write_bucketed(frame, f"in_buckets_{name}", str(tmp_path / name), 6)
+            for name, frame in (("detections", detections), ("truth", truth), ("annotations", annotations))
+        }
+        judged = joins.with_ground_truth(kept["detections"], kept["truth"])
+        assert "Exchange" not in plan(judged)
+        assert rows(judged) == rows(joins.with_ground_truth(detections, truth))
+        enriched = joins.enrich_ground_truth(kept["detections"], kept["annotations"])
+        assert "Exchange" not in plan(enriched)
+        assert rows(enriched) == rows(joins.enrich_ground_truth(detections, annotations))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        for name in ("detections", "truth", "annotations"):
+            spark.sql(f"DROP TABLE IF EXISTS in_buckets_{name}")
