@@ -1,5 +1,7 @@
 """Queries that run whole jobs."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from spoorline.driver.detection import LOCALISED_BOXES, boxes
@@ -7,6 +9,7 @@ from spoorline.driver.registry import fixed_lines, query, round4
 from spoorline.driver.retrieval import OWN, TOP1
 from spoorline.driver.truth import _COUNT_ACCURACY, ENRICHED, ERRORS, rounded_accuracy
 from spoorline.driver.views import view
+from spoorline.operators import joins
 from spoorline.plans import jobs
 from spoorline.session import scratch_dir, stored
 from spoorline.sources import files, sinks, tables
@@ -320,10 +323,10 @@ models AS (
 """
 
 
-def _model_rows(spark, sf_dir):
-    """Localisation repeats even images and leaves out odd ones; the last row counts."""
+def _localised(spark, sf_dir):
+    """Localisation that repeats even images and leaves out odd ones; the last row counts."""
     number = F.col("image_id").cast("bigint")
-    found = (
+    return (
         view(spark, sf_dir, "v_detections")
         .filter("pipeline = 'bioclip_sam'")
         .select(
@@ -334,7 +337,11 @@ def _model_rows(spark, sf_dir):
             F.col("pipeline").alias("backend"),
         )
     )
-    return jobs.model_rows(_gallery(spark, sf_dir), view(spark, sf_dir, "v_prompts"), found)
+
+
+def _model_rows(spark, sf_dir):
+    prompts = view(spark, sf_dir, "v_prompts")
+    return jobs.model_rows(_gallery(spark, sf_dir), prompts, _localised(spark, sf_dir))
 
 
 @query(f"""WITH {MODELS}
@@ -370,6 +377,33 @@ def models_roundtrip(spark, sf_dir):
     )
 
 
+def _models_stored(spark, sf_dir):
+    path = scratch_dir(spark, "models")
+    metadata, images = _csv_in_order(spark, sf_dir), _gallery(spark, sf_dir)
+    prompts = view(spark, sf_dir, "v_prompts")
+    return path, jobs.models_stored(spark, metadata, images, prompts, _localised(spark, sf_dir), path)
+
+
+@query(f"""WITH {MODELS}
+SELECT s.stage, count(*) AS images, count(*) FILTER (s.good) AS correct,
+       round(1e-9 + 100.0 * count(*) FILTER (s.good) / count(*), 4) AS rate_pct
+FROM models, LATERAL (VALUES ('identification', bioclip_correct), ('localisation', megadetector_localised),
+                             ('combined', combined_correct)) s(stage, good)
+GROUP BY s.stage""")
+def models_files(spark, sf_dir):
+    """From CSV metadata to stored rows; the rates from one tally of them."""
+    _, done = _models_stored(spark, sf_dir)
+    return done.metrics.withColumn("rate_pct", round4("rate_pct"))
+
+
+@query(f"""WITH {MODELS}
+SELECT true_species, bioclip_predicted AS predicted_species, count(*) AS times
+FROM models WHERE NOT bioclip_correct GROUP BY ALL ORDER BY times DESC, 1, 2 LIMIT 8""")
+def models_files_confusions(spark, sf_dir):
+    """The most frequent confusions from the same tally."""
+    return _models_stored(spark, sf_dir)[1].confusions
+
+
 @query(f"""WITH {ERRORS}
 SELECT species, pipeline, {_COUNT_ACCURACY} FROM errors GROUP BY species, pipeline""")
 def counts_job(spark, sf_dir):
@@ -405,6 +439,19 @@ def enrich_job(spark, sf_dir):
     return stored.select("image_id", "ground_truth_count", "ground_truth_count_num")
 
 
+@query(f"""WITH {ENRICHED}
+SELECT image_id, ground_truth_count, ground_truth_count_num FROM enriched""")
+def enrich_bucketed(spark, sf_dir):
+    """Images and annotations kept in buckets by image, joined where they lie."""
+    name, path = f"in_buckets_{uuid.uuid4().hex}", scratch_dir(spark, "buckets")
+    images = view(spark, sf_dir, "v_images").select("image_id", "species_label")
+    images = sinks.write_bucketed(images, f"{name}_images", f"{path}/images", 8)
+    annotations = view(spark, sf_dir, "v_annotations")
+    annotations = sinks.write_bucketed(annotations, f"{name}_annotations", f"{path}/annotations", 8)
+    done = joins.enrich_ground_truth(images, annotations, "seq")
+    return done.select("image_id", "ground_truth_count", "ground_truth_count_num")
+
+
 def _annotation_documents(spark, sf_dir):
     """The annotations as JSON documents of up to 1,000, one a line, in their order."""
     path = scratch_dir(spark, "annotations")

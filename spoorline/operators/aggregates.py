@@ -71,12 +71,42 @@ def dataset_overview(images: DataFrame, detections: DataFrame) -> DataFrame:
     )
 
 
+def tally(
+    rows: DataFrame,
+    predicted: str = "predicted_species",
+    correct: str = "correct",
+    flags: Sequence[str] = (),
+) -> DataFrame:
+    """Images of each pair of true and predicted label, how many are wrong, and the flags' counts.
+
+    All that the rates and confusions below need, in one pass over the rows. Store it and
+    hand it to the functions that end in ``_from``. A flag comes with how often it is true
+    and, as ``<flag>_known``, how often it is not null.
+    """
+    counts = [F.count("*").alias("images"), F.count_if(~F.col(correct)).alias("wrong")]
+    for flag in dict.fromkeys([correct, *flags]):
+        counts += [F.count_if(flag).alias(flag), F.count(flag).alias(f"{flag}_known")]
+    return rows.groupBy("true_species", F.col(predicted).alias("predicted_species")).agg(*counts)
+
+
+def _total(count: str) -> Column:
+    return F.coalesce(F.sum(count), F.lit(0).cast("bigint"))
+
+
 def top1_accuracy(evaluation: DataFrame) -> DataFrame:
-    good = F.count_if("correct")
-    return evaluation.agg(
-        F.count("*").alias("total"),
+    return _accuracy(evaluation, F.count("*"), F.count_if("correct"))
+
+
+def top1_accuracy_from(tallied: DataFrame) -> DataFrame:
+    """``top1_accuracy`` of the rows that were tallied."""
+    return _accuracy(tallied, _total("images"), _total("correct"))
+
+
+def _accuracy(rows: DataFrame, images: Column, good: Column) -> DataFrame:
+    return rows.agg(
+        images.alias("total"),
         good.alias("correct"),
-        measures.rate_pct(good, F.count("*")).alias("accuracy_pct"),
+        measures.rate_pct(good, images).alias("accuracy_pct"),
     )
 
 
@@ -85,11 +115,20 @@ def per_species_accuracy(evaluation: DataFrame, correct: str | None = None) -> D
     if correct is None:
         correct = "bioclip_correct" if "bioclip_correct" in evaluation.columns else "correct"
     good = F.count_if(correct) if correct in evaluation.columns else F.lit(0).cast("bigint")
-    rate = measures.rate_pct(good, F.count("*"))
+    return _accuracy_by_species(evaluation, F.count("*"), good)
+
+
+def per_species_accuracy_from(tallied: DataFrame, correct: str = "correct") -> DataFrame:
+    """``per_species_accuracy`` of the rows that were tallied."""
+    return _accuracy_by_species(tallied, _total("images"), _total(correct))
+
+
+def _accuracy_by_species(rows: DataFrame, images: Column, good: Column) -> DataFrame:
+    rate = measures.rate_pct(good, images)
     return (
-        evaluation.groupBy(F.col("true_species").alias("species"))
+        rows.groupBy(F.col("true_species").alias("species"))
         .agg(
-            F.count("*").alias("images"),
+            images.alias("images"),
             good.alias("correct"),
             text.round_exact(rate, 1).alias("accuracy_pct"),
             (rate >= fixed.PASS_MARK_PCT).alias("passed"),
@@ -108,13 +147,24 @@ def confusions(
     correct: str = "correct",
 ) -> DataFrame:
     """Most frequent wrong predictions as true label, predicted label and count."""
-    return (
+    wrong = (
         evaluation.filter(~F.col(correct))
         .groupBy("true_species", F.col(predicted).alias("predicted_species"))
         .agg(F.count("*").alias("times"))
-        .orderBy(F.desc("times"), "true_species", "predicted_species")
-        .limit(top)
     )
+    return _most_frequent(wrong, top)
+
+
+def confusions_from(tallied: DataFrame, top: int = fixed.EVALUATION_CONFUSIONS) -> DataFrame:
+    """``confusions`` of the rows that were tallied."""
+    wrong = tallied.filter("wrong > 0")
+    return _most_frequent(
+        wrong.select("true_species", "predicted_species", F.col("wrong").alias("times")), top
+    )
+
+
+def _most_frequent(wrong: DataFrame, top: int) -> DataFrame:
+    return wrong.orderBy(F.desc("times"), "true_species", "predicted_species").limit(top)
 
 
 def count_accuracy(errors: DataFrame) -> DataFrame:
@@ -209,21 +259,31 @@ def pipeline_cards(detections: DataFrame) -> DataFrame:
     )
 
 
+#: Column that tells whether a stage of the model comparison was right about an image.
+STAGE_FLAGS = {
+    "identification": "bioclip_correct",
+    "localisation": "megadetector_localised",
+    "combined": "combined_correct",
+}
+
+
 def model_comparison(combined: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """Identification, localisation and both: correct images, rate and runtime.
 
     ``runs`` names its stages ``identification`` and ``localisation``.
     """
-    total = F.count("*")
-    flags = {
-        "identification": "bioclip_correct",
-        "localisation": "megadetector_localised",
-        "combined": "combined_correct",
-    }
-    parts = combined.agg(
-        total.alias("images"),
-        *[F.count_if(column).alias(stage) for stage, column in flags.items()],
-    )
+    hits = [F.count_if(column).alias(stage) for stage, column in STAGE_FLAGS.items()]
+    return _stages(combined.agg(F.count("*").alias("images"), *hits), runs)
+
+
+def model_comparison_from(tallied: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """``model_comparison`` of the rows that were tallied with the stages' flags."""
+    hits = [_total(column).alias(stage) for stage, column in STAGE_FLAGS.items()]
+    return _stages(tallied.agg(_total("images").alias("images"), *hits), runs)
+
+
+def _stages(parts: DataFrame, runs: DataFrame | None) -> DataFrame:
+    flags = STAGE_FLAGS
     long = parts.unpivot("images", list(flags), "stage", "correct").withColumn(
         "rate_pct", F.try_divide(F.col("correct") * 100.0, F.col("images"))
     )
@@ -241,23 +301,26 @@ def model_comparison(combined: DataFrame, runs: DataFrame | None = None) -> Data
 
 def model_comparison_by_species(combined: DataFrame) -> DataFrame:
     """The three rates per true label, and which of the first two is ahead."""
+    rates = {stage: measures.mean_flag(column) for stage, column in STAGE_FLAGS.items()}
+    return _rates_by_species(combined, rates, F.count("*"))
+
+
+def model_comparison_by_species_from(tallied: DataFrame) -> DataFrame:
+    """``model_comparison_by_species`` of the rows that were tallied with the stages' flags."""
     rates = {
-        "identification_pct": "bioclip_correct",
-        "localisation_pct": "megadetector_localised",
-        "combined_pct": "combined_correct",
+        stage: F.try_divide(F.sum(column), F.sum(f"{column}_known"))
+        for stage, column in STAGE_FLAGS.items()
     }
+    return _rates_by_species(tallied, rates, _total("images"))
+
+
+def _rates_by_species(rows: DataFrame, rates: dict[str, Column], images: Column) -> DataFrame:
+    percent = [(rate * 100.0).alias(f"{stage}_pct") for stage, rate in rates.items()]
+    ahead = F.col("identification_pct") > F.col("localisation_pct")
     return (
-        combined.groupBy("true_species")
-        .agg(
-            *[(measures.mean_flag(c) * 100.0).alias(name) for name, c in rates.items()],
-            F.count("*").alias("images"),
-        )
-        .withColumn(
-            "winner",
-            F.when(F.col("identification_pct") > F.col("localisation_pct"), "BioCLIP").otherwise(
-                "MegaDetector"
-            ),
-        )
+        rows.groupBy("true_species")
+        .agg(*percent, images.alias("images"))
+        .withColumn("winner", F.when(ahead, "BioCLIP").otherwise("MegaDetector"))
     )
 
 

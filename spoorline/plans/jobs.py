@@ -294,12 +294,13 @@ def summarise_evaluation(
 ) -> Evaluation:
     """Accuracy, per-label accuracy, confusions and the page, from evaluation rows.
 
-    The rows feed three aggregates. Store them first and pass what is read back,
-    so that scoring runs once and a lost executor costs no more than a re-read.
+    The rows are read once, for a stored tally that every summary is made from. To keep
+    the rows as well, store them first and pass what is read back.
     """
-    accuracy = aggregates.top1_accuracy(rows)
-    by_species = aggregates.per_species_accuracy(rows)
-    confused = aggregates.confusions(rows)
+    counts = stored(aggregates.tally(rows), "tally")
+    accuracy = aggregates.top1_accuracy_from(counts)
+    by_species = aggregates.per_species_accuracy_from(counts)
+    confused = aggregates.confusions_from(counts)
     page = reports.evaluation_report(accuracy, by_species, confused, targets, source)
     return Evaluation(rows, accuracy, by_species, confused, page)
 
@@ -377,16 +378,45 @@ def model_rows(
 def summarise_models(
     rows: DataFrame, targets: Sequence[str], runs: DataFrame | None = None
 ) -> ModelEvaluation:
-    """Rates of both models and of their agreement, from model rows."""
-    metrics = aggregates.model_comparison(rows, runs)
-    by_species = aggregates.model_comparison_by_species(rows)
-    confused = aggregates.confusions(
-        rows, fixed.COMPARISON_CONFUSIONS, "bioclip_predicted", "bioclip_correct"
-    )
+    """Rates of both models and of their agreement, from one reading of model rows."""
+    flags = list(aggregates.STAGE_FLAGS.values())
+    counts = stored(aggregates.tally(rows, "bioclip_predicted", "bioclip_correct", flags), "tally")
+    metrics = aggregates.model_comparison_from(counts, runs)
+    by_species = aggregates.model_comparison_by_species_from(counts)
+    confused = aggregates.confusions_from(counts, fixed.COMPARISON_CONFUSIONS)
     page = reports.model_report(metrics, by_species, confused, targets)
     return ModelEvaluation(rows, metrics, by_species, confused, page)
 
 
+def models_stored(
+    spark: SparkSession,
+    images_path: str,
+    vectors: DataFrame,
+    prompts: DataFrame,
+    localisation: DataFrame,
+    output: str,
+    fmt: str = "csv",
+    runs: DataFrame | None = None,
+    per_species: int | None = None,
+    files: DataFrame | None = None,
+    root: str = "",
+    directories: Sequence[str] = (),
+) -> ModelEvaluation:
+    """The model comparison from stored metadata to stored rows and page.
+
+    ``vectors`` and the order of images as in ``evaluate_stored``. Under ``output``, ``rows``
+    holds the comparison's rows and ``report`` its page.
+    """
+    images = tables.read_images(spark, images_path, fmt, ordered=True)
+    images = images.join(vectors.select("image_id", "embedding"), "image_id", "left")
+    rows = model_rows(images, prompts, localisation, files, per_species, root, directories)
+    sinks.write_model_comparison(rows, f"{output}/rows", "parquet")
+    targets = [species for block in prompt_blocks(prompts) for species in block.species]
+    done = summarise_models(tables.read_comparison(spark, f"{output}/rows"), targets, runs)
+    sinks.write_report(done.report, f"{output}/report")
+    return done
+
+
 @dataclass(frozen=True)
 class CountEvaluation:
     rows: DataFrame

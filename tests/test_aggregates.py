@@ -228,3 +228,25 @@ def test_small_summaries(spark, detections):
     confidence = {r.pipeline: r for r in aggregates.confidence_by_pipeline(detections).collect()}
     assert confidence["bioclip_sam"].confidence_pct == 50.0
     assert confidence["bioclip_sam"].pipeline_label == "BioCLIP + SAM 3"
+
+
+def test_summaries_of_a_tally_equal_those_of_its_rows(spark, rows):
+    made = [
+        (label, guess, None if k % 7 == 0 else label == guess, None if k % 5 == 0 else k % 3 == 0)
+        for k, (label, guess) in enumerate([("zebra", "zebra"), ("zebra", "eland"), ("eland", None), (None, "eland"), ("eland", "zebra")] * 9)
+    ]
+    models = spark.createDataFrame(
+        made, "true_species string, bioclip_predicted string, bioclip_correct boolean, megadetector_localised boolean"
+    ).withColumn("combined_correct", F.col("bioclip_correct") & F.col("megadetector_localised"))
+    evaluation = models.withColumnsRenamed({"bioclip_predicted": "predicted_species", "bioclip_correct": "correct"})
+    for given in (models, models.limit(0)):
+        tallied = aggregates.tally(given, "bioclip_predicted", "bioclip_correct", list(aggregates.STAGE_FLAGS.values()))
+        assert rows(aggregates.model_comparison_from(tallied)) == rows(aggregates.model_comparison(given))
+        assert rows(aggregates.model_comparison_by_species_from(tallied)) == rows(aggregates.model_comparison_by_species(given))
+        found = aggregates.confusions_from(tallied, 2).collect()
+        assert found == aggregates.confusions(given, 2, "bioclip_predicted", "bioclip_correct").collect()
+    for given in (evaluation, evaluation.limit(0)):
+        tallied = aggregates.tally(given)
+        assert rows(aggregates.top1_accuracy_from(tallied)) == rows(aggregates.top1_accuracy(given))
+        assert rows(aggregates.per_species_accuracy_from(tallied)) == rows(aggregates.per_species_accuracy(given))
+        assert aggregates.confusions_from(tallied).collect() == aggregates.confusions(given).collect()

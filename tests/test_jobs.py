@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spoorline import schemas
 from spoorline.operators import models
 from spoorline.plans import jobs
-from spoorline.sources import sinks, tables
+from spoorline.sources import files, sinks, tables
 
 
 @pytest.fixture
@@ -125,7 +125,7 @@ def test_evaluate(spark, images, prompts):
     assert jobs.evaluation_rows(images, prompts, files=there).count() == 1
 
 
-def test_evaluate_models(spark, images, prompts):
+def test_evaluate_models(spark, images, prompts, plan):
     located = spark.createDataFrame(
         [("i1", False, 0.1, "x", 1), ("i1", True, 0.9, "x", 2), ("i2", True, 0.0, "x", 3),
          ("i5", False, 0.5, "x", 4)],
@@ -140,6 +140,21 @@ def test_evaluate_models(spark, images, prompts):
     assert [tuple(r) for r in done.confusions.collect()] == [
         ("lioncub", "zebra", 1), ("zebra", "lioncub", 1)]
     assert done.report.count() > 10
+    for summary in (done.metrics, done.by_species, done.confusions, done.report):
+        assert "Python" not in plan(summary) and "Arrow" not in plan(summary)  # scored once, for the tally
+
+
+def test_models_from_files_to_files(spark, images, prompts, tmp_path, rows):
+    metadata, output = str(tmp_path / "images"), str(tmp_path / "models")
+    columns = schemas.IMAGES.fieldNames()
+    known = images.withColumns({c: F.lit(None).cast(schemas.IMAGES[c].dataType) for c in columns if c not in images.columns})
+    known.coalesce(1).orderBy("seq").select(*columns).write.option("header", True).csv(metadata)
+    located = spark.createDataFrame([("i1", True, 0.9, "x", 2)], "image_id string, has_mask boolean, quality double, backend string, seq int")
+    done = jobs.models_stored(spark, metadata, images, prompts, located, output)
+    plain = jobs.summarise_models(jobs.model_rows(images, prompts, located), ["zebra", "lioncub"])
+    assert rows(done.metrics) == rows(plain.metrics) and rows(done.by_species) == rows(plain.by_species)
+    assert tables.read_comparison(spark, f"{output}/rows").count() == 5
+    assert "BioCLIP" in files.read_report(spark, f"{output}/report")
 
 
 def test_counts_and_enrichment(spark, images):
