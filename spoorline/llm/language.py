@@ -99,17 +99,20 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
         used = np.flatnonzero(own)
         return pd.DataFrame({"lang": lang, "bucket": used.astype(np.int32), "n": own[used]})
 
+    def logs(lang: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        table = np.full(BUCKETS, SMOOTHING)
+        table[rows["bucket"].to_numpy()] += rows["n"].to_numpy()
+        return pd.DataFrame({"lang": lang, "logs": [np.log(table / table.sum()).astype(np.float32).tobytes()]})
+
     known = labelled.select("lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
     counts = known.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    summed = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("own"))
-    rows = sorted(summed.limit(MAX_LANGUAGES + 1).collect())
+    # one row of 4 * BUCKETS bytes a language; a group has at most BUCKETS rows
+    packed = counts.groupBy("lang").applyInPandas(logs, "lang string, logs binary")
+    rows = sorted(packed.limit(MAX_LANGUAGES + 1).collect())
     if len(rows) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
-    table = np.full((len(rows), BUCKETS), SMOOTHING)
-    for k, (_, own) in enumerate(rows):
-        pairs = np.array(own, dtype=np.int64)
-        table[k, pairs[:, 0]] += pairs[:, 1]
-    return [r[0] for r in rows], np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+    table = np.frombuffer(b"".join(r.logs for r in rows), np.float32).reshape(len(rows), BUCKETS)
+    return [r.lang for r in rows], table
 
 
 def refit(counts: np.ndarray, likelihood: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, float]:

@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +44,41 @@ def test_proportions_maximise_the_likelihood(model, spark):
     assert set(language.mixture(language.trigrams(texts["en"]), logs)) == {en}
 
 
+def test_the_set_of_languages_is_the_best_of_all_subsets(model, spark):
+    languages, logs = model
+    few = logs[: min(4, len(languages))]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where(F.length("text") > 1500)
+    texts = [docs.where(F.col("lang") == lang).orderBy("doc_id").first().text for lang in languages[: len(few)]]
+
+    def penalised(found, chosen):  # long EM from equal shares, over one subset
+        buckets, counts = np.unique(found, return_counts=True)
+        own = np.exp(few[list(chosen)][:, buckets].astype(np.float64))
+        shares = np.full(len(chosen), 1 / len(chosen))
+        for _ in range(2000):
+            shares = shares * (own @ (counts / (shares @ own))) / counts.sum()
+        reached = counts @ np.log(shares @ own)
+        return reached - language.PENALTY * np.log(counts.sum() + 1) * (len(chosen) - 1)
+
+    subsets = [c for n in range(1, len(few) + 1) for c in itertools.combinations(range(len(few)), n)]
+    mixes = [texts[0][:1200], texts[1][:900] + " " + texts[0][:600], " ".join(t[:500] for t in texts[:3]), " ".join(t[:700] for t in texts)]
+    for k, mix in enumerate(mixes, 1):
+        found = language.trigrams(mix)
+        shares = language.mixture(found, few)
+        best = max(penalised(found, c) for c in subsets)
+        assert penalised(found, tuple(sorted(shares))) >= best - 0.5
+        assert len(shares) == k if k != 2 else set(shares) == {0, 1}
+
+
+def test_many_languages_are_learned(spark):
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26)} word", f"l{k:03d}") for k in range(90)]
+    languages, logs = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    assert languages == [f"l{k:03d}" for k in range(90)] and logs.shape == (90, language.BUCKETS)
+    assert np.allclose(np.exp(logs.astype(np.float64)).sum(axis=1), 1, atol=1e-3)
+    text = rows[17][1]
+    counts = np.full(language.BUCKETS, language.SMOOTHING) + np.bincount(language.trigrams(text), minlength=language.BUCKETS)
+    assert (logs[17] == np.log(counts / counts.sum()).astype(np.float32)).all()
+
+
 def test_nulls_empty_and_clashing_columns(spark):
     rows = [
         (1, "der die das und nicht", "de", "x", None), (2, "the and that with this", "en", None, "y"),
