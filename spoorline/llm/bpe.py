@@ -26,10 +26,12 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from spoorline.llm.text import column_function
 
 #: Characters read at a time; a text's unfinished pretoken is all that is kept between.
 SLICE = 1 << 16
@@ -39,6 +41,7 @@ MEMO_CHARS = 48
 MEMO_SIZE = 150_000
 #: Characters behind a pretoken that can still change where it ends.
 PATTERN_REACH = 3
+ROUND_TRIP = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("text", T.StringType())])
 
 
 def byte_alphabet() -> list[str]:
@@ -301,24 +304,24 @@ def codec(spark: SparkSession, path: str):
     with open(path, encoding="utf-8") as file:
         shipped = spark.sparkContext.broadcast(file.read())
 
-    @F.pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @column_function(T.BinaryType())
+    def encode(slices: Iterator[list]) -> Iterator[list]:
         v = vocabulary(shipped.value)
-        for texts in batches:
-            yield pd.Series([encode_text(v, t) for t in texts], dtype=object)
+        for texts in slices:
+            yield [encode_text(v, t) for t in texts]
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @column_function(T.StringType())
+    def decode(slices: Iterator[list]) -> Iterator[list]:
         v = vocabulary(shipped.value)
-        for packed in batches:
-            yield pd.Series([decode_ids(v, p) for p in packed], dtype=object)
+        for packed in slices:
+            yield [decode_ids(v, p) for p in packed]
 
-    @F.pandas_udf("ids binary, text string")
-    def round_trip(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @column_function(ROUND_TRIP)
+    def round_trip(slices: Iterator[list]) -> Iterator[list]:
         v = vocabulary(shipped.value)
-        for texts in batches:
+        for texts in slices:
             packed = [encode_text(v, t) for t in texts]
-            yield pd.DataFrame({"ids": packed, "text": [decode_ids(v, p) for p in packed]}, dtype=object)
+            yield [{"ids": p, "text": decode_ids(v, p)} for p in packed]
 
     return encode, decode, round_trip
 

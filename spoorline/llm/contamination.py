@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spoorline.llm.text import SHINGLE_WORDS, THRESHOLD, named, shingle_hashes, shingle_texts, unused, words
+from spoorline.llm.text import SHINGLE_WORDS, THRESHOLD, column_function, named, shingle_hashes, shingle_texts, unused, words
 from spoorline.session import stored
 
 #: Bytes of item text that travel to the documents.
@@ -147,13 +147,12 @@ def _holder(rows: list, hit: T.StructType, spark: SparkSession, threshold: float
     """A column function: the items, given as (item_id, text), that a text holds."""
     shipped = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
 
-    @F.pandas_udf(T.ArrayType(hit))
-    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @column_function(T.ArrayType(hit))
+    def held(slices: Iterator[list]) -> Iterator[list]:
         ids, texts = shipped.value
         index = Index(texts, threshold)
-        for batch in batches:
-            rows = [[{"item_id": ids[i], "n_shared": s, "n_item": n} for i, s, n in index.held_by(t)] for t in batch]
-            yield pd.Series(rows, dtype=object)
+        for own in slices:
+            yield [[{"item_id": ids[i], "n_shared": s, "n_item": n} for i, s, n in index.held_by(t)] for t in own]
 
     return held
 

@@ -24,10 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spoorline.llm.text import column_function, sliced
+
 BUCKETS = 1 << 14
 #: Added to each bucket's count before normalising.
 SMOOTHING = 0.5
@@ -83,21 +86,22 @@ def fold(doc_id: Column) -> Column:
 def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and log probabilities by bucket, from columns ``text`` and ``lang``."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                own = totals.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
-                own += np.bincount(trigrams(text), minlength=BUCKETS)
+        for rows in sliced(batches):
+            for row in rows:
+                own = totals.setdefault(row["lang"], np.zeros(BUCKETS, dtype=np.int64))
+                own += np.bincount(trigrams(row["text"]), minlength=BUCKETS)
             if len(totals) > 32:  # many languages: hand over and start again
                 yield from map(as_rows, totals.items())
                 totals = {}
         yield from map(as_rows, totals.items())
 
-    def as_rows(item: tuple[str, np.ndarray]) -> pd.DataFrame:
+    def as_rows(item: tuple[str, np.ndarray]) -> pa.RecordBatch:
         lang, own = item
         used = np.flatnonzero(own)
-        return pd.DataFrame({"lang": lang, "bucket": used.astype(np.int32), "n": own[used]})
+        columns = pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(own[used])
+        return pa.record_batch([*columns], names=["lang", "bucket", "n"])
 
     def logs(lang: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         table = np.full(BUCKETS, SMOOTHING)
@@ -105,7 +109,7 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
         return pd.DataFrame({"lang": lang, "logs": [np.log(table / table.sum()).astype(np.float32).tobytes()]})
 
     known = labelled.select("lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = known.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = known.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # one row of 4 * BUCKETS bytes a language; a group has at most BUCKETS rows
     packed = counts.groupBy("lang").applyInPandas(logs, "lang string, logs binary")
     rows = sorted(packed.limit(MAX_LANGUAGES + 1).collect())
@@ -158,20 +162,20 @@ def predictor(languages: list[str], logs: np.ndarray, spark):
     """A column function from text to (lang, score, shares)."""
     shipped = spark.sparkContext.broadcast((languages, logs))
 
-    @F.pandas_udf(RESULT)
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @column_function(RESULT)
+    def predict(slices: Iterator[list]) -> Iterator[list]:
         names, own = shipped.value
-        for texts in batches:
+        for texts in slices:
             rows = []
             for text in texts:
                 found = trigrams(text)
                 if not len(found) or not names:
-                    rows.append((UNKNOWN, 0.0, {}))
+                    rows.append({"lang": UNKNOWN, "score": 0.0, "shares": []})
                     continue
                 shares = {names[k]: float(v) for k, v in mixture(found, own).items()}
                 lang = min(shares, key=lambda n: (-shares[n], n))
-                rows.append((lang, min(1.0, shares[lang]), shares))
-            yield pd.DataFrame(rows, columns=["lang", "score", "shares"])
+                rows.append({"lang": lang, "score": min(1.0, shares[lang]), "shares": [*shares.items()]})
+            yield rows
 
     return predict
 

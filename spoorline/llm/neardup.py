@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spoorline.llm.components import components
-from spoorline.llm.text import THRESHOLD, mix, named, shingle_hashes, unused, words
+from spoorline.llm.text import THRESHOLD, column_function, mix, named, shingle_hashes, unused, words
 from spoorline.session import stored
 
 BANDS = 40
@@ -45,10 +45,10 @@ TASK_ROWS = 4096
 STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Arrivals that are drawn at once.
 DRAWS = 1 << 15
-#: Texts whose shingles a worker holds at once.
-TEXTS_AT_ONCE = 512
 #: Texts whose shingles a verifying task remembers.
 VERIFIED_AT_ONCE = 32
+#: Shingles that a linking task remembers, of one text at least.
+SHINGLES_AT_ONCE = 1 << 20
 
 
 def weighted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -127,13 +127,10 @@ def _buckets(texts: list[str | None]) -> list[list[int]]:
     return [row if len(t[0]) else [] for row, t in zip(rows, own, strict=True)]
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def bands(texts: pd.Series) -> pd.Series:
+@column_function(T.ArrayType(T.LongType()))
+def bands(slices: Iterator[list]) -> Iterator[list]:
     """Column function: the bucket of a text in every band; none without a word."""
-    found: list[list[int]] = []
-    for k in range(0, len(texts), TEXTS_AT_ONCE):
-        found += _buckets(texts.iloc[k : k + TEXTS_AT_ONCE].tolist())
-    return pd.Series(found, dtype=object)
+    yield from map(_buckets, slices)
 
 
 def text_key() -> Column:
@@ -212,11 +209,17 @@ def _linker(threshold: float):
         band, block, left, right = (rows[c].to_numpy() for c in ("band", "block", "left", "right"))
         order = np.lexsort((right, left, band))
         same = (np.diff(band[order]) == 0) & (np.diff(left[order]) == 0) & (np.diff(right[order]) == 0)
-        memo: dict[bytes, tuple] = {}
+        memo, held = {}, 0
 
         def of(i: int):
+            nonlocal held
             if keys[i] not in memo:
-                memo[keys[i]] = weighted(texts[i])
+                own = weighted(texts[i])
+                held += len(own[0])
+                if held > SHINGLES_AT_ONCE:
+                    memo.clear()
+                    held = len(own[0])
+                memo[keys[i]] = own
             return memo[keys[i]]
 
         out = []

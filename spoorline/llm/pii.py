@@ -23,10 +23,10 @@ import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spoorline.llm.text import column_function
+
 KINDS = ("email", "ip", "card", "phone")
 SPANS = T.ArrayType(
     T.StructType(
@@ -309,13 +309,15 @@ def redacted(text: str | None) -> str | None:
     return "".join(out) + text[place:]
 
 
-@F.pandas_udf(SPANS)
-def spans(texts: pd.Series) -> pd.Series:
+@column_function(SPANS)
+def spans(slices: Iterator[list]) -> Iterator[list]:
     """Column function: the spans of each text."""
-    return pd.Series([[dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in find(t)] for t in texts], dtype=object)
+    for texts in slices:
+        yield [[dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in find(t)] for t in texts]
 
 
-@F.pandas_udf(T.StringType())
-def redact(texts: pd.Series) -> pd.Series:
+@column_function(T.StringType())
+def redact(slices: Iterator[list]) -> Iterator[list]:
     """Column function: each text without its personal data."""
-    return pd.Series([redacted(t) for t in texts], dtype=object)
+    for texts in slices:
+        yield [redacted(t) for t in texts]

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Words of a shingle, and the similarity from which texts count as near.
 SHINGLE_WORDS = 5
@@ -16,6 +20,8 @@ THRESHOLD = 0.8
 WORD = re.compile(r"[^\W_]+")
 #: Word hashes that a worker remembers.
 MEMO_SIZE = 150_000
+#: Rows of a batch that a column function has as Python values, or as results, at once.
+ROWS_AT_ONCE = 256
 
 
 class WordHashes(dict):
@@ -63,6 +69,33 @@ def shingle_texts(own: list[str], size: int = SHINGLE_WORDS) -> set[tuple[str, .
     return set(zip(*(own[k : len(own) - size + 1 + k] for k in range(size)), strict=True))
 
 
+def sliced(batches: Iterator[pa.Array | pa.RecordBatch]) -> Iterator[list]:
+    """The rows of batches as Python values, a few at a time; a batch may be a task's whole share."""
+    for batch in batches:
+        for k in range(0, len(batch), ROWS_AT_ONCE):
+            yield batch.slice(k, ROWS_AT_ONCE).to_pylist()
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
+def column_function(kind: T.DataType):
+    """Decorator: a column function of one column, from a function of slices of its values.
+
+    Results leave slice by slice too, so neither side ever holds those of a whole batch.
+    """
+
+    def decorate(function: Callable[[Iterator[list]], Iterator[list]]):
+        @F.arrow_udf(kind)
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            arrow = to_arrow_type(kind)
+            for results in function(sliced(batches)):
+                yield pa.array(results, arrow)
+
+        return run
+
+    return decorate
+
+
 def unused(name: str, frame: DataFrame) -> str:
     """A column name that the frame does not have."""
     taken = {c.lower() for c in frame.columns}
